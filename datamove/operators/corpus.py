@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from datamove import code_rules as rules, fixed_values as fixed
+from datamove.session import broadcast_if_small, cut_lineage
 
 # Private-use characters that stand for what is hidden while patterns run.
 _OPEN, _CLOSE, _OPEN_LINES, _MARK, _CALL = "", "", "", "", ""
@@ -24,9 +25,10 @@ def segments(text: Column) -> Column:
 
 
 def masked(parts: Column, keep_names: bool = True) -> Column:
-    """The text with strings and comments (and quoted names) blanked out, line breaks kept."""
+    """The text with strings and comments (and quoted names) blanked out. A hidden stretch of a line becomes one blank and line
+    breaks stay, so line numbers hold and patterns do not run over long blanks."""
     hidden = _TEXT_START if keep_names else _HIDDEN_START
-    return F.array_join(F.transform(parts, lambda s: F.when(s.rlike(hidden), F.regexp_replace(s, r"[^\n]", " ")).otherwise(s)), "")
+    return F.array_join(F.transform(parts, lambda s: F.when(s.rlike(hidden), F.regexp_replace(s, r"[^\n]+", " ")).otherwise(s)), "")
 
 
 def with_masks(files: DataFrame) -> DataFrame:
@@ -41,11 +43,16 @@ def _lines_of_marks(marked: Column) -> Column:
     return F.flatten(per_line)
 
 
+def _occurs(low: Column, needles: str) -> Column:
+    """A cheap test before a pattern: one of the texts occurs in the lower-cased text."""
+    return reduce(lambda a, b: a | b, [low.contains(n) for n in needles.split("|")])
+
+
 def _applies(dialects: list[str], dialect: str | None) -> bool:
     return not dialects or dialect is None or dialect in dialects
 
 
-def _hits(rule: str, severity: str, apart: bool, text: Column, pattern: str, trim_call: bool = False) -> Column:
+def _hits(rule: str, needles: str, severity: str, apart: bool, text: Column, pattern: str, trim_call: bool = False) -> Column:
     """Findings of one pattern: array<struct<rule, severity, line, text, apart>>."""
     group = 1 if rule == "merge-into-alias" else 0
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -57,15 +64,15 @@ def _hits(rule: str, severity: str, apart: bool, text: Column, pattern: str, tri
         clean = F.regexp_replace(clean, r"\A\s+|\s+\z", "")
         return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), line.alias("line"), clean.alias("text"),
                         (clean if apart else F.lit("")).alias("apart"))
-    # a pattern that is nowhere in the file costs one search
-    return F.when(text.rlike(pattern), F.zip_with(found, lines, entry))
+    return F.when(_occurs(F.col("_low"), needles) & text.rlike(pattern), F.zip_with(found, lines, entry))
 
 
 def _note_hits(parts: Column) -> Column:
     """Findings from notes left in comments."""
     is_note = lambda s: s.rlike(_COMMENT_START) & s.rlike(rules.NOTE_MARKERS)
     notes = F.transform(F.filter(parts, is_note), lambda s: F.regexp_extract(s, rules.NOTE_MARKERS, 2))
-    lines = _lines_of_marks(F.array_join(F.transform(parts, lambda s: F.when(is_note(s), F.concat(F.lit(_MARK), s)).otherwise(s)), ""))
+    breaks = lambda s: F.regexp_replace(s, r"[^\n]+", "")
+    lines = _lines_of_marks(F.array_join(F.transform(parts, lambda s: F.when(is_note(s), F.concat(F.lit(_MARK), breaks(s))).otherwise(breaks(s))), ""))
 
     def entry(note: Column, line: Column) -> Column:
         clean = F.regexp_replace(note, r"[*/\s]+\z", "")
@@ -92,16 +99,16 @@ def rule_scan(files: DataFrame, dialect: str | None = None, only: list[str] | No
     """Findings per file: (path, rule, severity, line, text, other_lines). A repeated finding is listed once with the other
     lines. Strings and comments never count, except for notes left in comments."""
     wanted = lambda name: only is None or name in only
-    base = with_masks(files)
-    calls = {r[0]: r for r in rules.CALL_RULES if _applies(r[2], dialect) and wanted(r[0])}
+    base = with_masks(files).withColumn("_low", F.lower("code"))
+    calls = {r[0]: r for r in rules.CALL_RULES if _applies(r[3], dialect) and wanted(r[0])}
     if calls:  # mark calls in code, so that a match may look into the string behind it
-        call = "|".join(r[4] for r in calls.values())
+        call = "|".join(r[-2] for r in calls.values())
         marked = F.transform("_parts", lambda s: F.when(s.rlike(_TEXT_START), s).otherwise(F.regexp_replace(s, call, _CALL + "$0")))
         base = base.withColumn("_calls", F.array_join(marked, ""))
-    found = [_hits(name, severity, apart, F.col("code"), pattern)
-             for name, severity, dialects, apart, pattern in rules.RULES if _applies(dialects, dialect) and wanted(name)]
-    found += [_hits(name, severity, apart, F.col("_calls"), _CALL + call + after, trim_call=True)
-              for name, severity, _, apart, call, after in calls.values()]
+    found = [_hits(name, needles, severity, apart, F.col("code"), pattern)
+             for name, needles, severity, dialects, apart, pattern in rules.RULES if _applies(dialects, dialect) and wanted(name)]
+    found += [_hits(name, needles, severity, apart, F.col("_calls"), _CALL + call + after, trim_call=True)
+              for name, needles, severity, _, apart, call, after in calls.values()]
     if wanted("unbalanced-parentheses"):
         found.append(_statement_hits(F.col("bare")))
     if wanted("unconverted-file"):
@@ -217,8 +224,9 @@ def dialect_scores(files: DataFrame, by: list[str]) -> DataFrame:
     """Best dialect per group (by=[] for the whole corpus): dialect, confidence, score, runner_up_score.
 
     A hint counts once per file. Synapse code is T-SQL too: once it has hits of its own, the T-SQL hits count for it."""
-    hits = {d: reduce(lambda a, b: a + b, [F.col("text").rlike(p).cast("int") for p in patterns]) for d, patterns in rules.DIALECT_HINTS.items()}
-    sums = files.groupBy(*by).agg(*[F.coalesce(F.sum(h), F.lit(0)).alias(d) for d, h in hits.items()])
+    hit = lambda needle, p: F.when(F.col("_low").contains(needle) & F.col("text").rlike(p), 1).otherwise(0)
+    hits = {d: reduce(lambda a, b: a + b, [hit(n, p) for n, p in patterns]) for d, patterns in rules.DIALECT_HINTS.items()}
+    sums = files.withColumn("_low", F.lower("text")).groupBy(*by).agg(*[F.coalesce(F.sum(h), F.lit(0)).alias(d) for d, h in hits.items()])
     sums = sums.withColumn("synapse", F.when(F.col("synapse") > 0, F.col("synapse") + F.col("mssql")).otherwise(0))
     order = list(rules.DIALECT_HINTS)
     ranked = F.array_sort(F.array(*[F.struct((-F.col(d)).alias("s"), F.lit(i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(order)]))
@@ -274,18 +282,20 @@ def fit(files: DataFrame) -> DataFrame:
                 .when(F.col("kind") == "table", "data").when(F.col("kind").isin("trigger", "type"), "keep")
                 .when(F.col("kind").isin("security", "schema", "index"), "skip").when(F.col("kind").isin("sequence", "synonym"), "review")
                 .when(F.col("bare").rlike(rules.WRITE_WORD), "data").otherwise("review"))
-    placed = df.withColumn("category", category).withColumn("_routine", routine)
-    # words of the clear routines, met with the names of the unclear ones
-    used = (placed.where("_routine and category <> 'review'")
-            .select(F.col("short").alias("_caller"), "category", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("bare"), F.lit(r"[\w$#@]+"), F.lit(0)))).alias("_word")))
+    narrow = df.select("path", "name", "kind", "short", "score", category.alias("category"), routine.alias("_routine"),
+                       (F.col("bare").rlike(rules.AUDIT_COLUMNS) & (F.col("kind") == "table")).alias("audited"))
+    placed = cut_lineage(narrow)  # a few short values per file; the texts are not scored twice
+    # words of the routines' code that are names of unclear routines, with the category of the routine that uses them
     unclear = placed.where("_routine and category = 'review'").select(F.col("short").alias("_word")).distinct()
-    followed = (used.join(unclear, "_word").where("_caller <> _word").groupBy("_word")
+    clear = placed.where("_routine and category <> 'review'").select("path", F.col("short").alias("_caller"), "category")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(masked(segments(F.col("text")), keep_names=False)), F.lit(r"[\w$#@]+"), F.lit(0)))
+    used = files.select("path", F.explode(words).alias("_word")).join(broadcast_if_small(unclear), "_word").join(clear, "path")
+    followed = (used.where("_caller <> _word").groupBy("_word")
                 .agg(F.max((F.col("category") == "migrate").cast("int")).alias("_moves"), F.count(F.lit(1)).alias("_callers")))
     joined = placed.join(followed, (placed["short"] == followed["_word"]) & placed["_routine"] & (placed["category"] == "review"), "left")
     final = F.when(F.col("_moves") == 1, "migrate").when(F.col("_callers") > 0, "keep").otherwise(F.col("category"))
-    return joined.select("path", "name", "kind", final.alias("category"), F.when(routine, F.col("score")).alias("score"),
-                         (F.col("bare").rlike(rules.AUDIT_COLUMNS) & (F.col("kind") == "table")).alias("audited"),
-                         F.regexp_extract("name", r"([^.]*)$", 1).alias("short"))
+    return joined.select("path", "name", "kind", final.alias("category"), F.when(F.col("_routine"), F.col("score")).alias("score"),
+                         "audited", F.regexp_extract("name", r"([^.]*)$", 1).alias("short"))
 
 
 def fit_verdict(placed: DataFrame) -> DataFrame:
