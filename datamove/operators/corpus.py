@@ -15,9 +15,21 @@ _OPEN, _CLOSE, _OPEN_LINES, _MARK, _CALL = "", "", "", "", ""
 # A file is a run of line comments, block comments, strings, quoted names and code.
 _SEGMENT = (r"""--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)|'(?:[^'\\]++|\\[\s\S]|'')*+(?:'|\\?\z)|"(?:[^"\\]++|\\[\s\S]|"")*+(?:"|\\?\z)"""
             r"""|`(?:[^`]++|``)*+(?:`|\z)|[\x{E000}-\x{E006}]|[^\-/'"`\x{E000}-\x{E006}]++|[\-/]""")
-_TEXT_START = r"\A(?:--|/\*|'|\"|[\x{E000}-\x{E006}])"
-_HIDDEN_START = r"\A(?:--|/\*|'|\"|`|[\x{E000}-\x{E006}])"
-_COMMENT_START = r"\A(?:--|/\*)"
+
+
+def _comment(s: Column) -> Column:
+    return s.startswith("--") | s.startswith("/*")
+
+
+def _text_part(s: Column) -> Column:
+    """A comment, a string, or a stray stand-in character."""
+    first = F.substring(s, 1, 1)
+    return first.isin("'", '"') | _comment(s) | first.between(_OPEN, _CALL)
+
+
+def _hidden_part(s: Column) -> Column:
+    """The same, or a quoted name."""
+    return _text_part(s) | s.startswith("`")
 
 
 def segments(text: Column) -> Column:
@@ -27,14 +39,15 @@ def segments(text: Column) -> Column:
 def masked(parts: Column, keep_names: bool = True) -> Column:
     """The text with strings and comments (and quoted names) blanked out. A hidden stretch of a line becomes one blank and line
     breaks stay, so line numbers hold and patterns do not run over long blanks."""
-    hidden = _TEXT_START if keep_names else _HIDDEN_START
-    return F.array_join(F.transform(parts, lambda s: F.when(s.rlike(hidden), F.regexp_replace(s, r"[^\n]+", " ")).otherwise(s)), "")
+    hidden = _text_part if keep_names else _hidden_part
+    return F.array_join(F.transform(parts, lambda s: F.when(hidden(s), F.regexp_replace(s, r"[^\n]+", " ")).otherwise(s)), "")
 
 
 def with_masks(files: DataFrame) -> DataFrame:
     """Add `code` (quoted names kept) and `bare` (quoted names blanked too). Each is computed once per file."""
     cut = files.withColumn("_parts", segments(F.col("text")))
-    return cut.withColumn("code", masked(F.col("_parts"))).withColumn("bare", masked(F.col("_parts"), keep_names=False))
+    coded = cut.withColumn("code", masked(F.col("_parts")))
+    return coded.withColumn("bare", F.when(F.col("code").contains("`"), masked(F.col("_parts"), keep_names=False)).otherwise(F.col("code")))
 
 
 def _lines_of_marks(marked: Column) -> Column:
@@ -69,10 +82,15 @@ def _hits(rule: str, needles: str, severity: str, apart: bool, text: Column, pat
 
 def _note_hits(parts: Column) -> Column:
     """Findings from notes left in comments."""
-    is_note = lambda s: s.rlike(_COMMENT_START) & s.rlike(rules.NOTE_MARKERS)
-    notes = F.transform(F.filter(parts, is_note), lambda s: F.regexp_extract(s, rules.NOTE_MARKERS, 2))
+    def noted(s: Column) -> Column:  # the note's text, NULL for anything else
+        low = F.lower(s)
+        marked = _comment(s) & reduce(lambda a, b: a | b, [low.contains(n) for n in rules.NOTE_NEEDLES])
+        return F.when(marked & s.rlike(rules.NOTE_MARKERS), F.regexp_extract(s, rules.NOTE_MARKERS, 2))
+
+    found = F.transform(parts, noted)
+    notes = F.filter(found, lambda n: n.isNotNull())
     breaks = lambda s: F.regexp_replace(s, r"[^\n]+", "")
-    lines = _lines_of_marks(F.array_join(F.transform(parts, lambda s: F.when(is_note(s), F.concat(F.lit(_MARK), breaks(s))).otherwise(breaks(s))), ""))
+    lines = _lines_of_marks(F.array_join(F.zip_with(parts, found, lambda s, n: F.concat(F.when(n.isNotNull(), _MARK).otherwise(""), breaks(s))), ""))
 
     def entry(note: Column, line: Column) -> Column:
         clean = F.regexp_replace(note, r"[*/\s]+\z", "")
@@ -81,7 +99,7 @@ def _note_hits(parts: Column) -> Column:
         severity = F.when(benign, "info").when(clean.rlike(rules.BLOCKING_NOTES), "error").otherwise("warning")
         return F.struct(F.lit("converter-note").alias("rule"), severity.alias("severity"), line.alias("line"),
                         clean.alias("text"), clean.alias("apart"))
-    return F.zip_with(notes, lines, entry)
+    return F.when(F.exists(found, lambda n: n.isNotNull()), F.zip_with(notes, lines, entry))
 
 
 def _statement_hits(bare: Column) -> Column:
@@ -103,7 +121,7 @@ def rule_scan(files: DataFrame, dialect: str | None = None, only: list[str] | No
     calls = {r[0]: r for r in rules.CALL_RULES if _applies(r[3], dialect) and wanted(r[0])}
     if calls:  # mark calls in code, so that a match may look into the string behind it
         call = "|".join(r[-2] for r in calls.values())
-        marked = F.transform("_parts", lambda s: F.when(s.rlike(_TEXT_START), s).otherwise(F.regexp_replace(s, call, _CALL + "$0")))
+        marked = F.transform("_parts", lambda s: F.when(_text_part(s), s).otherwise(F.regexp_replace(s, call, _CALL + "$0")))
         base = base.withColumn("_calls", F.array_join(marked, ""))
     found = [_hits(name, needles, severity, apart, F.col("code"), pattern)
              for name, needles, severity, dialects, apart, pattern in rules.RULES if _applies(dialects, dialect) and wanted(name)]
@@ -123,7 +141,7 @@ def rule_scan(files: DataFrame, dialect: str | None = None, only: list[str] | No
     hits = F.filter("_hits", lambda x: ~((x["rule"] == "local-variable") & F.array_contains(F.col("_system"), x["line"])))
     if wanted("converter-note"):  # a bare note next to a finding on the same line adds nothing
         base = base.withColumn("_all", lines_of(lambda x: F.lit(True)))
-        notes = F.filter(_note_hits(F.col("_parts")), lambda x: ~((x["text"] == rules.EMPTY_NOTE) & F.array_contains(F.col("_all"), x["line"])))
+        notes = F.filter(F.coalesce(_note_hits(F.col("_parts")), none), lambda x: ~((x["text"] == rules.EMPTY_NOTE) & F.array_contains(F.col("_all"), x["line"])))
         hits = F.concat(hits, notes)
     rows = base.select("path", F.inline(hits))
     folded = rows.groupBy("path", "rule", "severity", "apart").agg(
@@ -136,11 +154,11 @@ def rule_scan(files: DataFrame, dialect: str | None = None, only: list[str] | No
 
 def _skeleton(df: DataFrame, keep_names: bool) -> DataFrame:
     """Replace strings and comments (and quoted names) of `_new` by numbered tokens in `_skeleton`, kept in `_hidden`."""
-    start = _TEXT_START if keep_names else _HIDDEN_START
+    hidden = _text_part if keep_names else _hidden_part
     # numbering: a hidden segment's token carries its index among all segments
     token = lambda s, i: F.concat(F.when(s.contains("\n"), _OPEN_LINES).otherwise(_OPEN), (i + 1).cast("string"), F.lit(_CLOSE))
     df = df.withColumn("_hidden", segments(F.col("_new")))
-    return df.withColumn("_skeleton", F.array_join(F.transform("_hidden", lambda s, i: F.when(s.rlike(start), token(s, i)).otherwise(s)), ""))
+    return df.withColumn("_skeleton", F.array_join(F.transform("_hidden", lambda s, i: F.when(hidden(s), token(s, i)).otherwise(s)), ""))
 
 
 def _restore(df: DataFrame) -> DataFrame:
@@ -224,7 +242,7 @@ def dialect_scores(files: DataFrame, by: list[str]) -> DataFrame:
     """Best dialect per group (by=[] for the whole corpus): dialect, confidence, score, runner_up_score.
 
     A hint counts once per file. Synapse code is T-SQL too: once it has hits of its own, the T-SQL hits count for it."""
-    hit = lambda needle, p: F.when(F.col("_low").contains(needle) & F.col("text").rlike(p), 1).otherwise(0)
+    hit = lambda needle, p: F.when(_occurs(F.col("_low"), needle) & F.col("text").rlike(p), 1).otherwise(0)
     hits = {d: reduce(lambda a, b: a + b, [hit(n, p) for n, p in patterns]) for d, patterns in rules.DIALECT_HINTS.items()}
     sums = files.withColumn("_low", F.lower("text")).groupBy(*by).agg(*[F.coalesce(F.sum(h), F.lit(0)).alias(d) for d, h in hits.items()])
     sums = sums.withColumn("synapse", F.when(F.col("synapse") > 0, F.col("synapse") + F.col("mssql")).otherwise(0))

@@ -47,20 +47,26 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _by_value(name: str, numeric: bool, integral: bool) -> Column:
+def _by_value(name: str, numeric: bool, integral: bool, same_type: bool = False) -> Column:
+    """A value in the form both sides share: numbers by value, equal types as they are, anything else as text."""
     col = F.col(_quoted(name))
     if integral:
         return col.cast("bigint")
-    return col.try_cast(BY_VALUE) if numeric else col.cast("string")
+    if numeric:
+        return col.try_cast(BY_VALUE)
+    return col if same_type else col.cast("string")
 
 
-def row_hash(columns: list[str], numeric: list[str], integral: set[str]) -> Column:
-    """Hash of a row by value. NULL positions are hashed too, so a value that moved to another column is seen."""
-    parts: list[Column] = []
-    for c in columns:
-        value = _by_value(c, c in numeric, c in integral)
-        parts += [value, value.isNull()]
-    return F.xxhash64(*parts)
+def _hash_of(values: list[Column]) -> Column:
+    """Hash of a row's values. NULL positions are hashed too, so a value that moved to another column is seen."""
+    return F.xxhash64(*[x for v in values for x in (v, v.isNull())])
+
+
+def same_type_columns(source: DataFrame, target: DataFrame) -> set[str]:
+    """Shared columns of one hashable type on both sides."""
+    left, right = lower_columns(source), lower_columns(target)
+    return {c for c in shared_columns(source, target)
+            if left[c] == right[c] and isinstance(left[c], (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.BinaryType))}
 
 
 def _halves(value: Column, name: str) -> list[Column]:
@@ -75,26 +81,29 @@ def _whole(name: str) -> Column:
 
 
 def profile(df: DataFrame, numeric: list[str], shared: list[str], integral: set[str] = frozenset(),
-            lossy: list[str] = ()) -> DataFrame:
+            lossy: list[str] = (), same_type: set[str] = frozenset()) -> DataFrame:
     """One row: row_count, sum_<i> of every numeric column, cast_nulls, and the order-independent row checksum.
 
-    One scan. Each input partition is reduced to a single row of longs and decimals before anything is exchanged.
+    One scan, every value converted once. Each input partition is reduced to a single row of longs and decimals before
+    anything is exchanged.
     """
-    whole_numbers = [c for c in numeric if c in integral]
+    position = {c: i for i, c in enumerate(dict.fromkeys([*shared, *numeric]))}
+    values = df.select(*[_by_value(c, c in numeric, c in integral, c in same_type).alias(f"v{i}") for c, i in position.items()],
+                       *[F.col(_quoted(c)).isNotNull().alias(f"there{position[c]}") for c in lossy])
+    value = {c: F.col(f"v{i}") for c, i in position.items()}
     partial: list[Column] = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(numeric):
-        value = _by_value(c, True, c in integral)
-        partial += _halves(value, f"s{i}") if c in whole_numbers else [F.sum(value).alias(f"s{i}")]
+        partial += _halves(value[c], f"s{i}") if c in integral else [F.sum(value[c]).alias(f"s{i}")]
     if lossy:
-        lost = reduce(lambda a, b: a + b, [
-            (F.col(_quoted(c)).isNotNull() & F.col(_quoted(c)).try_cast(BY_VALUE).isNull()).cast("bigint") for c in lossy])
-        partial.append(F.sum(lost).alias("lost"))
+        lost = [(F.col(f"there{position[c]}") & value[c].isNull()).cast("bigint") for c in lossy]
+        partial.append(F.sum(reduce(lambda a, b: a + b, lost)).alias("lost"))
     if shared:
-        partial += _halves(row_hash(shared, numeric, integral), "h")
-    per_partition = df.groupBy(F.spark_partition_id().alias("part")).agg(*partial)
+        partial += _halves(F.col("row_hash"), "h")
+        values = values.withColumn("row_hash", _hash_of([value[c] for c in shared]))
+    per_partition = values.groupBy(F.spark_partition_id().alias("part")).agg(*partial)
     final = [F.coalesce(F.sum("n"), F.lit(0)).alias("row_count")]
     for i, c in enumerate(numeric):
-        final.append((_whole(f"s{i}").cast(BY_VALUE) if c in whole_numbers else F.sum(f"s{i}")).alias(f"sum_{i}"))
+        final.append((_whole(f"s{i}").cast(BY_VALUE) if c in integral else F.sum(f"s{i}")).alias(f"sum_{i}"))
     if lossy:
         final.append(F.coalesce(F.sum("lost"), F.lit(0)).alias("cast_nulls"))
     if shared:
@@ -115,7 +124,7 @@ def compare_table(source: DataFrame, target: DataFrame, checksum: bool = True) -
     `row_checksum(n columns)`. Values are decimals; two NULLs are equal.
     """
     shared = shared_columns(source, target)
-    numeric, integral = numeric_columns(source, target), integral_columns(source, target)
+    numeric, integral, same_type = numeric_columns(source, target), integral_columns(source, target), same_type_columns(source, target)
     lossy = _lossy([lower_columns(source), lower_columns(target)], numeric)
     labels = ["row_count", *[f"sum({c})" for c in numeric]]
     fields = ["row_count", *[f"sum_{i}" for i in range(len(numeric))]]
@@ -127,7 +136,7 @@ def compare_table(source: DataFrame, target: DataFrame, checksum: bool = True) -
         fields.append("checksum")
 
     def long_form(df: DataFrame, side: str) -> DataFrame:
-        row = profile(df, numeric, shared if checksum else [], integral, lossy)
+        row = profile(df, numeric, shared if checksum else [], integral, lossy, same_type)
         entries = F.array(*[F.struct(F.lit(i).alias("check_no"), F.lit(label).alias("check"),
                                      F.col(field).cast("decimal(38,6)").alias("value"))
                             for i, (label, field) in enumerate(zip(labels, fields))])
@@ -153,12 +162,13 @@ def equal_values(left: Column, right: Column) -> Column:
 
 
 def _hashed(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str], per_column: bool) -> DataFrame:
-    numeric, integral = numeric_columns(source, target), integral_columns(source, target)
+    numeric, integral, same_type = numeric_columns(source, target), integral_columns(source, target), same_type_columns(source, target)
     pick = keys + columns
+    form = lambda c: _by_value(c, c in numeric, c in integral, c in same_type)
 
     def side(df: DataFrame, sign: int) -> DataFrame:
-        hashes = ([row_hash([c], numeric, integral).alias(f"_h{i}") for i, c in enumerate(columns)] if per_column
-                  else [row_hash(columns, numeric, integral).alias("_h0")])
+        hashes = ([_hash_of([form(c)]).alias(f"_h{i}") for i, c in enumerate(columns)] if per_column
+                  else [_hash_of([form(c) for c in columns]).alias("_h0")])
         key_cols = [(F.col(_quoted(k)).cast("bigint") if k in integral else F.col(_quoted(k))).alias(k) for k in keys]
         return df.select(*[F.col(_quoted(c)) for c in pick]).select(*key_cols, F.lit(sign).alias("_side"), *hashes)
 
