@@ -80,7 +80,7 @@ def _merge_small(target, source, keys, track, update, insert, null_safe) -> Data
         *_merged_row(target, track, update, null_safe, F.col("s._in_s").isNotNull()))
     # The target keys that occur in the source: a narrow scan of the target filtered against the broadcast source keys.
     hit = target.select(*keys).join(F.broadcast(source.select(*keys)), keys, "left_semi").distinct()
-    added = checked.join(hit, keys, "left_anti").alias("s").select(*_inserted_row(target, insert))
+    added = checked.where("_in_s").join(hit, keys, "left_anti").alias("s").select(*_inserted_row(target, insert))
     return kept.unionByName(added)
 
 

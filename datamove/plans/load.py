@@ -67,8 +67,6 @@ def plan_load(settings: MoveSettings, only: list[str] | None = None) -> list[Ste
     """What a load would do, table by table. A filtered copy adds rows: it never empties the table."""
     if not settings.tables:
         raise MoveError("No tables to load.")
-    if settings.method == "catalog" and not settings.source_catalog and any("." not in t.source for t in settings.tables if t.load):
-        raise MoveError("Give a source catalog, or sources as schema.table.")
     if settings.method == "files" and not settings.files_root:
         raise MoveError("Loading files needs files_root, the folder with one folder per table.")
     wanted = {x.lower() for x in only} if only else None

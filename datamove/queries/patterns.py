@@ -260,5 +260,5 @@ def demo_sales_totals(spark, folder):
     customers = made["dim_customer"].agg(F.count(F.lit(1)).alias("customers"), F.sum("customer_id").alias("customer_ids"))
     products = made["dim_product"].agg(F.count(F.lit(1)).alias("products"), dbl(F.sum("list_price")).alias("list_price"))
     fact = made["fact_daily_sales"].agg(F.sum("order_count").alias("orders"), dbl(F.sum("total_amount")).alias("amount"))
-    one = F.lit(1).alias("one")
-    return customers.select("*", one).join(products.select("*", one), "one").join(fact.select("*", one), "one").drop("one")  # one row each
+    parts = customers.unionByName(products, allowMissingColumns=True).unionByName(fact, allowMissingColumns=True)  # one row each
+    return parts.agg(*[F.max(c).alias(c) for c in ("customers", "customer_ids", "products", "list_price", "orders", "amount")])

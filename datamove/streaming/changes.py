@@ -7,27 +7,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from datamove.operators.latest import latest_per_key
 
 
-def _differs(columns: list[str]) -> Column:
-    same = F.lit(True)
-    for c in columns:
-        same = same & F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}"))
-    return ~same
-
-
 def snapshot_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Change rows between two snapshots with unique keys: insert, delete, update_preimage and update_postimage, each with
     the row's columns. One join on the keys; equal rows are dropped before anything is emitted."""
     columns = old.columns
     values = [c for c in columns if c not in keys]
-    left = old.select(F.struct(*columns).alias("old"), *[F.col(k).alias(f"_ok{i}") for i, k in enumerate(keys)])
-    right = new.select(F.struct(*columns).alias("new"), *[F.col(k).alias(f"_nk{i}") for i, k in enumerate(keys)])
-    on = [F.col(f"_ok{i}") == F.col(f"_nk{i}") for i in range(len(keys))]
-    joined = left.join(right, on, "full").where(F.col("old").isNull() | F.col("new").isNull() | _differs(values))
-    change = lambda kind, side: F.struct(F.lit(kind).alias("change"), F.col(side).alias("row"))
+    side = lambda df, name: df.select(*keys, F.struct(F.lit(True).alias("_here"), *values).alias(name))
+    joined = side(old, "old").join(side(new, "new"), keys, "full").where(~F.col("old").eqNullSafe(F.col("new")))
+
+    def change(kind: str, name: str) -> Column:
+        row = [F.col(c) if c in keys else F.col(f"{name}.{c}") for c in columns]
+        return F.struct(F.lit(kind).alias("change"), *[r.alias(c) for r, c in zip(row, columns)])
     rows = (F.when(F.col("old").isNull(), F.array(change("insert", "new")))
             .when(F.col("new").isNull(), F.array(change("delete", "old")))
             .otherwise(F.array(change("update_preimage", "old"), change("update_postimage", "new"))))
-    return joined.select(F.inline(rows)).select("change", "row.*")
+    return joined.select(F.inline(rows))
 
 
 def merge_latest(current: DataFrame, changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
