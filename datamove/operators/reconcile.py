@@ -182,9 +182,17 @@ def _by_key(source: DataFrame, target: DataFrame, keys: list[str], columns: list
     count_of = lambda sign: F.sum(F.when(F.col("_side") == sign, 1).otherwise(0)).alias(
         "in_source" if sign == 1 else "in_target")
     n_hashes = len(columns) if per_column else 1
-    signed = [F.sum(F.col("_side") * F.col(f"_h{i}").cast("decimal(20,0)")).alias(f"d{i}") for i in range(n_hashes)]
     united = _hashed(source, target, keys, columns, per_column)
-    return united.groupBy(*keys).agg(count_of(1), count_of(-1), *signed), columns
+    signed = [F.sum(F.col("_side") * piece).alias(f"d{i}_{j}") for i in range(n_hashes) for j, piece in enumerate(_pieces(F.col(f"_h{i}")))]
+    by_key = united.groupBy(*keys).agg(count_of(1), count_of(-1), *signed)
+    differs = [reduce(lambda a, b: a | b, [F.col(f"d{i}_{j}") != 0 for j in range(3)]).alias(f"differs_{i}") for i in range(n_hashes)]
+    return by_key.select(*keys, "in_source", "in_target", *differs), columns
+
+
+def _pieces(value: Column) -> list[Column]:
+    """A 64-bit hash in three parts of at most 22 bits: their sums stay exact in longs for 2^41 rows of one key."""
+    low = F.lit((1 << 22) - 1)
+    return [value.bitwiseAND(low), F.shiftright(value, 22).bitwiseAND(low), F.shiftright(value, 44)]
 
 
 def reconcile_rows(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
@@ -195,15 +203,15 @@ def reconcile_rows(source: DataFrame, target: DataFrame, keys: list[str], column
     """
     by_key, _ = _by_key(source, target, keys, columns, per_column=False)
     difference = (F.when(F.col("in_target") == 0, "missing_in_target").when(F.col("in_source") == 0, "missing_in_source")
-                  .when((F.col("in_source") != F.col("in_target")) | (F.col("d0") != 0), "changed"))
-    return by_key.withColumn("difference", difference).where("difference is not null").drop("d0")
+                  .when((F.col("in_source") != F.col("in_target")) | F.col("differs_0"), "changed"))
+    return by_key.withColumn("difference", difference).where("difference is not null").drop("differs_0")
 
 
 def reconcile_columns(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
     """For each compared column, the number of keys present on both sides whose value differs: (column, mismatches)."""
     by_key, columns = _by_key(source, target, keys, columns, per_column=True)
     counts = by_key.where("in_source > 0 and in_target > 0").agg(
-        *[F.count_if(F.col(f"d{i}") != 0).alias(f"m{i}") for i in range(len(columns))])
+        *[F.count_if(f"differs_{i}").alias(f"m{i}") for i in range(len(columns))])
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("mismatches")) for i, c in enumerate(columns)])
     return counts.select(F.inline(entries))
 
