@@ -11,10 +11,13 @@ from datamove import code_rules as rules, fixed_values as fixed
 from datamove.session import broadcast_if_small, cut_lineage
 
 # Private-use characters that stand for what is hidden while patterns run.
-_OPEN, _CLOSE, _OPEN_LINES, _MARK, _CALL = "", "", "", "", ""
+_CLOSE, _MARK, _CALL = "\ue001", "\ue003", "\ue004"
+_LINE, _BLOCK, _BLOCK_LINES, _OTHER, _OTHER_LINES = "\ue005", "\ue006", "\ue007", "\ue008", "\ue009"
+_NOTE, _CONSTRAINT = "\ue00a", "\ue00b"
+_FIRST_STAND_IN, _LAST_STAND_IN = "\ue000", "\ue00f"
 # A file is a run of line comments, block comments, strings, quoted names and code.
 _SEGMENT = (r"""--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)|'(?:[^'\\]++|\\[\s\S]|'')*+(?:'|\\?\z)|"(?:[^"\\]++|\\[\s\S]|"")*+(?:"|\\?\z)"""
-            r"""|`(?:[^`]++|``)*+(?:`|\z)|[\x{E000}-\x{E006}]|[^\-/'"`\x{E000}-\x{E006}]++|[\-/]""")
+            r"""|`(?:[^`]++|``)*+(?:`|\z)|[\x{E000}-\x{E00F}]|[^\-/'"`\x{E000}-\x{E00F}]++|[\-/]""")
 
 
 def _comment(s: Column) -> Column:
@@ -24,7 +27,7 @@ def _comment(s: Column) -> Column:
 def _text_part(s: Column) -> Column:
     """A comment, a string, or a stray stand-in character."""
     first = F.substring(s, 1, 1)
-    return first.isin("'", '"') | _comment(s) | first.between(_OPEN, _CALL)
+    return first.isin("'", '"') | _comment(s) | first.between(_FIRST_STAND_IN, _LAST_STAND_IN)
 
 
 def _hidden_part(s: Column) -> Column:
@@ -152,23 +155,51 @@ def rule_scan(files: DataFrame, dialect: str | None = None, only: list[str] | No
 
 # ---------------------------------------------------------------- rewrites
 
+# A hidden segment becomes <kind><number><end> while patterns run; the kinds tell comments, other text and line breaks apart.
+_OPENERS = _LINE + _BLOCK + _BLOCK_LINES + _OTHER + _OTHER_LINES + _NOTE + _CONSTRAINT
+
+
+def _token(s: Column, i: Column) -> Column:
+    kind = (F.when(s.startswith("--"), _LINE).when(s.startswith("/*"), F.when(s.contains("\n"), _BLOCK_LINES).otherwise(_BLOCK))
+            .otherwise(F.when(s.contains("\n"), _OTHER_LINES).otherwise(_OTHER)))
+    return F.concat(kind, (i + 1).cast("string"), F.lit(_CLOSE))
+
+
 def _skeleton(df: DataFrame, keep_names: bool) -> DataFrame:
-    """Replace strings and comments (and quoted names) of `_new` by numbered tokens in `_skeleton`, kept in `_hidden`."""
+    """Replace strings and comments (and quoted names) of `_new` by tokens in `_skeleton`; the segments stay in `_hidden`."""
     hidden = _text_part if keep_names else _hidden_part
-    # numbering: a hidden segment's token carries its index among all segments
-    token = lambda s, i: F.concat(F.when(s.contains("\n"), _OPEN_LINES).otherwise(_OPEN), (i + 1).cast("string"), F.lit(_CLOSE))
     df = df.withColumn("_hidden", segments(F.col("_new")))
-    return df.withColumn("_skeleton", F.array_join(F.transform("_hidden", lambda s, i: F.when(hidden(s), token(s, i)).otherwise(s)), ""))
+    return df.withColumn("_skeleton", F.array_join(F.transform("_hidden", lambda s, i: F.when(hidden(s), _token(s, i)).otherwise(s)), ""))
+
+
+def _spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def _restore(df: DataFrame, schema_map: dict[str, str] | None = None) -> DataFrame:
+    """Put the hidden segments back in place of their tokens. A token of the kind note or constraint is a block comment whose
+    content is written out as a line comment."""
+    pieces = F.split("_skeleton", f"(?=[{_OPENERS}])")
 
+    def inside(segment: Column) -> Column:
+        return F.regexp_replace(segment, r"\A/\*|\*/\z", "")
 
-def _restore(df: DataFrame) -> DataFrame:
-    """Put the hidden segments back in place of their tokens."""
-    pieces = F.split("_skeleton", f"[{_OPEN}{_OPEN_LINES}]")
+    def constraint(segment: Column, table: Column) -> Column:
+        body = _spaced(F.substring_index(inside(segment), "-- FIXME:", 1))
+        key = F.regexp_replace(F.regexp_replace(body, rules.FOREIGN_KEY, "ADD CONSTRAINT $1 FOREIGN KEY $2 REFERENCES $3 $4;"), r"\[([^\]]+)\]", "`$1`")
+        for source, target in (schema_map or {}).items():
+            key = F.regexp_replace(key, rf"(?i)(?<=REFERENCES )(?:`\Q{source}\E`|\Q{source}\E)\.", target.replace("$", "\\$") + ".")
+        told = F.concat(F.lit("-- foreign key for information (not enforced):\n-- ALTER TABLE "), table, F.lit(" "), key)
+        left = F.concat(F.lit("-- not converted - rewrite manually: ALTER TABLE "), table, F.lit(" "), _spaced(inside(segment)))
+        return F.when(body.rlike(rules.FOREIGN_KEY), told).otherwise(left)
 
-    def piece(p: Column, i: Column) -> Column:
-        number = F.substring_index(p, _CLOSE, 1).try_cast("int")
+    def piece(p: Column) -> Column:
+        kind = F.substring(p, 1, 1)
+        segment = F.element_at(F.col("_hidden"), F.substring_index(F.substring(p, 2, F.length(p)), _CLOSE, 1).try_cast("int"))
         rest = F.substring(p, F.instr(p, _CLOSE) + 1, F.length(p))
-        return F.when(i == 0, p).otherwise(F.concat(F.element_at(F.col("_hidden"), number), rest))
+        after = F.substring(rest, F.instr(rest, _MARK) + 1, F.length(rest))
+        return (F.when(~kind.isin(*_OPENERS), p).when(kind == _NOTE, F.concat(_spaced(inside(segment)), rest))
+                .when(kind == _CONSTRAINT, F.concat(constraint(segment, F.substring_index(rest, _MARK, 1)), after)).otherwise(F.concat(segment, rest)))
     return df.withColumn("_new", F.array_join(F.transform(pieces, piece), ""))
 
 
@@ -196,15 +227,19 @@ def rewrite(files: DataFrame, dialect: str | None = None, schema_map: dict[str,
         if _applies(dialects, dialect):
             df = _apply(df, rule, pattern, replacement)
     # a comment between AS and its alias moves behind the alias's line
-    token = rf"({_OPEN}\d+{_CLOSE})"
-    df = _apply(df, "dangling-comment", rf"(?i)\bAS[ \t]*\r?\n[ \t]*{token}\r?\n[ \t]*(\w+)([^\n\-]*)", "AS $2$3 $1")
+    df = _apply(df, "dangling-comment", rf"(?i)\bAS[ \t]*\r?\n[ \t]*({_LINE}\d+{_CLOSE})\r?\n[ \t]*(\w+)([^\n\-]*)", "AS $2$3 $1")
+    block = rf"[{_BLOCK}{_BLOCK_LINES}](\d+){_CLOSE}\s*;"
+    # an unconverted CREATE is only a comment in a shell that cannot run
+    df = _apply(df, "empty-create", rf"(?i)\bCREATE(?:\s+OR\s+REPLACE)?\s*{block}", f"-- not converted - rewrite manually: CREATE {_NOTE}$1{_CLOSE}")
     # column definitions: an explicit NULL is the default
     pieces = F.split("_skeleton", ";")
     in_tables = lambda s: s.rlike(rules.CREATE_TABLE_START)
     nulls = F.aggregate(pieces, F.lit(0), lambda n, s: n + F.when(in_tables(s), F.regexp_count(s, F.lit(rules.EXPLICIT_NULL))).otherwise(0))
     df = df.withColumn("_counts", F.map_concat("_counts", F.create_map(F.lit("explicit-null"), nulls)))
     df = df.withColumn("_skeleton", F.array_join(F.transform(pieces, lambda s: F.when(in_tables(s), F.regexp_replace(s, rules.EXPLICIT_NULL, "")).otherwise(s)), ";"))
-    df = _restore(df)
+    # a commented-out constraint leaves an ALTER TABLE that cannot run
+    df = _apply(df, "empty-alter", rf"(?i)\bALTER\s+TABLE\s+([^\s/;{_OPENERS}]+)\s*{block}", f"{_CONSTRAINT}$2{_CLOSE}$1{_MARK}")
+    df = _restore(df, schema_map)
     return df.select("path", "text", F.regexp_replace("_new", r"\n{3,}", "\n\n").alias("new_text"),
                      F.map_filter("_counts", lambda k, v: v > 0).alias("counts"))
 

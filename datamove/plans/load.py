@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from datamove import fixed_values as fixed
 from datamove.operators import reconcile
-from datamove.sources.files import as_target_reads_it, cast_to_target, export_folder, read_export
+from datamove.sources.files import as_target_reads_it, export_folder, read_export
 from datamove.sources.tables import read_source
 from datamove.spec import MoveError, MoveSettings, TableMapping, refuse_production
 from datamove.streaming.ingest import ingest_files

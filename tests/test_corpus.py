@@ -64,6 +64,10 @@ def test_repeats_fold_and_notes_are_graded(spark):
     ("SELECT CAST(p:c AS VARCHAR(16777216)) AS c FROM t", "snowflake", "SELECT CAST(p:c AS STRING) AS c FROM t"),
     ("SELECT 1 WHERE x.IsActive = 1 AND b = '=1' OR IsActive <> 0 AND Other = 1", "mssql", "SELECT 1 WHERE x.IsActive = true AND b = '=1' OR IsActive <> false AND Other = 1"),
     ("CREATE TABLE t (a INT NULL, b INT NOT NULL, c INT DEFAULT NULL, d INT NULL); SELECT NULL, x IS NULL", "mssql", "CREATE TABLE t (a INT, b INT NOT NULL, c INT DEFAULT NULL, d INT); SELECT NULL, x IS NULL"),
+    ("SELECT 1;\nCREATE OR REPLACE /* STREAM A.S\n ON TABLE A.T */;\nSELECT '/* x */';", "snowflake", "SELECT 1;\n-- not converted - rewrite manually: CREATE STREAM A.S ON TABLE A.T\nSELECT '/* x */';"),
+    ("ALTER TABLE t /* CONSTRAINT [FK] FOREIGN KEY ([b]) REFERENCES [dbo].[B] ([id]) ON DELETE CASCADE -- FIXME: no */;\nSELECT 1", "mssql",
+     "-- foreign key for information (not enforced):\n-- ALTER TABLE t ADD CONSTRAINT `FK` FOREIGN KEY (`b`) REFERENCES main.s.`B` (`id`);\nSELECT 1"),
+    ("ALTER TABLE t /* ADD  x */;", "mssql", "-- not converted - rewrite manually: ALTER TABLE t ADD x"), ("SELECT 1 AS\n 'x'\n y", "mssql", None),
     ("a 'it''s' b \"q\\\"x\" /* c\n */ -- d\n`e``f` 'open", "mssql", None),
 ])
 def test_rewrites(spark, text, dialect, want):
