@@ -314,7 +314,7 @@ def _score(patterns: list[tuple[str, int]]) -> Column:
 
 
 def fit(files: DataFrame) -> DataFrame:
-    """Where each object belongs: (path, name, kind, category, score). Routines are scored from the words of their name and
+    """Where each object belongs: (path, name, kind, category, purpose, score). Routines are scored from the words of their name and
     patterns in their body; an unclear routine follows the objects that use it."""
     df = main_objects(files)
     words = F.transform(F.regexp_extract_all(F.regexp_extract("name", r"([^.]*)$", 1), F.lit(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])"), F.lit(0)), F.lower)
@@ -335,7 +335,9 @@ def fit(files: DataFrame) -> DataFrame:
                 .when(F.col("kind") == "table", "data").when(F.col("kind").isin("trigger", "type"), "keep")
                 .when(F.col("kind").isin("security", "schema", "index"), "skip").when(F.col("kind").isin("sequence", "synonym"), "review")
                 .when(F.col("bare").rlike(rules.WRITE_WORD), "data").otherwise("review"))
-    narrow = df.select("path", "name", "kind", "short", "score", category.alias("category"), routine.alias("_routine"),
+    purpose = (F.when(routine & (F.col("score") >= 2), F.when(F.col("_etl") > F.col("_report"), "ETL / data movement").otherwise("reporting / analytics"))
+               .when(routine & (F.col("score") <= -2), "application logic").when(routine, "unclear").otherwise(F.col("kind")))
+    narrow = df.select("path", "name", "kind", "short", "score", purpose.alias("purpose"), category.alias("category"), routine.alias("_routine"),
                        (F.col("bare").rlike(rules.AUDIT_COLUMNS) & (F.col("kind") == "table")).alias("audited"))
     placed = cut_lineage(narrow)  # a few short values per file; the texts are not scored twice
     # words of the routines' code that are names of unclear routines, with the category of the routine that uses them
@@ -347,7 +349,8 @@ def fit(files: DataFrame) -> DataFrame:
                 .agg(F.max((F.col("category") == "migrate").cast("int")).alias("_moves"), F.count(F.lit(1)).alias("_callers")))
     joined = placed.join(followed, (placed["short"] == followed["_word"]) & placed["_routine"] & (placed["category"] == "review"), "left")
     final = F.when(F.col("_moves") == 1, "migrate").when(F.col("_callers") > 0, "keep").otherwise(F.col("category"))
-    return joined.select("path", "name", "kind", final.alias("category"), F.when(F.col("_routine"), F.col("score")).alias("score"),
+    purpose = F.when((F.col("category") == "review") & F.col("_callers").isNotNull(), "helper").otherwise(F.col("purpose"))
+    return joined.select("path", "name", "kind", final.alias("category"), purpose.alias("purpose"), F.when(F.col("_routine"), F.col("score")).alias("score"),
                          "audited", F.regexp_extract("name", r"([^.]*)$", 1).alias("short"))
 
 
@@ -492,7 +495,7 @@ def fingerprints(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("text", 256).alias("sha256"))
 
 
-def set_fingerprint(prints: DataFrame, prefix: int = 3) -> DataFrame:
+def set_fingerprint(prints: DataFrame, prefix: int = 4) -> DataFrame:
     """One fingerprint for the whole set in two steps, so no task sees all files: files are grouped by the first characters of
     their path's hash, each group's sorted `path:sha256` lines are hashed, then the groups' lines are hashed."""
     line = F.concat("path", F.lit(":"), "sha256", F.lit("\n"))

@@ -9,28 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from datamove.functions import scalar
+from datamove.operators.keys import single_rows, spread
 from datamove.session import BROADCAST_LIMIT, broadcast_if_small, cut_lineage, planned_bytes
 
-_SPREAD = 1024  # rows with a NULL key never match: they are spread over this many hash values
-
-
-def _spread(keys: list[str], df: DataFrame) -> Column:
-    """0 for complete keys; for keys with a NULL, a number from the row's other values, so such rows do not gather in one task."""
-    any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    others = [F.col(c) for c in df.columns if c not in keys] or [F.lit(0)]
-    return F.when(any_null, F.pmod(F.xxhash64(*others), F.lit(_SPREAD))).otherwise(F.lit(0).cast("bigint"))
-
-
-def _single_match(df: DataFrame, keys: list[str], spread: str | None = None) -> DataFrame:
-    """Fail when a complete key occurs twice: MERGE would update one target row twice."""
-    same_key = Window.partitionBy(*keys, *([spread] if spread else []))
-    complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    counted = df.withColumn("_n", F.count(F.lit(1)).over(same_key))
-    problem = F.concat(F.lit("More than one source row for key "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
-    return counted.withColumn("_n", F.when(complete & (F.col("_n") > 1), F.raise_error(problem).cast("bigint"))
-                              .otherwise(F.col("_n")))
-
-
 def changed(columns: list[str], null_safe: bool) -> Column:
     """Any tracked column differs between `t` and `s`. As in SQL, NULL compares as unknown unless null_safe."""
     tests = [~F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) if null_safe else F.col(f"t.{c}") != F.col(f"s.{c}") for c in columns]
@@ -61,26 +42,26 @@ def _inserted_row(target: DataFrame, insert: dict[str, Column]) -> list[Column]:
 
 
 def _merge_large(target, source, keys, track, update, insert, null_safe) -> DataFrame:
-    t = target.withColumn("_spread", _spread(keys, target)).withColumn("_in_t", F.lit(True)).alias("t")
-    s = source.withColumn("_spread", _spread(keys, source))
-    s = _single_match(s, keys, "_spread").withColumn("_in_s", F.col("_n") >= 1).drop("_n").alias("s")
+    t = target.withColumn("_spread", spread(keys, target)).withColumn("_in_t", F.lit(True)).alias("t")
+    s = source.withColumn("_spread", spread(keys, source))
+    s = single_rows(s, keys, "_spread").alias("s")
     on = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in [*keys, "_spread"]]
     joined = t.join(s, on, "full")
-    kept = _merged_row(target, track, update, null_safe, F.col("s._in_s").isNotNull())
+    kept = _merged_row(target, track, update, null_safe, F.col("s._single").isNotNull())
     new = _inserted_row(target, insert)
     return joined.select(*[F.when(F.col("t._in_t").isNull(), n).otherwise(k).alias(c)
                            for c, n, k in zip(target.columns, new, kept)])
 
 
 def _merge_small(target, source, keys, track, update, insert, null_safe) -> DataFrame:
-    checked = _single_match(source, keys).withColumn("_in_s", F.col("_n") >= 1).drop("_n")
+    checked = single_rows(source, keys)
     s = F.broadcast(checked.alias("s"))
     on = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
     kept = target.alias("t").join(s, on, "left").select(
-        *_merged_row(target, track, update, null_safe, F.col("s._in_s").isNotNull()))
+        *_merged_row(target, track, update, null_safe, F.col("s._single").isNotNull()))
     # The target keys that occur in the source: a narrow scan of the target filtered against the broadcast source keys.
     hit = target.select(*keys).join(F.broadcast(source.select(*keys)), keys, "left_semi").distinct()
-    added = checked.where("_in_s").join(hit, keys, "left_anti").alias("s").select(*_inserted_row(target, insert))
+    added = checked.where("_single").join(hit, keys, "left_anti").alias("s").select(*_inserted_row(target, insert))
     return kept.unionByName(added)
 
 

@@ -167,9 +167,10 @@ _KIND = "CASE doc_id % 8 WHEN 0 THEN 'procedure' WHEN 1 THEN 'view' WHEN 2 THEN
 
 @query("corpus_fit", f"""
 SELECT {_PATH} AS path, {_NAMED} AS name, {_KIND} AS kind, CASE doc_id % 8 WHEN 2 THEN 'data' WHEN 3 THEN 'keep' WHEN 5 THEN 'review' WHEN 6 THEN 'review' ELSE 'migrate' END AS category,
+       CASE doc_id % 8 WHEN 0 THEN 'ETL / data movement' WHEN 1 THEN 'reporting / analytics' WHEN 2 THEN 'table' WHEN 3 THEN 'application logic' WHEN 4 THEN 'reporting / analytics' WHEN 7 THEN 'helper' ELSE 'script' END AS purpose,
        CAST(CASE doc_id % 8 WHEN 0 THEN 5 WHEN 1 THEN 8 WHEN 3 THEN -2 WHEN 4 THEN 2 WHEN 7 THEN -1 END AS INTEGER) AS score FROM documents""")
 def corpus_fit(spark, folder):
-    return corpus.fit(_files(spark, folder)).select("path", "name", "kind", "category", "score")
+    return corpus.fit(_files(spark, folder)).select("path", "name", "kind", "category", "purpose", "score")
 
 
 @query("corpus_verdict", """
@@ -252,7 +253,7 @@ def corpus_dropped(spark, folder):
 
 
 @query("corpus_fingerprint", f"""WITH {FILES_SQL}, p AS (SELECT path, sha256(text) AS h FROM files),
-g AS (SELECT substr(sha256(path), 1, 3) AS g, count(*) AS n, sha256(string_agg(path || ':' || h || chr(10), '' ORDER BY path || ':' || h)) AS h FROM p GROUP BY 1)
+g AS (SELECT substr(sha256(path), 1, 4) AS g, count(*) AS n, sha256(string_agg(path || ':' || h || chr(10), '' ORDER BY path || ':' || h)) AS h FROM p GROUP BY 1)
 SELECT CAST(sum(n) AS BIGINT) AS files, sha256(string_agg(g || ':' || h || chr(10), '' ORDER BY g)) AS fingerprint FROM g""")
 def corpus_fingerprint(spark, folder):
     return corpus.set_fingerprint(corpus.fingerprints(_files(spark, folder)))

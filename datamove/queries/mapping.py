@@ -58,7 +58,7 @@ def ddl_from_inventory(spark, folder):
 def _inventory(spark, folder):
     """An inventory file written from the part rows, read back."""
     rows = read(spark, folder, "part").selectExpr(
-        "'s' || p_size % 3 AS Schema_Name", "p_brand AS Table_Name", "p_name || ' ' || p_partkey AS Column_Name", "p_partkey AS Ordinal",
+        "'s' || p_size % 3 AS Schema_Name", "p_brand || '_' || p_partkey DIV 100 AS Table_Name", "p_name || ' ' || p_partkey AS Column_Name", "p_partkey AS Ordinal",
         "CASE WHEN p_partkey % 4 = 0 THEN 'bit' ELSE 'int' END AS Data_Type", "p_size AS Max_Length", "10 AS Precision", "0 AS Scale",
         "CASE WHEN p_partkey % 2 = 0 THEN 'yes' ELSE 'NO' END AS Is_Nullable", "'1,' || lpad(CAST(p_size AS STRING), 3, '0') AS Row_Count",
         "p_retailprice AS Size_MB")
@@ -68,7 +68,7 @@ def _inventory(spark, folder):
 
 
 @query("inventory_tables", """
-SELECT 's' || p_size % 3 AS schema_name, p_brand AS table_name, CAST(max(1000 + p_size) AS DOUBLE) AS rows, max(p_retailprice) AS size_mb, count(*) AS columns,
+SELECT 's' || p_size % 3 AS schema_name, p_brand || '_' || p_partkey // 100 AS table_name, CAST(max(1000 + p_size) AS DOUBLE) AS rows, max(p_retailprice) AS size_mb, count(*) AS columns,
        arg_min(p_name || ' ' || p_partkey, p_partkey) AS first_column, count(*) FILTER (p_partkey % 2 = 0) AS nullable_columns
 FROM part GROUP BY 1, 2""")
 def inventory_tables(spark, folder):
@@ -78,7 +78,7 @@ def inventory_tables(spark, folder):
 
 
 @query("inventory_summary", """
-WITH t AS (SELECT 's' || p_size % 3 AS s, p_brand, count(*) AS n, max(1000 + p_size) AS r, max(p_retailprice) AS m FROM part GROUP BY 1, 2)
+WITH t AS (SELECT 's' || p_size % 3 AS s, p_brand || '_' || p_partkey // 100 AS tab, count(*) AS n, max(1000 + p_size) AS r, max(p_retailprice) AS m FROM part GROUP BY 1, 2)
 SELECT count(*) AS tables, CAST(sum(n) AS BIGINT) AS columns, CAST(sum(r) AS BIGINT) AS rows, CAST(round(sum(CAST(m AS DECIMAL(18,2))), 1) AS DOUBLE) AS size_mb,
        string_agg(DISTINCT s, ',' ORDER BY s) AS schemas FROM t""")
 def inventory_summary(spark, folder):

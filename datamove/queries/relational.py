@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from datamove.functions import scalar
-from datamove.operators import latest, patterns
+from datamove.operators import latest, lists, patterns
 from datamove.queries.base import AS_OF, CANCELLED, dbl, money, query, read
 from datamove.queries.patterns import _FACT_SQL, fact_of
 from datamove.session import broadcast_if_small
@@ -120,16 +120,20 @@ def monthly_revenue(spark, folder):
 SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY o_orderdate, o_orderkey) AS order_ids, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
 FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1""")
 def agg_ordered_array(spark, folder):
-    ordered = F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey")))
-    return (read(spark, folder, "orders").where(F.col("o_orderstatus") != CANCELLED).groupBy("o_custkey")
-            .agg(F.array_join(F.transform(ordered, lambda x: x["o_orderkey"].cast("string")), ",").alias("order_ids"), dbl(F.sum(money("o_totalprice"))).alias("total")))
+    kept = read(spark, folder, "orders").where(F.col("o_orderstatus") != CANCELLED)
+    ids = lists.ordered_text(kept, ["o_custkey"], F.trunc("o_orderdate", "month"), ["o_orderdate", "o_orderkey"], F.col("o_orderkey"))
+    totals = kept.groupBy("o_custkey").agg(dbl(F.sum(money("o_totalprice"))).alias("total"))
+    return ids.join(totals, "o_custkey").select("o_custkey", F.col("joined").alias("order_ids"), "total")
 
 
 @query("agg_listagg", "SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS order_ids, count(*) AS orders FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
 def agg_listagg(spark, folder):
     read(spark, folder, "orders").createOrReplaceTempView("dm_orders")
-    return spark.sql("""SELECT o_custkey, listagg(CAST(o_orderkey AS STRING), ',') WITHIN GROUP (ORDER BY o_orderkey) AS order_ids, count(*) AS orders
-                        FROM dm_orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey""")
+    # LISTAGG in two steps: runs of keys first, then each customer's runs
+    return spark.sql("""
+        SELECT o_custkey, listagg(part, ',') WITHIN GROUP (ORDER BY run) AS order_ids, sum(n) AS orders FROM (
+          SELECT o_custkey, o_orderkey DIV 100000 AS run, listagg(CAST(o_orderkey AS STRING), ',') WITHIN GROUP (ORDER BY o_orderkey) AS part, count(*) AS n
+          FROM dm_orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey, o_orderkey DIV 100000) GROUP BY o_custkey""")
 
 
 @query("monthly_sales_fiscal", f"""

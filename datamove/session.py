@@ -21,6 +21,7 @@ def build_session(app: str = "datamove", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",  # split a hot key even where that costs a shuffle later
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
         "spark.scheduler.mode": "FAIR",

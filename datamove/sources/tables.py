@@ -51,12 +51,12 @@ def catalog_inventory(tables: dict[str, DataFrame]) -> DataFrame:
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     """The inventory CSV as typed rows: any of the usual delimiters, header in any case, numbers with thousands commas."""
     header = spark.read.text(path).first()
-    line = header[0].lstrip("﻿") if header else ""
+    line = header[0].lstrip("\ufeff") if header else ""
     if not line:
         raise MoveError("The inventory file has no rows.")
     delimiter = max(fixed.INVENTORY_DELIMITERS, key=line.count)
     raw = spark.read.csv(path, header=True, sep=delimiter, multiLine=False)
-    names = {c: c.lstrip("﻿").strip().lower() for c in raw.columns}
+    names = {c: c.lstrip("\ufeff").strip().lower() for c in raw.columns}
     raw = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     missing = [c for c in fixed.INVENTORY_REQUIRED if c not in raw.columns]
     if missing:

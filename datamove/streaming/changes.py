@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from datamove.operators.keys import single_rows
 from datamove.operators.latest import latest_per_key
 
 
 def snapshot_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Change rows between two snapshots with unique keys: insert, delete, update_preimage and update_postimage, each with
+    """Change rows between two snapshots with unique keys (a repeated key fails): insert, delete, update_preimage and update_postimage, each with
     the row's columns. One join on the keys; equal rows are dropped before anything is emitted."""
     columns = old.columns
     values = [c for c in columns if c not in keys]
-    side = lambda df, name: df.select(*keys, F.struct(F.lit(True).alias("_here"), *values).alias(name))
+    side = lambda df, name: single_rows(df, keys).select(*keys, F.struct(F.col("_single").alias("_here"), *values).alias(name))
     joined = side(old, "old").join(side(new, "new"), keys, "full").where(~F.col("old").eqNullSafe(F.col("new")))
 
     def change(kind: str, name: str) -> Column:

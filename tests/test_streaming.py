@@ -1,7 +1,6 @@
 import uuid
 
 import pytest
-from pyspark.sql import functions as F
 
 from datamove.session import scratch_path
 from datamove.sources.tables import create_table
@@ -43,4 +42,5 @@ def test_snapshot_changes(spark):
     new = spark.createDataFrame([(1, "a", None), (2, "B", 1), (4, "d", 1)], "k int, v string, n int")
     rows = {(r.change, r.k, r.v) for r in snapshot_changes(old, new, ["k"]).collect()}
     assert rows == {("update_preimage", 2, "b"), ("update_postimage", 2, "B"), ("delete", 3, "c"), ("insert", 4, "d")}
-    assert F is not None
+    with pytest.raises(Exception, match="More than one source row for key 2"):
+        snapshot_changes(old.union(old.where("k = 2")), new, ["k"]).collect()

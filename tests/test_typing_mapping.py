@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from datamove.operators import mapping, typing
 
@@ -71,4 +70,3 @@ def test_schema_map_and_doubled_targets(spark):
 def test_column_differences(spark):
     side = lambda names: spark.createDataFrame([("t", n) for n in names], "table_name string, column_name string")
     assert {(r.column_name, r.only_in) for r in mapping.column_differences(side(["A", "b"]), side(["a", "C"])).collect()} == {("b", "source"), ("c", "target")}
-    assert F is not None
