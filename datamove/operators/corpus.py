@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from datamove import code_rules as rules, fixed_values as fixed
-from datamove.session import broadcast_if_small, cut_lineage
+from datamove.session import broadcast_if_small, cut_lineage, spread_over_cores
 
 # Private-use characters that stand for what is hidden while patterns run.
 _CLOSE, _MARK, _CALL = "\ue001", "\ue003", "\ue004"
@@ -39,16 +39,16 @@ def segments(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_SEGMENT), F.lit(0))
 
 
-def masked(parts: Column, keep_names: bool = True) -> Column:
+def masked(parts: Column, keep_names: bool = True, blank: str = " ") -> Column:
     """The text with strings and comments (and quoted names) blanked out. A hidden stretch of a line becomes one blank and line
     breaks stay, so line numbers hold and patterns do not run over long blanks."""
     hidden = _text_part if keep_names else _hidden_part
-    return F.array_join(F.transform(parts, lambda s: F.when(hidden(s), F.regexp_replace(s, r"[^\n]+", " ")).otherwise(s)), "")
+    return F.array_join(F.transform(parts, lambda s: F.when(hidden(s), F.regexp_replace(s, r"[^\n]+", blank)).otherwise(s)), "")
 
 
 def with_masks(files: DataFrame) -> DataFrame:
     """Add `code` (quoted names kept) and `bare` (quoted names blanked too). Each is computed once per file."""
-    cut = files.withColumn("_parts", segments(F.col("text")))
+    cut = spread_over_cores(files, "path").withColumn("_parts", segments(F.col("text")))
     coded = cut.withColumn("code", masked(F.col("_parts")))
     return coded.withColumn("bare", F.when(F.col("code").contains("`"), masked(F.col("_parts"), keep_names=False)).otherwise(F.col("code")))
 
@@ -68,19 +68,24 @@ def _applies(dialects: list[str], dialect: str | None) -> bool:
     return not dialects or dialect is None or dialect in dialects
 
 
-def _hits(rule: str, needles: str, severity: str, apart: bool, text: Column, pattern: str, trim_call: bool = False) -> Column:
-    """Findings of one pattern: array<struct<rule, severity, line, text, apart>>."""
+def _matches(rule: str, needles: str, severity: str, apart: bool, text: Column, pattern: str, call: bool = False) -> Column:
+    """What one rule finds in a file: its matches, and the text with a mark before each; NULL when there are none."""
     group = 1 if rule == "merge-into-alias" else 0
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    lines = _lines_of_marks(F.regexp_replace(text, pattern, _MARK + "$0"))
+    return F.when(_occurs(F.col("_low"), needles) & text.rlike(pattern), F.struct(
+        F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(apart).alias("apart"), F.lit(call).alias("call"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("found"), F.regexp_replace(text, pattern, _MARK + "$0").alias("marked")))
 
-    def entry(hit: Column, line: Column) -> Column:
-        clean = F.trim(F.replace(hit, F.lit(_CALL), F.lit("")))
-        clean = F.substring_index(clean, "(", 1) if trim_call else clean
-        clean = F.regexp_replace(clean, r"\A\s+|\s+\z", "")
-        return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), line.alias("line"), clean.alias("text"),
-                        (clean if apart else F.lit("")).alias("apart"))
-    return F.when(_occurs(F.col("_low"), needles) & text.rlike(pattern), F.zip_with(found, lines, entry))
+
+def _hits(matches: Column) -> Column:
+    """All findings of a file: array<struct<rule, severity, line, text, apart>>."""
+    def of_rule(m: Column) -> Column:
+        def entry(hit: Column, line: Column) -> Column:
+            whole = F.replace(hit, F.lit(_CALL), F.lit(""))
+            clean = F.regexp_replace(F.when(m["call"], F.substring_index(whole, "(", 1)).otherwise(whole), r"\A\s+|\s+\z", "")
+            return F.struct(m["rule"].alias("rule"), m["severity"].alias("severity"), line.alias("line"), clean.alias("text"),
+                            F.when(m["apart"], clean).otherwise("").alias("apart"))
+        return F.zip_with(m["found"], _lines_of_marks(m["marked"]), entry)
+    return F.flatten(F.transform(F.filter(matches, lambda m: m.isNotNull()), of_rule))
 
 
 def _note_hits(parts: Column) -> Column:
@@ -126,10 +131,11 @@ def rule_scan(files: DataFrame, dialect: str | None = None, only: list[str] | No
         call = "|".join(r[-2] for r in calls.values())
         marked = F.transform("_parts", lambda s: F.when(_text_part(s), s).otherwise(F.regexp_replace(s, call, _CALL + "$0")))
         base = base.withColumn("_calls", F.array_join(marked, ""))
-    found = [_hits(name, needles, severity, apart, F.col("code"), pattern)
+    found = [_matches(name, needles, severity, apart, F.col("code"), pattern)
              for name, needles, severity, dialects, apart, pattern in rules.RULES if _applies(dialects, dialect) and wanted(name)]
-    found += [_hits(name, needles, severity, apart, F.col("_calls"), _CALL + call + after, trim_call=True)
+    found += [_matches(name, needles, severity, apart, F.col("_calls"), _CALL + call + after, call=True)
               for name, needles, severity, _, apart, call, after in calls.values()]
+    found = [_hits(F.array(*found))] if found else []
     if wanted("unbalanced-parentheses"):
         found.append(_statement_hits(F.col("bare")))
     if wanted("unconverted-file"):
@@ -211,7 +217,7 @@ def _apply(df: DataFrame, rule: str, pattern: str, replacement: str) -> DataFram
 def rewrite(files: DataFrame, dialect: str | None = None, schema_map: dict[str, str] | None = None,
             boolean_names: list[str] | None = None) -> DataFrame:
     """Safe mechanical rewrites outside strings and comments: (path, text, new_text, counts: rule -> times applied)."""
-    df = files.withColumn("_new", F.col("text")).withColumn("_counts", F.create_map().cast("map<string,int>"))
+    df = spread_over_cores(files, "path").withColumn("_new", F.col("text")).withColumn("_counts", F.create_map().cast("map<string,int>"))
     df = _skeleton(df, keep_names=True)
     for source, target in (schema_map or {}).items():
         name = "\\Q" + source + "\\E"
@@ -279,7 +285,7 @@ def dialect_scores(files: DataFrame, by: list[str]) -> DataFrame:
     A hint counts once per file. Synapse code is T-SQL too: once it has hits of its own, the T-SQL hits count for it."""
     hit = lambda needle, p: F.when(_occurs(F.col("_low"), needle) & F.col("text").rlike(p), 1).otherwise(0)
     hits = {d: reduce(lambda a, b: a + b, [hit(n, p) for n, p in patterns]) for d, patterns in rules.DIALECT_HINTS.items()}
-    sums = files.withColumn("_low", F.lower("text")).groupBy(*by).agg(*[F.coalesce(F.sum(h), F.lit(0)).alias(d) for d, h in hits.items()])
+    sums = spread_over_cores(files, "path").withColumn("_low", F.lower("text")).groupBy(*by).agg(*[F.coalesce(F.sum(h), F.lit(0)).alias(d) for d, h in hits.items()])
     sums = sums.withColumn("synapse", F.when(F.col("synapse") > 0, F.col("synapse") + F.col("mssql")).otherwise(0))
     order = list(rules.DIALECT_HINTS)
     ranked = F.array_sort(F.array(*[F.struct((-F.col(d)).alias("s"), F.lit(i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(order)]))
@@ -344,7 +350,7 @@ def fit(files: DataFrame) -> DataFrame:
     unclear = placed.where("_routine and category = 'review'").select(F.col("short").alias("_word")).distinct()
     clear = placed.where("_routine and category <> 'review'").select("path", F.col("short").alias("_caller"), "category")
     words = F.array_distinct(F.regexp_extract_all(F.lower(masked(segments(F.col("text")), keep_names=False)), F.lit(r"[\w$#@]+"), F.lit(0)))
-    used = files.select("path", F.explode(words).alias("_word")).join(broadcast_if_small(unclear), "_word").join(clear, "path")
+    used = spread_over_cores(files, "path").select("path", F.explode(words).alias("_word")).join(broadcast_if_small(unclear), "_word").join(clear, "path")
     followed = (used.where("_caller <> _word").groupBy("_word")
                 .agg(F.max((F.col("category") == "migrate").cast("int")).alias("_moves"), F.count(F.lit(1)).alias("_callers")))
     joined = placed.join(followed, (placed["short"] == followed["_word"]) & placed["_routine"] & (placed["category"] == "review"), "left")
@@ -462,6 +468,7 @@ def normalised(text: Column) -> Column:
 
 def code_objects(files: DataFrame) -> DataFrame:
     """Procedures, views, functions and triggers of the files: (name, body), body normalised; the last definition counts."""
+    files = spread_over_cores(files, "path")
     pieces = F.split("text", r"(?=" + rules.CODE_OBJECT.replace("((?:", "(?:(?:", 1) + ")")
     rows = files.select("path", F.posexplode(pieces).alias("position", "piece"))
     raw = F.lower(F.regexp_replace(F.regexp_extract("piece", r"\A" + rules.CODE_OBJECT, 1), r"[\[\]\"\s]", ""))
@@ -478,15 +485,19 @@ def compare_code(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "name", "full").select("name", result.alias("result"))
 
 
-def _statements(text: Column) -> Column:
-    code = masked(segments(text), keep_names=False)
-    return F.regexp_count(code, F.lit(";")) + F.when(F.substring_index(code, ";", -1).rlike(r"\S"), 1).otherwise(0)
+def _statements(df: DataFrame, name: str, drop_settings: bool = False) -> DataFrame:
+    """Statements of each file: one per semicolon in code, and a last one without. Session settings on a line of their own
+    can be left out; what is hidden is a letter until then, so that a setting with a comment behind it still counts."""
+    coded = spread_over_cores(df, "path").select("path", masked(segments(F.col("text")), keep_names=False, blank=_OTHER).alias("_code"))
+    if drop_settings:
+        coded = coded.withColumn("_code", F.regexp_replace("_code", rules.SESSION_SETTINGS, ""))
+    last = F.when(F.substring_index("_code", ";", -1).rlike(rf"[^\s{_OTHER}]"), 1).otherwise(0)
+    return coded.select("path", (F.length("_code") - F.length(F.replace("_code", F.lit(";"), F.lit(""))) + last).alias(name))
 
 
 def dropped_statements(before: DataFrame, after: DataFrame, notes: DataFrame) -> DataFrame:
     """Files with fewer statements after than before, less the notes (path, notes) explaining it: (path, missing)."""
-    a = before.select("path", _statements(F.regexp_replace("text", rules.SESSION_SETTINGS, "")).alias("_before"))
-    b = after.select("path", _statements(F.col("text")).alias("_after"))
+    a, b = _statements(before, "_before", drop_settings=True), _statements(after, "_after")
     gap = F.col("_before") - F.col("_after") - F.coalesce("notes", F.lit(0))
     return a.join(b, "path").join(notes.select("path", "notes"), "path", "left").select("path", gap.cast("int").alias("missing")).where("missing > 0")
 

@@ -69,3 +69,10 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     """Hint a broadcast only behind a size check; above the limit the join is left to the shuffle-based strategies."""
     size = planned_bytes(df)
     return F.broadcast(df) if size is not None and size <= limit else df
+
+
+def spread_over_cores(df: DataFrame, key: str, partition_bytes: int = 128 * 1024 * 1024) -> DataFrame:
+    """Hash-partition CPU-bound work whose input is too small to fill the cores: a scan makes about one task per 128 MiB.
+    Larger inputs have tasks enough and are left where they are."""
+    size, cores = planned_bytes(df), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if size is not None and size < cores * partition_bytes else df

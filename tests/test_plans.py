@@ -50,6 +50,11 @@ def test_small_merge_does_not_shuffle_the_target(spark, folder):
     assert "SortMergeJoin" not in merged(1 << 30) and "FullOuter" in merged(0)
 
 
+def test_joins_on_checked_keys_shuffle_each_side_once(spark, folder):
+    assert plan(QUERIES["snapshot_changes"](spark, folder)).count("Exchange") == 2
+    assert plan(QUERIES["merge_upsert_shuffled"](spark, folder)).count("Exchange") == 2
+
+
 def test_no_query_makes_pairs(spark, folder):
     for name in ("cross_join_values", "compare_table", "monthly_sales_fiscal", "demo_sales_totals", "corpus_missing"):
         text = plan(QUERIES[name](spark, folder))
