@@ -36,7 +36,7 @@ MASKED_SQL = FILES_SQL + f""", masked AS (SELECT doc_id, path, text, array_to_st
 
 def code_files(spark, folder):
     spark_sql = read(spark, folder, "documents").selectExpr("doc_id", f"{_PATH} AS path", f"{_CODE} AS code_part", f"{_TAIL} AS tail")
-    return spark_sql.selectExpr("doc_id", "path", "code_part || tail AS text")
+    return spark_sql.selectExpr("doc_id", "path", "code_part", "tail", "code_part || tail AS text")
 
 
 def _files(spark, folder):
@@ -245,11 +245,12 @@ def corpus_compare(spark, folder):
 SELECT {_PATH} AS path, CASE WHEN doc_id % 16 = 0 THEN 2 ELSE 1 END AS missing FROM documents WHERE (doc_id % 8 = 0 AND doc_id % 3 <> 0) OR (doc_id % 16 = 0)""")
 def corpus_dropped(spark, folder):
     files = code_files(spark, folder)
-    lost = F.regexp_replace("text", r"  EXEC dbo\.Helper\d+;\n|  SET NOCOUNT ON;\n", "")
-    lost = F.when(F.col("doc_id") % 16 == 0, F.replace(lost, F.lit("  SELECT @@ROWCOUNT AS n, @Days AS d;\n"), F.lit(""))).otherwise(lost)
+    lost = F.regexp_replace("code_part", r"  EXEC dbo\.Helper\d+;\n|  SET NOCOUNT ON;\n", "")
+    counted = F.when(F.col("doc_id") % 16 == 0, "  SELECT @@ROWCOUNT AS n, @Days AS d;\n").otherwise("\ue000")
+    after = files.select("path", F.concat(F.replace(lost, counted, F.lit("")), "tail").alias("text"))
     # a note explains one lost statement of every third file
     notes = files.where("doc_id % 3 = 0 and doc_id % 16 <> 0").select("path", F.lit(1).alias("notes"))
-    return corpus.dropped_statements(files.select("path", "text"), files.select("path", lost.alias("text")), notes)
+    return corpus.dropped_statements(files.select("path", "text"), after, notes)
 
 
 @query("corpus_fingerprint", f"""WITH {FILES_SQL}, p AS (SELECT path, sha256(text) AS h FROM files),
