@@ -319,7 +319,7 @@ def _score(patterns: list[tuple[str, int]]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(F.col("bare").rlike(p), w).otherwise(0) for p, w in patterns])
 
 
-def fit(files: DataFrame) -> DataFrame:
+def fit(files: DataFrame, dialect: str | None = None) -> DataFrame:
     """Where each object belongs: (path, name, kind, category, purpose, score). Routines are scored from the words of their name and
     patterns in their body; an unclear routine follows the objects that use it."""
     df = main_objects(files)
@@ -336,15 +336,17 @@ def fit(files: DataFrame) -> DataFrame:
     df = df.withColumn("score", F.col("_report") + F.col("_etl") - F.col("_app") - F.when(screen, 2).otherwise(0))
     routine = F.col("kind").isin("procedure", "function", "view")
     by_score = F.when(F.col("score") >= 2, "migrate").when(F.col("score") <= -2, "keep").otherwise("review")
-    category = (F.when(routine, by_score)
+    category = (F.when(F.col("path").rlike(rules.DEPLOYMENT_SCRIPTS), "skip").when(routine, by_score)
                 .when((F.col("kind") == "table") & F.regexp_extract("name", r"([^.]*)$", 1).rlike(rules.FRAMEWORK_TABLES), "skip")
                 .when(F.col("kind") == "table", "data").when(F.col("kind").isin("trigger", "type"), "keep")
                 .when(F.col("kind").isin("security", "schema", "index"), "skip").when(F.col("kind").isin("sequence", "synonym"), "review")
                 .when(F.col("bare").rlike(rules.WRITE_WORD), "data").otherwise("review"))
     purpose = (F.when(routine & (F.col("score") >= 2), F.when(F.col("_etl") > F.col("_report"), "ETL / data movement").otherwise("reporting / analytics"))
                .when(routine & (F.col("score") <= -2), "application logic").when(routine, "unclear").otherwise(F.col("kind")))
+    table = F.col("kind") == "table"
+    versions = rules.VERSIONED_TABLES if dialect in rules.TSQL else rules.SYSTEM_VERSIONING
     narrow = df.select("path", "name", "kind", "short", "score", purpose.alias("purpose"), category.alias("category"), routine.alias("_routine"),
-                       (F.col("bare").rlike(rules.AUDIT_COLUMNS) & (F.col("kind") == "table")).alias("audited"))
+                       (F.col("bare").rlike(rules.AUDIT_COLUMNS) & table).alias("audited"), (F.col("bare").rlike(versions) & table).alias("versioned"))
     placed = cut_lineage(narrow)  # a few short values per file; the texts are not scored twice
     # words of the routines' code that are names of unclear routines, with the category of the routine that uses them
     unclear = placed.where("_routine and category = 'review'").select(F.col("short").alias("_word")).distinct()
@@ -357,7 +359,7 @@ def fit(files: DataFrame) -> DataFrame:
     final = F.when(F.col("_moves") == 1, "migrate").when(F.col("_callers") > 0, "keep").otherwise(F.col("category"))
     purpose = F.when((F.col("category") == "review") & F.col("_callers").isNotNull(), "helper").otherwise(F.col("purpose"))
     return joined.select("path", "name", "kind", final.alias("category"), purpose.alias("purpose"), F.when(F.col("_routine"), F.col("score")).alias("score"),
-                         "audited", F.regexp_extract("name", r"([^.]*)$", 1).alias("short"))
+                         "audited", "versioned", F.regexp_extract("name", r"([^.]*)$", 1).alias("short"))
 
 
 def fit_verdict(placed: DataFrame) -> DataFrame:
@@ -365,9 +367,9 @@ def fit_verdict(placed: DataFrame) -> DataFrame:
     n = lambda c: F.count_if(F.col("category") == c)
     table = F.col("kind") == "table"
     counts = placed.agg(
-        *[n(c).alias(c) for c in ("migrate", "data", "keep", "skip", "review")], F.count_if(table).alias("tables"), F.count_if("audited").alias("audited"),
+        *[n(c).alias(c) for c in ("migrate", "data", "keep", "skip", "review")], F.count_if(table).alias("tables"), F.count_if("audited").alias("audited"), F.count_if("versioned").alias("versioned"),
         F.count_if(table & (F.col("category") == "skip")).alias("framework"), F.count_if(table & (F.col("category") == "data") & F.col("short").rlike(rules.WAREHOUSE_TABLES)).alias("warehouse"))
-    app = (F.col("framework") > 0) | ((F.col("tables") > 0) & (F.col("audited") / F.greatest("tables", F.lit(1)) >= 0.3)) | (F.col("keep") >= 3)
+    app = (F.col("framework") > 0) | (F.col("versioned") > 0) | ((F.col("tables") > 0) & (F.col("audited") / F.greatest("tables", F.lit(1)) >= 0.3)) | (F.col("keep") >= 3)
     house = (F.col("warehouse") > 0) | ((F.col("migrate") >= 3) & (F.col("keep") == 0))
     verdict = (F.when(app & ~house, "application").when(house & ~app, "warehouse").when(app & house, "mixed")
                .when(F.col("keep") > F.col("migrate"), "application").when(F.col("keep") == 0, "warehouse").otherwise("mixed"))
@@ -442,10 +444,18 @@ def defined_tables(files: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- features, comparison, drift, effort
 
-def features(files: DataFrame) -> DataFrame:
-    """How many files use each notable feature: (feature, files)."""
-    df = with_masks(files).agg(*[F.count_if(F.col("bare").rlike(p)).alias(k) for k, p in rules.FEATURES.items()])
-    return df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(k).alias("files")) for k in rules.FEATURES])))
+def features(files: DataFrame, schemas: list[str] = ()) -> DataFrame:
+    """How many files use each notable feature: (feature, files). A name of four parts, or of three that does not start with a
+    local schema or one of `schemas`, is a reference to another database."""
+    local = [*rules.LOCAL_SCHEMAS, *[s.lower() for s in schemas]]
+
+    def elsewhere(name: Column) -> Column:
+        parts = F.split(F.lower(_strip_quotes(name)), r"\.")
+        return (F.size(parts) == 4) | ~parts[0].isin(local)
+    tests = {k: F.col("bare").rlike(p) for k, p in rules.FEATURES.items()}
+    tests["cross-database"] = F.exists(F.regexp_extract_all("code", F.lit(rules.LONG_NAME), F.lit(0)), elsewhere)
+    df = with_masks(files).agg(*[F.count_if(t).alias(k) for k, t in tests.items()])
+    return df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(k).alias("files")) for k in tests])))
 
 
 def objects_per_schema(files: DataFrame) -> DataFrame:

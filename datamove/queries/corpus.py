@@ -212,7 +212,7 @@ def corpus_tables(spark, folder):
 
 @query("corpus_features", """
 SELECT feature, count(*) FILTER (list_contains(k, doc_id % 8)) AS files FROM documents, (VALUES ('cursor', [99]), ('dynamic-sql', [7]), ('temp-table', [3, 6]), ('transaction', [7]),
-  ('linked-server', [99]), ('error-handling', [99]), ('while-loop', [7])) v(feature, k) GROUP BY 1""")
+  ('linked-server', [99]), ('error-handling', [99]), ('while-loop', [7]), ('cross-database', [99])) v(feature, k) GROUP BY 1""")
 def corpus_features(spark, folder):
     return corpus.features(_files(spark, folder))
 

@@ -125,3 +125,18 @@ def test_fit_follows_callers(spark):
                               "CREATE PROCEDURE dbo.SaveUser @Id INT AS UPDATE u SET a = 1 WHERE Id = @Id", "CREATE TABLE AspNetUsers (a INT)", "GRANT SELECT ON t TO r"))
     assert {r.path: r.category for r in placed.collect()} == {"f0.sql": "migrate", "f1.sql": "migrate", "f2.sql": "keep", "f3.sql": "skip", "f4.sql": "skip"}
     assert corpus.fit_verdict(placed).first().verdict == "application"
+
+
+def test_features_and_other_databases(spark):
+    texts = ["DECLARE c CURSOR FOR SELECT 1", "EXEC (@sql)", "SELECT * FROM srv.db.dbo.t", "SELECT * FROM [other].dbo.x", "SELECT * FROM dbo.a.b, dw.t.c -- x.y.z", "SELECT 'p.q.r' FROM #t"]
+    got = {r.feature: r.files for r in corpus.features(files(spark, *texts), ["DW"]).collect()}
+    assert {k: v for k, v in got.items() if v} == {"cursor": 1, "dynamic-sql": 1, "cross-database": 2, "temp-table": 1}
+
+
+def test_fit_of_versioned_tables_and_deployment_scripts(spark):
+    df = spark.createDataFrame([("a/Script.PostDeployment1.sql", "INSERT INTO t VALUES (1)"), ("t.sql", "CREATE TABLE dbo.T (v ROWVERSION)"), ("fact_x.sql", "CREATE TABLE dw.FactSales (a INT)")],
+                               "path string, text string")
+    placed = corpus.fit(df, "mssql")
+    assert {r.path: (r.category, r.versioned) for r in placed.collect()} == {"a/Script.PostDeployment1.sql": ("skip", False), "t.sql": ("data", True), "fact_x.sql": ("data", False)}
+    assert corpus.fit_verdict(placed).first().verdict == "mixed"
+    assert corpus.fit_verdict(corpus.fit(df, "oracle")).first().verdict == "warehouse"
