@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datamove.llm import ngram_join
+import public_tokenizers
+
+from datamove.llm import ngram_join, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,3 +30,8 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 @query("op4_ngram_join")
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_groups(read(spark, folder, "documents"), width=3, percent=90)
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
