@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
-from datamove.llm import ngram_join, packing
+from datamove.llm import fingerprints, ngram_join, packing, sharding, trie_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,11 +26,26 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
+@query("op1_fingerprints")
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read(spark, folder, "documents"))
+
+
+@query("op2_trie_bpe")
+def op2_trie_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return trie_bpe.encode_documents(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op4_ngram_join")
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_groups(read(spark, folder, "documents"), width=3, percent=90)
 
 
+@query("op9_sharding")
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.interleave(read(spark, folder, "documents"))
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
