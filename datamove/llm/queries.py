@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from datamove.llm import fingerprints, ngram_join, packing, sharding, trie_bpe
+from datamove.llm import fingerprints, language_id, ngram_join, packing, sharding, toxicity, trie_bpe, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,11 +36,30 @@ def op2_trie_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return trie_bpe.encode_documents(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op3_url_rules")
+def op3_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.filter_urls(read(spark, folder, "pages"), read(spark, folder, "labels"))
+
+
 @query("op4_ngram_join")
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_groups(read(spark, folder, "documents"), width=3, percent=90)
 
 
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    found = language_id.predict_documents(docs, language_id.fit(docs))
+    return found.select("doc_id", (toxicity.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    found = toxicity.score_documents(docs, toxicity.fit(docs, read(spark, folder, "labels")))
+    return found.select("doc_id", (toxicity.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 @query("op9_sharding")
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.interleave(read(spark, folder, "documents"))
