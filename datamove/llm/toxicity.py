@@ -9,6 +9,7 @@ A word alone is never scored: its clause decides.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable
 
 import ahocorasick
@@ -28,6 +29,8 @@ LEXICON = {
     SPEECH: "said says say wrote writes called quoted claimed reported sagte schrieb dijo escribió dit écrit",
 }
 OUTPUTS = [a + b + c for a in "IT" for b in ("", "g") for c in ("", "n", "r")]  # kind, aimed at someone, negated or reported
+STEM_LENGTHS = range(3, 13)  # letters of a stem; the word goes on behind it
+MIN_CONTEXTS, MIN_SURPRISE, MIN_LIFT = 5, 16.0, 30.0  # of a learned term
 SCOPE = 3  # words a negation reaches
 SAMPLE_ROWS = 3000  # labelled rows of each label that the weights are fitted on, chosen by hash
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -71,16 +74,27 @@ def _target() -> Transducer:
 
 
 class Grammar:
+    """learned: insults as whole words, or as stems (ending in `*`) that any word may continue."""
+
     def __init__(self, learned: Iterable[str] = ()):
         self.classes = {w: k for k, words in LEXICON.items() for w in words.split()}
-        self.classes.update({w: INSULT for w in learned if self.classes.get(w) != THREAT})
+        self.classes.update({w: INSULT for w in learned if not w.endswith("*") and self.classes.get(w) != THREAT})
+        self.stems = {w[:-1] for w in learned if w.endswith("*")}
         self.machine = _negation().compose(_speech()).compose(_target())
         self.finder = ahocorasick.Automaton()
         for w, k in self.classes.items():
             if k in "IT":
                 self.finder.add_word(w, 1)
+        for w in self.stems:
+            self.finder.add_word(w, 1)
         self.finder.make_automaton()
 
+    def kind(self, word: str) -> str:
+        found = self.classes.get(word)
+        if found is None:
+            found = INSULT if any(word[:n] in self.stems for n in STEM_LENGTHS if n < len(word)) else OTHER
+        return found
+
     def matches(self, text: str) -> np.ndarray:
         """How often each of OUTPUTS is matched in the clauses of the whole text."""
         counts = np.zeros(len(OUTPUTS))
@@ -88,7 +102,7 @@ class Grammar:
         if next(self.finder.iter(text), None) is None:
             return counts
         for clause in _CLAUSE.split(text):
-            kinds = [self.classes.get(w, OTHER) for w in _WORD.findall(clause)]
+            kinds = [self.kind(w) for w in _WORD.findall(clause)]
             if INSULT not in kinds and THREAT not in kinds:
                 continue
             state = self.machine.start
@@ -124,14 +138,16 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _contexts(batches):
     for b in batches:
-        words, before, toxic = [], [], []
+        words, before, toxic, text_hash = [], [], [], []
         for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             found = _WORD.findall(text.lower())
-            for a, w in set(zip(["", *found], found)):
-                words.append(w)
-                before.append(a)
-                toxic.append(label)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(before, pa.string()), pa.array(toxic, pa.int32())], ["word", "before", "toxic"])
+            seen = {(x, a) for a, w in zip(["", *found], found) for x in (w, *(w[:n] + "*" for n in STEM_LENGTHS if n < len(w)))}
+            words += [x for x, _ in seen]
+            before += [a for _, a in seen]
+            toxic += [label] * len(seen)
+            text_hash += [zlib.crc32(text.encode("utf-8"))] * len(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(before, pa.string()), pa.array(toxic, pa.int32()), pa.array(text_hash, pa.int64())],
+                                         ["word", "before", "toxic", "text_hash"])
 
 
 def _features(learned: list[str]):
@@ -143,16 +159,35 @@ def _features(learned: list[str]):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, share: float = 0.05, clean_share: float = 0.005) -> Model:
-    """Learned words: after at least `share` as many different words as there are toxic sample rows (so one copied text teaches nothing), and
-    next to none in the clean rows. Weights: logistic regression on the matches, never negative for plain ones. Without labels: fixed weights."""
+def _distinct_terms(counts: dict[str, int]) -> list[str]:
+    """Of terms and stems that all tell toxic rows: each family's stem is lengthened while nearly all its occurrences share the longer one (a whole
+    word in the end), and terms below a kept stem are dropped."""
+    kept = []
+    for term, n in sorted(counts.items(), key=lambda x: (len(x[0]), x[0])):
+        if term.endswith("*"):
+            longer = [x for x in counts if x.startswith(term[:-1]) and len(x) == len(term) + x.endswith("*")]  # by one letter
+            if any(counts[x] >= 0.9 * n for x in longer):
+                continue
+        if not any(term.startswith(k[:-1]) for k in kept if k.endswith("*")):
+            kept.append(term)
+    return sorted(kept)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learned words and stems: far more frequent in toxic than in clean sample texts (likelihood ratio against chance among millions of terms, and
+    lift), after different words, so copied texts teach nothing. Weights: logistic regression on the matches. Without labels: fixed weights."""
     sample = _sample(docs, labels)
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if min(size.get(0, 0), size.get(1, 0)) < 5:
         return Model([], np.array([2.5 if len(o) == 1 or o.endswith("g") else 0.5 for o in OUTPUTS]), -3.0)
-    counted = (sample.mapInArrow(_contexts, "word string, before string, toxic int").groupBy("word", "toxic").agg(F.countDistinct("before").alias("n"))
-               .groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")))
-    learned = sorted(r["word"] for r in counted.where((F.col("t") >= max(5, share * size[1])) & (F.col("c") <= clean_share * size[0])).collect())
+    counted = (sample.mapInArrow(_contexts, "word string, before string, toxic int, text_hash long").groupBy("word", "toxic")
+               .agg(F.size(F.collect_set("before")).alias("n"), F.size(F.collect_set("text_hash")).alias("texts"))  # of at most 2 * SAMPLE_ROWS texts
+               .groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("texts")).otherwise(0)).alias("in_texts"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("texts")).otherwise(0)).alias("c")))
+    base = size[1] / (size[0] + size[1])
+    n, t = F.col("in_texts") + F.col("c"), F.col("in_texts")
+    surprise = t * F.log(t / n / base) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / n / (1 - base))).otherwise(0.0)
+    telling = (F.col("t") >= MIN_CONTEXTS) & (surprise >= MIN_SURPRISE) & (t / size[1] >= MIN_LIFT * (F.col("c") + 0.5) / size[0])
+    learned = _distinct_terms({r["word"]: r["in_texts"] for r in counted.where((t > 0) & telling).collect()})  # such terms fill the sample's toxic rows: few
     rows = sample.mapInArrow(_features(learned), "toxic int, x array<double>").collect()  # a few numbers for each sample row
     x, y = np.log1p(np.array([r["x"] for r in rows])), np.array([r["toxic"] for r in rows], float)
     x1 = np.column_stack([x, np.ones(len(x))])
