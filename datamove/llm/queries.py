@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from datamove.llm import fingerprints, hmm, language_id, ngram_join, packing, sharding, toxicity, trie_bpe, url_rules
+from datamove.llm import embedding_dedup, fingerprints, hmm, language_id, ngram_join, packing, sharding, toxicity, trie_bpe, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,6 +46,11 @@ def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_groups(read(spark, folder, "documents"), width=3, percent=90)
 
 
+@query("op5_embedding_dedup")
+def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, folder, "embeddings"))
+
+
 @query("op6_hmm")
 def op6_hmm(spark: SparkSession, folder: str) -> DataFrame:
     return hmm.score_documents(read(spark, folder, "documents"))
