@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from datamove.llm.graph import components
 from datamove.session import cut_lineage
 
-NEIGHBOURS, ROUNDS, STILL = 10, 5, 0.02  # list length; rounds at most; ended by fewer changes than this share of all places
+NEIGHBOURS, STARTS, ROUNDS, STILL = 10, 3, 5, 0.02  # list length; random partitions at the start; rounds at most; ended by fewer changes than this share of all places
 BLOCK = 1024
 QUERIES, WANTED_RECALL, MORE_ROUNDS = 256, 0.98, 3
 EDGE = "u long, v long, sim double"
@@ -125,7 +125,8 @@ def _linked(lists: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataF
 
 
 def _recall(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Share of all links of QUERIES nodes, chosen by hash, that were found; these nodes are compared with every node of their label."""
+    """The least of two shares over QUERIES nodes, chosen by hash and compared with every node of their label: of all their links, and of the nodes with
+    links, those whose links were all found."""
     chosen = nodes.orderBy(F.xxhash64("node", F.lit(3))).limit(QUERIES).select("node", "label", "vec").toPandas()
     if not len(chosen):
         return 1.0
@@ -139,8 +140,9 @@ def _recall(nodes: DataFrame, links: DataFrame, threshold: float) -> float:
                 total += near @ pdf["n"].to_numpy()
         yield pd.DataFrame({"node": names, "true": total})
     true = nodes.select("node", "label", "n", "vec").mapInPandas(count, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    both = true.join(links, "node", "left").agg(F.sum("true").alias("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("found")).first()
-    return both["found"] / both["true"] if both["true"] else 1.0
+    both = true.where(F.col("true") > 0).join(links, "node", "left").withColumn("links", F.coalesce("links", F.lit(0))).agg(
+        F.sum("true").alias("true"), F.sum(F.least("true", "links")).alias("found"), F.avg((F.col("links") >= F.col("true")).cast("double")).alias("whole")).first()
+    return min(both["found"] / both["true"], both["whole"]) if both["true"] else 1.0
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -163,7 +165,10 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "ve
         F.col("key").alias("node"), "n", "least_id", "label", "vec", F.xxhash64("label", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks"))).alias("block")))
 
     k, rounds = NEIGHBOURS, ROUNDS
-    lists = _nearest(nodes.groupBy("block").applyInPandas(_first_lists(k), EDGE), k)
+    # the first lists: the nearest within several random partitions, so that no part of a dense group stays shut off from the rest
+    mixed = nodes.join(sizes, "label").select("node", "vec", F.explode(F.sequence(F.lit(1), F.lit(STARTS))).alias("start"), "label", "blocks")
+    mixed = mixed.withColumn("mix", F.xxhash64("label", "start", F.pmod(F.xxhash64("node", "start"), F.col("blocks"))))
+    lists = _nearest(mixed.select("mix", "node", "vec").groupBy("mix").applyInPandas(_first_lists(k), EDGE), k)
     for attempt in range(1 + MORE_ROUNDS):
         for _ in range(rounds):
             better = _improve(lists, nodes, k)
