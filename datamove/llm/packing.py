@@ -11,17 +11,21 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 LONGEST, TIERS = 1024, (1024, 512, 256, 128, 64)
 STEP_TOKENS = 1 << 16
-CACHE_WORDS, LONGEST_CACHED = 400_000, 48
+CACHE_WORDS, LONGEST_CACHED = 600_000, 48
+LATIN_END = "\u0250"
 SLICE_CHARS = 1 << 22
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "tier int, step_group long")
@@ -30,7 +34,10 @@ _ODD = re.compile(r" (?:\s|$)")
 
 
 class WordIds(dict):
-    """' word' -> its ids as little-endian bytes, for a byte-level BPE whose pre-tokens never span a space followed by text."""
+    """' word' -> its ids as little-endian bytes, for a byte-level BPE whose pre-tokens never span a space followed by text.
+
+    Words not met before and within Latin script go to a second encoder made of the same vocabulary, which is several times faster on single words; all
+    else goes to the tokenizers library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -39,12 +46,18 @@ class WordIds(dict):
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # a byte-level vocabulary writes printable bytes as themselves, the others, in order, from code point 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        as_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+        ranks = {bytes(as_byte[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
+        self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        found = self.ids(" " + word)
+        short = " " + word
+        found = array("I", self.fast(short)).tobytes() if len(word) <= LONGEST_CACHED and max(short) < LATIN_END else self.ids(short)
         if len(word) <= LONGEST_CACHED:
             if len(self) >= CACHE_WORDS:
                 self.clear()
