@@ -3,9 +3,10 @@
 Sizes are cut into bands. Sets of one band whose similarity reaches the threshold differ in at most k shingles, so when the space of
 shingle hashes is cut into more than k parts, both agree wholly in one part. Equal (band, part, content) values therefore hold every
 link: no pair is lost and no frequent shingle makes a hot key. Sets that meet there form candidate groups; a group is cut into blocks
-of bounded size, and each pair of blocks is one tile. Inside a tile, sets are ordered by size and only sizes within the threshold's band meet:
-bits that differ between two hashed bitmaps bound the overlap from above, and what is left is intersected exactly. Pairs already known to be
-connected inside a tile are skipped, and a tile returns at most one link per set.
+of bounded size, and each pair of blocks is one tile. Inside a tile, sets are ordered by size and only sizes within the threshold's band meet.
+Tiles are worked on twice. First with hashed bitmaps alone, a few bits a shingle: each bit holds the parity of the shingles hashed to it, so the
+bits that differ bound the overlap from above. What the bound leaves connected forms the final groups, and in their tiles, with the whole
+texts, sets are intersected exactly. Pairs already connected inside a tile are skipped, and a tile returns at most one link per set.
 """
 
 from __future__ import annotations
@@ -13,9 +14,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from datamove.llm.graph import components
 from datamove.llm.words import as_long, mix, shingle_sets
@@ -25,6 +25,7 @@ BAND_RATIO = 1.5
 SPARE_PARTS = 2  # empty parts are left out of the tiles while a set has at most this many
 FLUSH_ROWS = 1 << 20
 BLOCK_SETS, BLOCK_BYTES = 1024, 8 << 20
+BITMAP_BLOCK_SETS, FEWEST_BITS, MOST_BITS = 4096, 256, 1 << 16
 _U = np.uint64
 
 
@@ -82,13 +83,22 @@ def _stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return sig[new], key[new], leader[other], key[other]
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """Parity bits: at least two for each shingle, up to MOST_BITS. The bits of a shorter bitmap are those of a longer one, folded."""
+    bits = FEWEST_BITS
+    while bits < min(2 * len(hashes), MOST_BITS):
+        bits *= 2
+    at = ((hashes >> _U(7)) & _U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def _sizes(width: int):
     def run(batches):
         for b in batches:
             sets = list(shingle_sets(b.column("text"), width))
             yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), as_long(np.array([set_key(s) for s in sets], _U))],
-                ["doc_id", "n_shingles", "key"])
+                b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), as_long(np.array([set_key(s) for s in sets], _U)),
+                pa.array([bitmap(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "key", "bitmap"])
     return run
 
 
@@ -139,58 +149,79 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    out = np.zeros((len(sets), bits // 64), _U)
-    for i, s in enumerate(sets):
-        at = (s >> _U(7)) & _U(bits - 1)
-        np.bitwise_or.at(out[i], (at >> _U(6)).astype(np.int64), _U(1) << (at & _U(63)))
-    return out
-
-
-def tile_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+class Bitmaps:
+    """Bitmaps ordered by set size, so by length too; a range is compared at the length of the first, shortest one."""
+
+    def __init__(self, maps: list[bytes]):
+        words = np.array([len(m) // 8 for m in maps])
+        self.starts = np.flatnonzero(np.diff(words, prepend=0))
+        self.blocks = [np.frombuffer(b"".join(maps[a:b]), "<u8").reshape(b - a, -1) for a, b in zip(self.starts, [*self.starts[1:], len(maps)], strict=True)]
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def at_length(self, block: int, words: int) -> np.ndarray:
+        own = self.blocks[block]
+        if own.shape[1] == words:
+            return own
+        if (block, words) not in self.folded:
+            self.folded[block, words] = np.bitwise_xor.reduce(own.reshape(len(own), -1, words), axis=1)
+        return self.folded[block, words]
+
+    def differ(self, i: int, end: int) -> np.ndarray:
+        """Number of differing bits between bitmap i and each of i + 1 to end - 1."""
+        home = int(np.searchsorted(self.starts, i, side="right")) - 1
+        one = self.blocks[home][i - self.starts[home]]
+        out = []
+        for block in range(home, len(self.starts)):
+            first = self.starts[block]
+            if first >= end:
+                break
+            rows = self.at_length(block, len(one))[max(0, i + 1 - first) : end - first]
+            out.append(np.bitwise_count(rows ^ one).sum(axis=1, dtype=np.int64))
+        return np.concatenate(out)
+
+
+def tile_links(sizes: np.ndarray, maps: list[bytes], side: np.ndarray, percent: int, exact=None) -> list[tuple[int, int]]:
     """Links (positions) that connect the sets of one tile as all its links would. side: 0 or 1 for the two blocks, of which only
-    pairs across are compared; all 0 in a tile of one block."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sizes = np.array([len(sets[i]) for i in order])
-    side = side[order]
+    pairs across are compared; all 0 in a tile of one block. exact(i, j): size of the overlap; without it the bound decides."""
+    order = np.argsort(sizes, kind="stable")
+    sizes, side = sizes[order], side[order]
     one_block = not side.any()
-    parent = np.arange(len(order))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    bits = 64
-    while bits < min(2 * int(sizes[-1]) if len(sizes) else 0, 1 << 14):
-        bits *= 2
-    maps = _bitmaps([sets[i] for i in order], bits)
+    bits = Bitmaps([maps[i] for i in order])
+    label = np.arange(len(order))
     out = []
     for i in range(len(order)):
-        if sizes[i] == 0:
-            continue
         # larger partners of i: 100 * n_i >= percent * n_j
         end = int(np.searchsorted(sizes, 100 * sizes[i] // percent, side="right"))
-        if end <= i + 1:
+        if end <= i + 1 or sizes[i] == 0:
             continue
         total = sizes[i] + sizes[i + 1 : end]
-        differ = np.bitwise_count(maps[i + 1 : end] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        bound = (total - differ) // 2  # of the overlap, from above
-        fits = 100 * bound >= percent * (total - bound)
+        bound = (total - bits.differ(i, end)) // 2  # of the overlap, from above
+        fits = (100 * bound >= percent * (total - bound)) & (label[i + 1 : end] != label[i])
         if not one_block:
             fits &= side[i + 1 : end] != side[i]
         for j in np.flatnonzero(fits) + i + 1:
-            a, b = root(i), root(j)
-            if a == b:
-                continue
-            common = len(np.intersect1d(sets[order[i]], sets[order[j]], assume_unique=True))
-            if linked(common, int(sizes[i] + sizes[j]), percent):
-                parent[max(a, b)] = min(a, b)
+            if label[j] != label[i] and (exact is None or linked(exact(order[i], order[j]), int(sizes[i] + sizes[j]), percent)):
+                label[label == label[j]] = label[i]
                 out.append((order[i], order[j]))
     return out
 
 
+def _sides(block: np.ndarray) -> np.ndarray:
+    return (block != block.min()).astype(int) if len(block) else np.zeros(0, int)
+
+
+def _edge_table(keys: np.ndarray, links: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([keys[i] for i, _ in links], pa.int64()), "b": pa.array([keys[j] for _, j in links], pa.int64())})
+
+
+def _bound(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_numpy()
+        links = tile_links(table.column("n").to_numpy(), table.column("bitmap").to_pylist(), _sides(table.column("block").to_numpy()), percent)
+        return _edge_table(keys, links)
+    return run
+
+
 def _compare(width: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         sets = list(shingle_sets(table.column("text").combine_chunks(), width))
@@ -198,13 +229,22 @@ def _compare(width: int, percent: int):
         expected, block = table.column("key").to_numpy(), table.column("block").to_numpy()
         keep = np.flatnonzero(own == expected)  # a repeated doc_id may bring another text along
         keep = keep[np.unique(own[keep], return_index=True)[1]]
-        side = (block[keep] != block[keep].min()).astype(int) if len(keep) else np.zeros(0, int)
-        links = tile_links([sets[i] for i in keep], side, percent)
-        at = own[keep]
-        return pa.table({"a": pa.array([at[i] for i, _ in links], pa.int64()), "b": pa.array([at[j] for _, j in links], pa.int64())})
+        sets, own = [sets[i] for i in keep], own[keep]
+        links = tile_links(np.array([len(x) for x in sets], np.int64), [bitmap(x) for x in sets], _sides(block[keep]), percent,
+                           lambda i, j: len(np.intersect1d(sets[i], sets[j], assume_unique=True)))
+        return _edge_table(own, links)
     return run
 
 
+def _tiles(sets: DataFrame, groups: DataFrame, most_sets: int, size: Column) -> DataFrame:
+    """Sets with their groups, once for each tile (grp, x, y) they are in; a block has about most_sets sets and BLOCK_BYTES bytes of `size`."""
+    placed = sets.join(groups.select(F.col("node").alias("key"), F.col("component").alias("grp")), "key")
+    blocks = placed.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / most_sets), F.ceil(F.sum(size) / BLOCK_BYTES)).cast("int").alias("n_blocks"))
+    return (placed.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+            .withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}))
+
+
 def ngram_groups(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> (doc_id, n_shingles, component_id): size of each text's shingle set and the smallest id reachable by links.
 
@@ -213,22 +253,18 @@ def ngram_groups(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     (then null); such texts are not compared inexactly. Repeated rows give repeated rows. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sizes = cut_lineage(docs.mapInArrow(_sizes(width), "doc_id long, n_shingles long, key long"))
+    sizes = cut_lineage(docs.mapInArrow(_sizes(width), "doc_id long, n_shingles long, key long, bitmap binary"))
     sig = docs.select("text").mapInArrow(_signatures(width, percent), "sig long, key long")
     met = sig.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_meet, "a long, b long")
-    groups = components(met)
-
-    # one text for each different set, in blocks of bounded size by candidate group
-    sets = (sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-            .join(groups.withColumnRenamed("node", "key"), "key"))
-    blocks = sets.groupBy(F.col("component").alias("grp")).agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("n_blocks"))
-    placed = (sets.withColumnRenamed("component", "grp").join(blocks, "grp")
-              .withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int")))
-    texts = (cut_lineage(placed.select("doc_id", "key", "grp", "block", "n_blocks")).join(docs, "doc_id")
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-             .withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}))
-    links = texts.select("grp", "x", "y", "key", "block", "text").groupBy("grp", "x", "y").applyInArrow(_compare(width, percent), "a long, b long")
+
+    # one text for each different set
+    sets = sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"))
+    tiles = _tiles(sets, components(met), BITMAP_BLOCK_SETS, F.octet_length("bitmap"))
+    near = tiles.select("grp", "x", "y", "key", "n", "bitmap", "block").groupBy("grp", "x", "y").applyInArrow(_bound(percent), "a long, b long")
+    tiles = cut_lineage(_tiles(sets.drop("bitmap"), components(near), BLOCK_SETS, F.col("n") * 8).select("doc_id", "key", "grp", "x", "y", "block"))
+    texts = tiles.join(docs, "doc_id").select("grp", "x", "y", "key", "block", "text")
+    links = texts.groupBy("grp", "x", "y").applyInArrow(_compare(width, percent), "a long, b long")
     found = components(links)
 
     ids = sizes.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"))
