@@ -23,7 +23,7 @@ from datamove.session import cut_lineage
 
 BAND_RATIO = 1.5
 SPARE_PARTS = 2  # empty parts are left out of the tiles while a set has at most this many
-FLUSH_ROWS = 1 << 20
+FLUSH_ROWS = 1 << 19
 BLOCK_SETS, BLOCK_BYTES = 1024, 8 << 20
 BITMAP_BLOCK_SETS, FEWEST_BITS, MOST_BITS = 4096, 256, 1 << 16
 _U = np.uint64

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 LONGEST, TIERS = 1024, (1024, 512, 256, 128, 64)
 STEP_TOKENS = 1 << 16
-CACHE_WORDS, LONGEST_CACHED = 600_000, 48
+CACHE_WORDS, LONGEST_CACHED = 250_000, 32
 LATIN_END = "\u0250"
 SLICE_CHARS = 1 << 22
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "

@@ -137,17 +137,26 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _contexts(batches):
+    names = ["word", "before", "toxic", "text_hash"]
+    words, before, toxic, text_hash = [], [], [], []
+
+    def flush():
+        out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(before, pa.string()), pa.array(toxic, pa.int32()), pa.array(text_hash, pa.int64())], names)
+        for x in (words, before, toxic, text_hash):
+            x.clear()
+        return out
     for b in batches:
-        words, before, toxic, text_hash = [], [], [], []
-        for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+        for text, label in zip(b.column("text"), b.column("toxic"), strict=True):
+            text = text.as_py()
             found = _WORD.findall(text.lower())
             seen = {(x, a) for a, w in zip(["", *found], found) for x in (w, *(w[:n] + "*" for n in STEM_LENGTHS if n < len(w)))}
             words += [x for x, _ in seen]
             before += [a for _, a in seen]
-            toxic += [label] * len(seen)
+            toxic += [label.as_py()] * len(seen)
             text_hash += [zlib.crc32(text.encode("utf-8"))] * len(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(before, pa.string()), pa.array(toxic, pa.int32()), pa.array(text_hash, pa.int64())],
-                                         ["word", "before", "toxic", "text_hash"])
+            if len(words) >= 50_000:
+                yield flush()
+    yield flush()
 
 
 def _features(learned: list[str]):

@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-CACHE_CHUNKS, CACHE_PAIRS, LONGEST_CACHED = 300_000, 1_000_000, 48
+CACHE_CHUNKS, CACHE_PAIRS, LONGEST_CACHED = 250_000, 200_000, 32
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
