@@ -48,11 +48,11 @@ def _quoted(name: str) -> str:
 
 
 def _by_value(name: str, numeric: bool, integral: bool, same_type: bool = False) -> Column:
-    """A value in the form both sides share: numbers by value, equal types as they are, anything else as text."""
+    """A value in the form both sides share: equal types as they are with all their digits, other numbers by value, anything else as text."""
     col = F.col(_quoted(name))
     if integral:
         return col.cast("bigint")
-    if numeric:
+    if numeric and not same_type:
         return col.try_cast(BY_VALUE)
     return col if same_type else col.cast("string")
 
@@ -66,7 +66,7 @@ def same_type_columns(source: DataFrame, target: DataFrame) -> set[str]:
     """Shared columns of one hashable type on both sides."""
     left, right = lower_columns(source), lower_columns(target)
     return {c for c in shared_columns(source, target)
-            if left[c] == right[c] and isinstance(left[c], (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.BinaryType))}
+            if left[c] == right[c] and isinstance(left[c], (T.DecimalType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.BinaryType))}
 
 
 def _halves(value: Column, name: str) -> list[Column]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from datamove import fixed_values as fixed
@@ -29,8 +29,9 @@ class Step:
     statement: str
 
 
-def _first_line(e: Exception) -> str:
-    return (str(e).splitlines() or [type(e).__name__])[0][:400]
+def _message(e: Exception) -> str:
+    """The whole text of any error: one table's failure is that table's result and never stops the others."""
+    return str(e) or type(e).__name__
 
 
 # ---------------------------------------------------------------- writing one table
@@ -125,8 +126,8 @@ def _load_one(spark: SparkSession, settings: MoveSettings, step: Step, ledger: s
             else:
                 rows = _write_counted(df, target, step.action == "replace")
             status = "loaded"
-    except (PySparkException, MoveError) as e:
-        status, error = "failed", _first_line(e)
+    except Exception as e:  # noqa: BLE001 - Java and database errors too
+        status, error = "failed", _message(e)
     return (t.source, target, status, rows, error, not t.load, started, datetime.now(timezone.utc))
 
 
@@ -189,8 +190,8 @@ def _compare_one(spark: SparkSession, settings: MoveSettings, t: TableMapping, c
     try:
         checks = reconcile.compare_table(source_frame(spark, settings, t), spark.table(t.target), checksum).collect()  # a few rows
         return [(t.target, r.check_no, r["check"], r.source, r.target, r.match, None) for r in checks]
-    except (PySparkException, MoveError) as e:
-        return [(t.target, -1, "error", None, None, False, _first_line(e))]
+    except Exception as e:  # noqa: BLE001 - Java and database errors too
+        return [(t.target, -1, "error", None, None, False, _message(e))]
 
 
 def run_reconcile(spark: SparkSession, settings: MoveSettings, checksum: bool = True) -> DataFrame:

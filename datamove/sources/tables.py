@@ -27,7 +27,9 @@ def list_tables(spark: SparkSession, schemas: list[str]) -> list[str]:
             continue
         try:
             rows = spark.sql(f"SHOW TABLES IN {schema}").where("not isTemporary").select("tableName").collect()
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() not in ("SCHEMA_NOT_FOUND", "DATABASE_NOT_FOUND"):  # no permission is not the same as no schema
+                raise
             continue
         found += [f"{schema}.{r.tableName}" for r in sorted(rows)]
     return found

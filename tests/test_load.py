@@ -174,3 +174,10 @@ def test_exports_round_trip_in_every_bundled_format(spark, tmp_path):
         files.write_export(df, str(tmp_path), f"t_{fmt}", fmt)
         back = files.cast_to_target(files.read_export(spark, str(tmp_path), f"t_{fmt}", fmt), df.schema)
         assert sorted(back.collect()) == sorted(df.collect()), fmt
+
+
+def test_csv_text_keeps_leading_zeros(spark, tmp_path):
+    (tmp_path / "codes").mkdir()
+    (tmp_path / "codes" / "a.csv").write_text("id,zip\n1,00123\n")
+    df = files.cast_to_target(files.read_export(spark, str(tmp_path), "codes", "CSV"), spark.createDataFrame([], "id int, zip string").schema)
+    assert [tuple(r) for r in df.collect()] == [(1, "00123")]

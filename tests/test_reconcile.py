@@ -93,3 +93,9 @@ def test_hot_key_holding_a_third_of_the_rows(spark):
     base = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").cast("string").alias("v"))
     changed = base.withColumn("v", F.when(F.col("v") == "3", "x").otherwise(F.col("v")))
     assert [(r.k, r.difference) for r in reconcile.reconcile_rows(base, changed, ["k"]).collect()] == [(0, "changed")]
+
+
+def test_digits_after_the_sixth_decimal_are_compared(spark):
+    rows = lambda x: spark.sql(f"SELECT 1 AS id, CAST('{x}' AS DECIMAL(38,10)) AS amount")
+    same, other = (reconcile.compare_table(rows("1.0000001234"), rows(x)).collect() for x in ("1.0000001234", "1.0000004321"))
+    assert all(r.match for r in same) and not all(r.match for r in other)
