@@ -2,7 +2,10 @@
 
 Sizes are cut into bands. Sets of one band whose similarity reaches the threshold differ in at most k shingles, so when the space of
 shingle hashes is cut into more than k parts, both agree wholly in one part. Equal (band, part, content) values therefore hold every
-link: no pair is lost and no frequent shingle makes a hot key. Sets that meet there form candidate groups; a group is cut into blocks
+link: no pair is lost and no frequent shingle makes a hot key. Shingles that very many texts share would fill whole parts of unrelated texts, so
+parts are made of the other shingles: leaving the same shingles out of two sets never makes them differ in more than k. Which ones are
+left out therefore changes the work and not the links. A set with few other shingles takes its parts from all of them; both kinds overlap by
+k shingles, so that two linked sets always share one kind. Sets that meet form candidate groups; a group is cut into blocks
 of bounded size, and each pair of blocks is one tile. Inside a tile, sets are ordered by size and only sizes within the threshold's band meet.
 Tiles are worked on twice. First with hashed bitmaps alone, a few bits a shingle: each bit holds the parity of the shingles hashed to it, so the
 bits that differ bound the overlap from above. What the bound leaves connected forms the final groups, and in their tiles, with the whole
@@ -21,12 +24,16 @@ from datamove.llm.graph import components
 from datamove.llm.words import as_long, mix, shingle_sets
 from datamove.session import cut_lineage
 
-BAND_RATIO = 1.5
-SPARE_PARTS = 2  # empty parts are left out of the tiles while a set has at most this many
+BAND_RATIO = 1.2
+SPARE_PARTS, SPARE_SHARE = 2, 0.3  # parts beyond k + 1, at least and as a share of k; so many empty parts are left out of the tiles
+FEWEST_OTHERS = 1.6  # a set's parts leave common shingles out while it has this many others for each of the k
+COUNTED_SHINGLES = 1 << 21  # common shingles are counted over runs of texts with about so many shingles,
+COMMON_IN_RUN, COMMON_TEXTS, MOST_COMMON = 3, 32, 1 << 18  # in this many texts of a run and of all runs; of more than MOST_COMMON the most frequent
 FLUSH_ROWS = 1 << 19
 BLOCK_SETS, BLOCK_BYTES = 1024, 8 << 20
 BITMAP_BLOCK_SETS, FEWEST_BITS, MOST_BITS = 4096, 256, 1 << 16
 _U = np.uint64
+_NONE = np.zeros(0, _U)
 
 
 def linked(common: int, total: int, percent: int) -> bool:
@@ -40,13 +47,13 @@ def set_key(hashes: np.ndarray) -> np.uint64:
 
 
 def bands(percent: int, largest: int) -> list[tuple[int, int, int, int]]:
-    """(first size, size after the last, parts, smallest size that may link into the band), up to `largest`."""
+    """(first size, size after the last, k, smallest size that may link into the band), up to `largest`."""
     out, low = [], 1
     while low <= largest:
         high = max(low + 1, int(low * BAND_RATIO))
         total = 2 * (high - 1)
         differ = (100 - percent) * total // (100 + percent)
-        out.append((low, high, differ + 1 + SPARE_PARTS if differ else 0, -(-percent * low // 100)))
+        out.append((low, high, differ, -(-percent * low // 100)))
         low = high
     return out
 
@@ -54,24 +61,36 @@ def bands(percent: int, largest: int) -> list[tuple[int, int, int, int]]:
 _bands: dict[int, list] = {}
 
 
-def tile_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """The tile signatures of one sorted set: one for each part of each band in which it may have a partner."""
+def _part_keys(hashes: np.ndarray, sums: np.ndarray, differ: int, tag: int) -> np.ndarray:
+    """One key for each part; sums: running sums of the mixed hashes. Of two sets that differ in at most `differ`, more parts agree than are spare."""
+    spare = max(SPARE_PARTS, int(SPARE_SHARE * differ))
+    parts = differ + 1 + spare
+    part = ((hashes >> _U(32)) * _U(parts)) >> _U(32)
+    at = np.searchsorted(part, np.arange(parts + 1, dtype=_U))
+    content, filled = sums[at[1:]] - sums[at[:-1]], at[1:] > at[:-1]
+    keys = mix(content + mix(np.arange(parts, dtype=_U) + _U(tag << 32)))
+    return keys[filled] if parts - filled.sum() <= spare else keys
+
+
+def tile_keys(hashes: np.ndarray, percent: int, common: np.ndarray = _NONE) -> np.ndarray:
+    """The tile signatures of one sorted set: one for each part of each band in which it may have a partner. common: sorted shingles to leave out."""
     size, out = len(hashes), []
     table = _bands.get(percent)
     if table is None or table[-1][1] <= 2 * size + 2:
         table = _bands[percent] = bands(percent, max(1 << 16, 4 * size + 4))
-    mixed = np.concatenate([np.zeros(1, _U), np.cumsum(mix(hashes ^ _U(0x5851F42D4C957F2D)))])
-    for number, (low, high, parts, least) in enumerate(table):
+    at = np.searchsorted(common, hashes)
+    others = hashes if not len(common) else hashes[common[np.minimum(at, len(common) - 1)] != hashes]
+    sums = [np.concatenate([np.zeros(1, _U), np.cumsum(mix(x ^ _U(0x5851F42D4C957F2D)))]) for x in (others, hashes)]
+    for number, (low, high, differ, least) in enumerate(table):
         if least > size:
             break
-        if size >= high or not parts:  # no parts: only equal sets link, and these share a key
+        if size >= high or not differ:  # only equal sets link, and these share a key
             continue
-        part = ((hashes >> _U(32)) * _U(parts)) >> _U(32)
-        at = np.searchsorted(part, np.arange(parts + 1, dtype=_U))
-        sums, filled = mixed[at[1:]] - mixed[at[:-1]], at[1:] > at[:-1]
-        keys = mix(sums + mix(np.arange(parts, dtype=_U) + _U(number << 32)))
-        out.append(keys[filled] if parts - filled.sum() <= SPARE_PARTS else keys)
-    return np.concatenate(out) if out else np.zeros(0, _U)
+        if len(others) >= FEWEST_OTHERS * differ:
+            out.append(_part_keys(others, sums[0], differ, 2 * number))
+        if len(others) < FEWEST_OTHERS * differ + differ:
+            out.append(_part_keys(hashes, sums[1], differ, 2 * number + 1))
+    return np.concatenate(out) if out else _NONE
 
 
 def _stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,16 +112,48 @@ def bitmap(hashes: np.ndarray) -> bytes:
 
 
 def _sizes(width: int):
+    """A row for each text, and rows (key, texts) for shingles that many different texts of a run share."""
+    def shared(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, texts = np.unique(np.concatenate(sets), return_counts=True)
+        found, texts = found[texts >= COMMON_IN_RUN], texts[texts >= COMMON_IN_RUN]
+        nothing = pa.nulls(len(found), pa.int64())
+        return pa.RecordBatch.from_arrays([nothing, nothing, as_long(found), pa.nulls(len(found), pa.binary()), pa.array(texts, pa.int64())], names)
+
+    names = ["doc_id", "n_shingles", "key", "bitmap", "texts"]
+
     def run(batches):
+        held, seen, n_held = [], set(), 0
         for b in batches:
-            sets = list(shingle_sets(b.column("text"), width))
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), as_long(np.array([set_key(s) for s in sets], _U)),
-                pa.array([bitmap(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "key", "bitmap"])
+            sizes, keys, maps = [], [], []
+            for s in shingle_sets(b.column("text"), width):
+                key = set_key(s)
+                sizes.append(len(s))
+                keys.append(key)
+                maps.append(bitmap(s))
+                if len(s) and int(key) not in seen:
+                    seen.add(int(key))
+                    held.append(s)
+                    n_held += len(s)
+                    if n_held >= COUNTED_SHINGLES:
+                        yield shared(held)
+                        held, seen, n_held = [], set(), 0
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), as_long(np.array(keys, _U)), pa.array(maps, pa.binary()),
+                                              pa.nulls(len(sizes), pa.int64())], names)
+        if held:
+            yield shared(held)
     return run
 
 
-def _signatures(width: int, percent: int):
+def _common(shared: DataFrame) -> np.ndarray:
+    """The shingles found in most texts, sorted; at most MOST_COMMON."""
+    totals = shared.groupBy("key").agg(F.sum("texts").alias("texts"))
+    least = COMMON_TEXTS
+    while totals.where(F.col("texts") >= least).count() > MOST_COMMON:
+        least *= 2
+    return np.sort(totals.where(F.col("texts") >= least).select("key").toArrow()["key"].to_numpy().view(_U))
+
+
+def _signatures(width: int, percent: int, common: np.ndarray):
     """(sig, key) rows. Sets of one task that share a signature are joined here: one of them goes on, and each other one gets a signature
     of its own with that one, so a group of any size sends a few rows per task and tile."""
     def flush(sigs, keys):
@@ -123,7 +174,7 @@ def _signatures(width: int, percent: int):
                 if key in seen or not len(s):
                     continue
                 seen.add(key)
-                sigs.append(tile_keys(s, percent))
+                sigs.append(tile_keys(s, percent, common))
                 keys.append(key)
                 rows += len(sigs[-1])
                 if rows >= FLUSH_ROWS:
@@ -253,8 +304,10 @@ def ngram_groups(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     (then null); such texts are not compared inexactly. Repeated rows give repeated rows. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sizes = cut_lineage(docs.mapInArrow(_sizes(width), "doc_id long, n_shingles long, key long, bitmap binary"))
-    sig = docs.select("text").mapInArrow(_signatures(width, percent), "sig long, key long")
+    read = cut_lineage(docs.mapInArrow(_sizes(width), "doc_id long, n_shingles long, key long, bitmap binary, texts long"))
+    sizes = read.where("texts IS NULL").drop("texts")
+    common = _common(read.where("texts IS NOT NULL").select("key", "texts"))
+    sig = docs.select("text").mapInArrow(_signatures(width, percent, common), "sig long, key long")
     met = sig.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_meet, "a long, b long")
 
     # one text for each different set

@@ -69,7 +69,24 @@ def test_tile_keys_miss_no_pair():
                 b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**63, rng.integers(0, n // 10 + 1), dtype=np.uint64)]))
                 common = len(np.intersect1d(a, b))
                 if ngram_join.linked(common, len(a) + len(b), percent) and not np.array_equal(a, b):
-                    assert set(ngram_join.tile_keys(a, percent)) & set(ngram_join.tile_keys(b, percent))
+                    for left_out in (0, 0.1, 0.3, 0.5, 0.7, 1):  # shares of the shingles that count as common
+                        frequent = np.sort(rng.permutation(np.union1d(a, b))[: int(left_out * len(np.union1d(a, b)))])
+                        assert set(ngram_join.tile_keys(a, percent, frequent)) & set(ngram_join.tile_keys(b, percent, frequent))
+
+
+def test_common_shingles_are_left_out(spark, monkeypatch):
+    """A passage in many unrelated texts is found to be common, and leaving it out changes no link."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 40))) + " " + passage for _ in range(50)]
+    texts += [t + " more" for t in texts[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = []
+    keep = ngram_join._common
+    monkeypatch.setattr(ngram_join, "_common", lambda shared: found.append(keep(shared)) or found[-1])
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_groups(docs, 5, 80).collect()}
+    assert len(found[0]) == 56
+    assert got == {i: i - 50 if i >= 50 else i for i in range(55)}
 
 
 def test_fingerprints(table):
