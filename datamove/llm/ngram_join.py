@@ -31,6 +31,7 @@ COUNTED_SHINGLES = 1 << 21  # common shingles are counted over runs of texts wit
 COMMON_IN_RUN, COMMON_TEXTS, MOST_COMMON = 3, 32, 1 << 18  # in this many texts of a run and of all runs; of more than MOST_COMMON the most frequent
 FLUSH_ROWS = 1 << 19
 BLOCK_SETS, BLOCK_BYTES = 1024, 8 << 20
+MOST_BROADCAST = 1 << 21  # ids, 16 MB of longs
 BITMAP_BLOCK_SETS, FEWEST_BITS, MOST_BITS = 4096, 256, 1 << 16
 _U = np.uint64
 _NONE = np.zeros(0, _U)
@@ -316,6 +317,9 @@ def ngram_groups(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     tiles = _tiles(sets, components(met), BITMAP_BLOCK_SETS, F.octet_length("bitmap"))
     near = tiles.select("grp", "x", "y", "key", "n", "bitmap", "block").groupBy("grp", "x", "y").applyInArrow(_bound(percent), "a long, b long")
     tiles = cut_lineage(_tiles(sets.drop("bitmap"), components(near), BLOCK_SETS, F.col("n") * 8).select("doc_id", "key", "grp", "x", "y", "block"))
+    needed = tiles.select("doc_id").distinct()
+    if needed.count() <= MOST_BROADCAST:  # other texts are dropped before the shuffle; beyond it, the join below drops them
+        docs = docs.join(F.broadcast(needed), "doc_id", "left_semi")
     texts = tiles.join(docs, "doc_id").select("grp", "x", "y", "key", "block", "text")
     links = texts.groupBy("grp", "x", "y").applyInArrow(_compare(width, percent), "a long, b long")
     found = components(links)
