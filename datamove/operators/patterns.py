@@ -159,22 +159,20 @@ def sales_summary(fact: DataFrame, customers: DataFrame) -> DataFrame:
                  F.sum("total_amount").alias("amount")))
 
 
-def hierarchy_levels(nodes: DataFrame, key: str, parent: str, max_levels: int = 1000) -> DataFrame:
+def hierarchy_levels(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     """START WITH parent IS NULL CONNECT BY: (key, root, level). One join per level, the found level checkpointed, so there is
-    no row limit and the plan does not grow with the depth."""
+    no limit of rows or levels and the plan does not grow with the depth. A path longer than the number of keys is a cycle and fails."""
     links = nodes.select(F.col(key).alias("_key"), F.col(parent).alias("_parent"))
     frontier = links.where("_parent is null").select(F.col("_key").alias("node"), F.col("_key").alias("root"), F.lit(1).alias("level"))
-    found = []
-    for level in range(1, max_levels + 1):
-        frontier = cut_lineage(frontier)
-        if frontier.isEmpty():
-            break
+    found, level, longest = [], 0, links.select("_key").distinct().count()
+    while not (frontier := cut_lineage(frontier)).isEmpty():
+        level += 1
+        if level > longest:
+            raise ValueError(f"A path of {level} levels over {longest} keys: the hierarchy has a cycle.")
         found.append(frontier)
         frontier = (links.where("_parent is not null")
                     .join(frontier.select(F.col("node").alias("_parent"), "root"), "_parent")
                     .select(F.col("_key").alias("node"), "root", F.lit(level + 1).alias("level")))
-    else:
-        raise ValueError(f"More than {max_levels} levels: the hierarchy has a cycle.")
     empty = frontier.limit(0)
     return reduce(DataFrame.unionByName, found, empty).withColumnRenamed("node", key)
 

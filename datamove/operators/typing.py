@@ -17,13 +17,12 @@ def decimal_type(precision: Column, scale: Column) -> Column:
 
 def type_rules(spark: SparkSession, db: str) -> DataFrame:
     """The rule table (name, mapped) of one database: shared names with that database's own meanings on top."""
-    rules = {name: target for target, names in fixed.TYPE_NAMES.items() for name in names.split()}
-    rules.update(fixed.TYPE_PHRASES)
+    rules = {**fixed.TYPE_NAMES, **fixed.TYPE_PHRASES}
     for name in fixed.DECIMAL_NAMES:
         rules[name] = "DECIMAL"
     rules.update(fixed.TYPE_OVERRIDES.get(db, {}))
     if db == "teradata":  # catalog codes are upper case; names are looked up in lower case
-        rules.update({f"code:{code}": target for target, codes in fixed.TERADATA_CODES.items() for code in codes.split()})
+        rules.update({f"code:{code}": target for code, target in fixed.TERADATA_CODES.items()})
         rules.update({f"code:{code}": "DECIMAL" for code in fixed.TERADATA_DECIMAL_CODES})
     return spark.createDataFrame(sorted(rules.items()), "rule_name string, mapped string")
 

@@ -6,6 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -15,7 +16,7 @@ from datamove.operators import reconcile
 from datamove.sources.files import as_target_reads_it, export_folder, read_export
 from datamove.sources.tables import read_source
 from datamove.spec import MoveError, MoveSettings, TableMapping, refuse_production
-from datamove.streaming.ingest import ingest_files
+from datamove.streaming.ingest import BATCH_COLUMN, LEDGER_COLUMN, ingest_files
 
 RESULT_SCHEMA = ("source string, target string, status string, rows bigint, error string, compare_only boolean, "
                  "started timestamp, finished timestamp")
@@ -100,11 +101,17 @@ def source_frame(spark: SparkSession, settings: MoveSettings, t: TableMapping) -
     """The source rows of one mapping as its target reads them: filtered, renamed and, from files, cast."""
     if settings.method == "files":
         raw = read_export(spark, settings.files_root, t.source, settings.file_format)
-        return as_target_reads_it(raw, spark.table(t.target).schema, t.columns, t.where)
+        return as_target_reads_it(raw, target_frame(spark, settings, t).schema, t.columns, t.where)
     df = read_source(spark, t.source, settings.source_catalog)
     return mapped_columns(df.where(t.where) if t.where else df, t.columns)
 
 
+def target_frame(spark: SparkSession, settings: MoveSettings, t: TableMapping) -> DataFrame:
+    """The target's rows; of a table filled from files, without the columns that say which batch wrote a row."""
+    df = spark.table(t.target)
+    return df.drop(LEDGER_COLUMN, BATCH_COLUMN) if settings.method == "files" and {LEDGER_COLUMN, BATCH_COLUMN} <= set(df.columns) else df
+
+
 def _load_one(spark: SparkSession, settings: MoveSettings, step: Step, ledger: str | None) -> tuple:
     started, t, target = datetime.now(timezone.utc), step.mapping, step.mapping.target
     rows, error = None, None
@@ -120,9 +127,9 @@ def _load_one(spark: SparkSession, settings: MoveSettings, step: Step, ledger: s
                 if step.action == "replace":
                     empty_table(spark, target)
                 rows = 0
-            elif settings.method == "files" and step.action == "append" and ledger:
-                rows = ingest_files(spark, export_folder(settings.files_root, t.source), target,
-                                    f"{ledger}/{target}", settings.file_format, t.columns, t.where)
+            elif settings.method == "files" and step.action == "append":
+                folder = f"{ledger or settings.files_root.rstrip('/') + '/_ledger'}/{quote(t.source, safe='')}/{quote(target, safe='')}"
+                rows = ingest_files(spark, export_folder(settings.files_root, t.source), target, folder, settings.file_format, t.columns, t.where)
             else:
                 rows = _write_counted(df, target, step.action == "replace")
             status = "loaded"
@@ -134,11 +141,16 @@ def _load_one(spark: SparkSession, settings: MoveSettings, step: Step, ledger: s
 def run_load(spark: SparkSession, settings: MoveSettings, only: list[str] | None = None, previous: DataFrame | None = None,
              ledger: str | None = None, allow_production: bool = False) -> DataFrame:
     """Load the tables and return one result row each. `only` copies just those targets again and keeps the `previous`
-    results of the others. `ledger` is the folder remembering which export files were copied already."""
+    results of the others. Appending from files skips files copied before: `ledger` is the folder that remembers them by source and
+    target, `_ledger` beside the exports if none is given."""
     steps = plan_load(settings, only)
     refuse_production([s.mapping.target for s in steps], allow_production)
+    turns = {}  # two writes into one table at a time would remove each other's unfinished files
+    for i, s in enumerate(steps):
+        turns.setdefault(s.mapping.target.lower(), []).append(i)
     with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
-        results = list(pool.map(lambda s: _load_one(spark, settings, s, ledger), steps))
+        done = pool.map(lambda turn: [(i, _load_one(spark, settings, steps[i], ledger)) for i in turn], turns.values())
+        results = [row for _, row in sorted((x for turn in done for x in turn), key=lambda x: x[0])]
     now = spark.createDataFrame(results, RESULT_SCHEMA)
     if only and previous is not None:
         again = now.select(F.lower("target").alias("_again"))
@@ -188,7 +200,7 @@ def copy_again(loads: DataFrame, comparisons: DataFrame) -> DataFrame:
 
 def _compare_one(spark: SparkSession, settings: MoveSettings, t: TableMapping, checksum: bool) -> list[tuple]:
     try:
-        checks = reconcile.compare_table(source_frame(spark, settings, t), spark.table(t.target), checksum).collect()  # a few rows
+        checks = reconcile.compare_table(source_frame(spark, settings, t), target_frame(spark, settings, t), checksum).collect()  # a few rows
         return [(t.target, r.check_no, r["check"], r.source, r.target, r.match, None) for r in checks]
     except Exception as e:  # noqa: BLE001 - Java and database errors too
         return [(t.target, -1, "error", None, None, False, _message(e))]

@@ -13,6 +13,7 @@ from datamove.queries.sources import _by_path, _named
 from datamove.session import scratch_path
 from datamove.sources import files
 from datamove.spec import MoveSettings, TableMapping
+from datamove.streaming.ingest import LOAD_COLUMNS, LOAD_PARTITION
 
 
 def _rounded(checks: DataFrame) -> DataFrame:
@@ -162,7 +163,7 @@ UNION ALL SELECT 'row_checksum(3 columns)', NULL, NULL, TRUE FROM (SELECT 1)""")
 def compare_export(spark, folder):
     root = scratch_path(spark, "lines")
     files.write_export(read(spark, folder, "lineitem"), root, "lineitem")
-    table = new_table(spark, "lines", "order_id int, price decimal(12,2), shipped date")
+    table = new_table(spark, "lines", f"order_id int, price decimal(12,2), shipped date, {LOAD_COLUMNS}", LOAD_PARTITION)
     mapping = TableMapping("sales.lineitem", table, columns={"order_id": "l_orderkey", "price": "l_extendedprice", "shipped": "l_shipdate"}, where="l_quantity >= 10")
     settings = MoveSettings((mapping,), method="files", files_root=root)
     load.run_load(spark, settings)

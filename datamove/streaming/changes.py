@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from datamove.operators.keys import single_rows
+from datamove.operators.keys import complete, single_rows
 from datamove.operators.latest import latest_per_key
 
 
 def snapshot_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Change rows between two snapshots with unique keys (a repeated key fails): insert, delete, update_preimage and update_postimage, each with
+    """Change rows between two snapshots with unique keys (a repeated or NULL key fails): insert, delete, update_preimage and update_postimage, each with
     the row's columns. One join on the keys; equal rows are dropped before anything is emitted."""
     columns = old.columns
     values = [c for c in columns if c not in keys]
-    side = lambda df, name: single_rows(df, keys).select(*keys, F.struct(F.col("_single").alias("_here"), *values).alias(name))
+    named = F.when(complete(keys), F.lit(True)).otherwise(F.raise_error(F.lit("A row has NULL in its key.")).cast("boolean"))
+    side = lambda df, name: single_rows(df.where(named), keys).select(*keys, F.struct(F.col("_single").alias("_here"), *values).alias(name))
     joined = side(old, "old").join(side(new, "new"), keys, "full").where(~F.col("old").eqNullSafe(F.col("new")))
 
     def change(kind: str, name: str) -> Column:
@@ -34,9 +35,13 @@ def apply_changes(spark: SparkSession, stream: DataFrame, state_root: str, check
                   order: list[str]) -> DataFrame:
     """Run the available changes into the table under `state_root` and return the table.
 
-    Every batch writes a new version folder from the one before it, so a batch repeated after a failure rewrites its own
+    With a `change` column, as snapshot_changes gives it, `delete` removes its key and preimages are ignored; a deleted key stays in the state,
+    so that a late change does not bring it back, and is left out of the returned table, as is the column. Every batch writes a new version folder from the one before it, so a batch repeated after a failure rewrites its own
     version. `order` (for example event time, then event id) decides which change of a key is the latest.
     """
+    feed = "change" in stream.columns
+    stream = stream.where("change <> 'update_preimage'") if feed else stream
+
     def versions() -> list[int]:
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(state_root)
@@ -57,4 +62,6 @@ def apply_changes(spark: SparkSession, stream: DataFrame, state_root: str, check
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{state_root}/version={versions()[-1]}")
+    done = versions()
+    state = spark.read.schema(stream.schema).parquet(f"{state_root}/version={done[-1]}") if done else spark.createDataFrame([], stream.schema)
+    return state.where("change <> 'delete'").drop("change") if feed else state

@@ -9,6 +9,7 @@ from datamove.plans import load
 from datamove.session import scratch_path
 from datamove.sources import files, tables
 from datamove.spec import MoveError, MoveSettings, TableMapping, looks_like_production
+from datamove.streaming.ingest import LOAD_COLUMNS, LOAD_PARTITION
 
 
 def make(spark, schema, rows=(), partitioned_by=""):
@@ -127,7 +128,7 @@ def test_empty_export_only_empties_the_target(spark, tmp_path):
 
 
 def test_file_loads_skip_files_copied_before(spark, tmp_path):
-    target = make(spark, "a int, load_batch bigint", partitioned_by="load_batch")
+    target = make(spark, f"a int, {LOAD_COLUMNS}", partitioned_by=LOAD_PARTITION)
     root, ledger = str(tmp_path / "in"), str(tmp_path / "ledger")
     s = settings(TableMapping("dbo.t", target, columns={"a": "x"}, where="x <> '3'"), method="files", files_root=root)
     spark.createDataFrame([("1",), ("3",)], "x string").write.mode("append").parquet(root + "/t")
@@ -136,6 +137,20 @@ def test_file_loads_skip_files_copied_before(spark, tmp_path):
     assert load.run_load(spark, s, ledger=ledger).first().rows == 1
     assert load.run_load(spark, s, ledger=ledger).first().rows == 0
     assert [v[0] for v in values(spark, target)] == [1, 2]
+    assert load.run_reconcile(spark, s).where("not match").isEmpty()
+
+
+def test_a_ledger_is_kept_by_default(spark, tmp_path):
+    target = make(spark, f"a int, {LOAD_COLUMNS}", partitioned_by=LOAD_PARTITION)
+    for table, rows in (("one", [(1,), (2,)]), ("two", [(3,)])):
+        files.write_export(spark.createDataFrame(rows, "a int"), str(tmp_path), table)
+    s = settings(TableMapping("one", target), TableMapping("two", target), method="files", files_root=str(tmp_path))
+    assert [r.rows for r in load.run_load(spark, s).collect()] == [2, 1]
+    assert [r.rows for r in load.run_load(spark, s).collect()] == [0, 0]
+    assert [v[0] for v in values(spark, target)] == [1, 2, 3]
+    plain = make(spark, "a int")
+    failed = load.run_load(spark, settings(TableMapping("one", plain), method="files", files_root=str(tmp_path))).first()
+    assert failed.status == "failed" and "load_ledger" in failed.error
 
 
 def test_lists_tables_and_skips_missing_schemas(spark):

@@ -96,7 +96,7 @@ def test_hierarchy_levels_and_cycles(spark):
     got = {r.k: (r.root, r.level) for r in patterns.hierarchy_levels(nodes, "k", "p").collect()}
     assert got == {1: (1, 1), 2: (1, 2), 3: (1, 2), 4: (1, 3), 9: (9, 1)}
     with pytest.raises(ValueError, match="cycle"):
-        patterns.hierarchy_levels(spark.createDataFrame([(1, None), (2, 1)], "k int, p int"), "k", "p", max_levels=1)
+        patterns.hierarchy_levels(spark.createDataFrame([(1, None), (2, 1), (2, 3), (3, 2)], "k int, p int"), "k", "p")
 
 
 def test_latest_per_key_with_a_hot_key(spark):

@@ -1,17 +1,18 @@
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from datamove.session import scratch_path
 from datamove.sources.tables import create_table
 from datamove.spec import MoveError
 from datamove.streaming.changes import apply_changes, snapshot_changes
-from datamove.streaming.ingest import ingest_files
+from datamove.streaming.ingest import LOAD_COLUMNS, LOAD_PARTITION, ingest_files
 
 
 def test_files_are_copied_once(spark):
     inbox, ledger, name = scratch_path(spark, "in"), scratch_path(spark, "ledger"), "t_" + uuid.uuid4().hex[:8]
-    create_table(spark, name, "a int, b string, load_batch bigint", scratch_path(spark, name), "load_batch")
+    create_table(spark, name, f"a int, b string, {LOAD_COLUMNS}", scratch_path(spark, name), LOAD_PARTITION)
     spark.range(10).selectExpr("CAST(id AS STRING) AS A", "'x' AS b", "1 AS extra").write.mode("append").parquet(inbox)
     assert ingest_files(spark, inbox, name, ledger) == 10
     assert ingest_files(spark, inbox, name, ledger) == 0
@@ -19,8 +20,11 @@ def test_files_are_copied_once(spark):
     assert ingest_files(spark, inbox, name, ledger) == 5
     assert sorted(r.a for r in spark.table(name).collect()) == list(range(15))
     assert spark.table(name).select("load_batch").distinct().count() == 2
-    # without its ledger the same files come again, into the partition they were written to before
-    assert ingest_files(spark, inbox, name, scratch_path(spark, "fresh")) == 15
+    # another ledger starts at batch 0 too and leaves the rows of this one alone
+    other = scratch_path(spark, "other")
+    spark.range(100, 103).selectExpr("CAST(id AS STRING) AS A", "'z' AS b").write.parquet(other)
+    assert ingest_files(spark, other, name, scratch_path(spark, "fresh")) == 3
+    assert sorted(r.a for r in spark.table(name).collect()) == [*range(15), 100, 101, 102]
     create_table(spark, name + "p", "a int", scratch_path(spark, name + "p"))
     with pytest.raises(MoveError, match="load_batch"):
         ingest_files(spark, inbox, name + "p", ledger)
@@ -44,3 +48,18 @@ def test_snapshot_changes(spark):
     assert rows == {("update_preimage", 2, "b"), ("update_postimage", 2, "B"), ("delete", 3, "c"), ("insert", 4, "d")}
     with pytest.raises(Exception, match="More than one source row for key 2"):
         snapshot_changes(old.union(old.where("k = 2")), new, ["k"]).collect()
+    with pytest.raises(Exception, match="NULL in its key"):
+        snapshot_changes(old.unionByName(old.where("k = 2").withColumn("k", F.lit(None).cast("int"))), new, ["k"]).collect()
+
+
+def test_feed_with_deletes(spark):
+    inbox, state, check = (scratch_path(spark, n) for n in ("feed", "state", "check"))
+    schema = "change string, k int, t int, v string"
+    run = lambda: {r.k: r.v for r in apply_changes(spark, spark.readStream.schema(schema).parquet(inbox), state, check, ["k"], ["t"]).collect()}
+    spark.createDataFrame([("insert", 1, 1, "a"), ("insert", 2, 1, "b"), ("update_preimage", 1, 2, "a"), ("update_postimage", 1, 2, "A")],
+                          schema).write.mode("append").parquet(inbox)
+    assert run() == {1: "A", 2: "b"}
+    spark.createDataFrame([("delete", 2, 3, "b"), ("insert", 3, 3, "c")], schema).write.mode("append").parquet(inbox)
+    assert run() == {1: "A", 3: "c"}
+    spark.createDataFrame([("update_postimage", 2, 2, "late")], schema).write.mode("append").parquet(inbox)
+    assert run() == {1: "A", 3: "c"}
