@@ -315,7 +315,9 @@ def ngram_groups(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str
     sets = sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"))
     tiles = _tiles(sets, components(met), BITMAP_BLOCK_SETS, F.octet_length("bitmap"))
-    near = tiles.select("grp", "x", "y", "key", "n", "bitmap", "block").groupBy("grp", "x", "y").applyInArrow(_bound(percent), "a long, b long")
+    # dealt by tile: the blocks were counted by group, and that partitioning would leave all tiles of a large group in one task
+    dealt = tiles.select("grp", "x", "y", "key", "n", "bitmap", "block").repartition("grp", "x", "y")
+    near = dealt.groupBy("grp", "x", "y").applyInArrow(_bound(percent), "a long, b long")
     tiles = cut_lineage(_tiles(sets.drop("bitmap"), components(near), BLOCK_SETS, F.col("n") * 8).select("doc_id", "key", "grp", "x", "y", "block"))
     needed = tiles.select("doc_id").distinct()
     if needed.count() <= MOST_BROADCAST:  # other texts are dropped before the shuffle; beyond it, the join below drops them
