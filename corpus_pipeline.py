@@ -6,29 +6,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from datamove.llm import language_id, ngram_join, packing, toxicity
+from datamove.llm.words import text_batches
 from datamove.session import scratch_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar does not call toxic."""
+    text_batches(spark)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known."""
+    text_batches(spark)
     return language_id.keep_known(docs, language_id.fit(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by similarity of 0.8 or more over five-word shingles, the one with the smallest id. Rows with an id that is
     null are kept; rows that repeat the kept id are kept."""
+    text_batches(spark)
     groups = ngram_join.ngram_groups(docs, width=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the kept documents in sequences of at most 1024 tokens."""
+    text_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
@@ -22,6 +24,12 @@ _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches for columns of whole texts: the default of 10,000 rows holds many copies of tens of megabytes, in the JVM and in each Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that every output bit depends on every input bit."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
