@@ -15,7 +15,7 @@ from collections.abc import Iterable
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 INSULT, THREAT, TARGET, NEGATION, SPEECH, OTHER = "I", "T", "G", "N", "R", "."
 # fixed values: the start lexicon; learned words are added to the insults
@@ -130,8 +130,9 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic): at most SAMPLE_ROWS rows of each label, by hash; only ids and labels are looked at to choose them."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(fold("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_ROWS).select("doc_id", "toxic")
+    # the first rows of each label, cut in every partition before they meet
+    of = lambda label: known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    chosen = of(0).unionByName(of(1)).select("doc_id", "toxic")
     # at most 2 * SAMPLE_ROWS rows of 12 bytes
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
