@@ -32,6 +32,50 @@ def test_near_duplicates(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def _exact(spark, x):
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, [float(v) for v in y], 0) for i, y in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    near = y @ y.T >= 0.93
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    while True:
+        least = np.minimum(label, np.where(near, label[None, :], len(x)).min(axis=1))
+        if (least == label).all():
+            break
+        label = least
+    assert [got[i].n_links for i in range(len(x))] == near.sum(axis=1).tolist()
+    assert [got[i].component_id for i in range(len(x))] == label.tolist()
+
+
+def _two_groups(rng, size):
+    centres = np.zeros((2, 64))
+    centres[0, 0], centres[1, :2] = 1, (0.95, (1 - 0.95 ** 2) ** 0.5)
+    return np.repeat(centres, size, axis=0) + rng.normal(size=(2 * size, 64)) * 0.1 / 64 ** 0.5
+
+
+def test_links_between_dense_groups(spark):
+    _exact(spark, _two_groups(np.random.default_rng(3), 120))
+
+
+def test_dense_groups_and_rare_pairs_of_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 64))
+    x[700:720] = x[:20] + rng.normal(size=(20, 64)) * 0.2
+    x[1000:1060] = 8 * _two_groups(rng, 30)
+    for name, value in (("BLOCK", 32), ("TILE", 200), ("AUDITED", 100), ("LINKED", 8)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    monkeypatch.setattr(embedding_dedup, "WANTED_RECALL", 1.0)
+    _exact(spark, x)
+
+
+def test_audit_goes_on_until_links_are_seen(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 64))
+    x[600:603] = x[:3] + rng.normal(size=(3, 64)) * 0.2
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    _exact(spark, x)
+
+
 def test_url_rules(spark):
     urls = ["http://x.COM/a", "https://example.com/en/1?q", "https://WWW.example.com/en/#x", "http://a.net/es/2", "http://a.net/espana/", "nothing", None, "http://com", "http://b.org/fr/3",
             "http://b.org/fr/4", "://c.net/fr/"]
