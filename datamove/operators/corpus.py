@@ -408,24 +408,45 @@ def missing_objects(used: DataFrame, known: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- table definitions
 
-def _nested(depth: int) -> str:
-    inner = r"[^()]*+"
-    for _ in range(depth):
-        inner = rf"(?:[^()]++|\({inner}\))*+"
-    return inner
+def _opened(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("("), F.lit("")))
+
+
+def _up_to_closing(text: Column) -> Column:
+    """The text before the parenthesis that closes one opened before it; NULL when nothing closes it."""
+    pieces = F.split(text, r"\)")
+    start = F.struct(F.lit(0).alias("closed"), F.lit(0).alias("opened"), F.lit(-1).alias("end"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        opened = acc["opened"] + _opened(piece)
+        end = F.when((acc["end"] < 0) & (opened == acc["closed"]), acc["closed"]).otherwise(acc["end"])
+        return F.struct((acc["closed"] + 1).alias("closed"), opened.alias("opened"), end.alias("end"))
+    end = F.aggregate(pieces, start, step, lambda acc: acc["end"])
+    return F.transform(F.array(F.struct(pieces.alias("p"), end.alias("e"))), lambda x: F.when(
+        (x["e"] >= 0) & (x["e"] < F.size(x["p"]) - 1), F.array_join(F.slice(x["p"], F.lit(1), x["e"] + 1), ")")))[0]
+
+
+def _at_outer_commas(text: Column) -> Column:
+    """The parts between commas that lie outside all parentheses."""
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + _opened(piece) - (F.length(piece) - F.length(F.replace(piece, F.lit(")"), F.lit(""))))
+        done = F.size(acc["parts"])
+        whole = F.concat(F.slice(acc["parts"], F.lit(1), done - 1), F.array(F.concat(F.element_at(acc["parts"], -1), F.lit(","), piece)))
+        return F.struct(depth.alias("depth"), F.when(acc["depth"] > 0, whole).otherwise(F.concat(acc["parts"], F.array(piece))).alias("parts"))
+    return F.aggregate(F.split(text, ","), start, step, lambda acc: acc["parts"])
 
 
 def defined_tables(files: DataFrame) -> DataFrame:
     """Columns of the CREATE TABLE statements: (path, table_name, position, column_name, data_type, nullable, identity,
-    primary_key). Parentheses may nest four deep."""
-    body = _nested(4)
-    pattern = rules.CREATE_TABLE + f"({body})" + r"\)"
+    primary_key). Bodies and columns are cut at balanced parentheses of any depth."""
     clean = lambda c: F.regexp_replace(c, r"[\[\]`\"]", "")
-    pairs = F.arrays_zip(F.regexp_extract_all("code", F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all("code", F.lit(pattern), F.lit(2)).alias("body"))
-    tables = with_masks(files).select("path", F.explode(pairs).alias("t")).select(
-        "path", clean(F.regexp_replace("t.name", r"\s*\.\s*", ".")).alias("table_name"), F.col("t.body").alias("body"))
-    part = rf"(?:[^(),]++|\({body}\))++"
-    parts = F.filter(F.transform(F.regexp_extract_all("body", F.lit(part), F.lit(0)), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    pieces = with_masks(files).select("path", F.explode(F.split("code", r"(?=" + rules.CREATE_TABLE + ")")).alias("piece"))
+    named = pieces.select("path", F.regexp_extract("piece", r"\A" + rules.CREATE_TABLE, 1).alias("name"), F.regexp_replace("piece", r"\A" + rules.CREATE_TABLE, "").alias("rest"))
+    tables = named.where("name <> ''").select(
+        "path", clean(F.regexp_replace("name", r"\s*\.\s*", ".")).alias("table_name"), _up_to_closing(F.col("rest")).alias("body")).where("body IS NOT NULL")
+    parts = F.filter(F.transform(_at_outer_commas(F.col("body")), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
     key = r"(?i)PRIMARY\s+KEY\s*(?:CLUSTERED|NONCLUSTERED)?\s*\(([^)]*)\)"
     head = lambda p: F.upper(clean(F.regexp_extract(p, r"^\S+", 0)))
     is_column = lambda p: ~head(p).isin(rules.NOT_A_COLUMN) & p.rlike(r"\s")

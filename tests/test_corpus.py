@@ -140,3 +140,10 @@ def test_fit_of_versioned_tables_and_deployment_scripts(spark):
     assert {r.path: (r.category, r.versioned) for r in placed.collect()} == {"a/Script.PostDeployment1.sql": ("skip", False), "t.sql": ("data", True), "fact_x.sql": ("data", False)}
     assert corpus.fit_verdict(placed).first().verdict == "mixed"
     assert corpus.fit_verdict(corpus.fit(df, "oracle")).first().verdict == "warehouse"
+
+
+def test_tables_with_deep_parentheses(spark):
+    deep = "(" * 12 + "a + 1, 2" + ")" * 12
+    text = f"CREATE TABLE t (a INT NOT NULL, b AS {deep}, c INT DEFAULT {deep}, CHECK {deep}, PRIMARY KEY (a));\nCREATE TABLE [s].[u] (x DECIMAL(10, 2));\nCREATE TABLE v (y INT"
+    rows = {(r.table_name, r.position): (r.column_name, r.primary_key) for r in corpus.defined_tables(files(spark, text)).collect()}
+    assert rows == {("t", 1): ("a", True), ("t", 2): ("b", False), ("t", 3): ("c", False), ("s.u", 1): ("x", False)}
