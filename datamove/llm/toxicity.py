@@ -126,15 +126,18 @@ def fold(id_col: str, n: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic): at most SAMPLE_ROWS rows of each label, by hash; only ids and labels are looked at to choose them."""
+def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """(text, toxic): at most SAMPLE_ROWS rows of each label, by hash; only ids and labels are looked at to choose them. And the share of each label's
+    rows that was chosen."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
              .where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(fold("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     # the first rows of each label, cut in every partition before they meet
     of = lambda label: known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    counted = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    rates = {label: min(1.0, SAMPLE_ROWS / n) for label, n in counted.items()}
     chosen = of(0).unionByName(of(1)).select("doc_id", "toxic")
     # at most 2 * SAMPLE_ROWS rows of 12 bytes
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), rates
 
 
 def _contexts(batches):
@@ -185,17 +188,21 @@ def _distinct_terms(counts: dict[str, int]) -> list[str]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learned words and stems: far more frequent in toxic than in clean sample texts (likelihood ratio against chance among millions of terms, and
-    lift), after different words, so copied texts teach nothing. Weights: logistic regression on the matches. Without labels: fixed weights."""
-    sample = _sample(docs, labels)
+    lift), after different words, so copied texts teach nothing. Weights: logistic regression on the matches. Without labels: fixed weights.
+
+    Where the labels are sampled at different rates, clean texts count at the true odds when terms are chosen, and the bias is set back by the log of
+    the rates' ratio, so that the prior does not move with the table's size."""
+    sample, rates = _sample(docs, labels)
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if min(size.get(0, 0), size.get(1, 0)) < 5:
         return Model([], np.array([2.5 if len(o) == 1 or o.endswith("g") else 0.5 for o in OUTPUTS]), -3.0)
     counted = (sample.mapInArrow(_contexts, "word string, before string, toxic int, text_hash long").groupBy("word", "toxic")
                .agg(F.size(F.collect_set("before")).alias("n"), F.size(F.collect_set("text_hash")).alias("texts"))  # of at most 2 * SAMPLE_ROWS texts
                .groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("texts")).otherwise(0)).alias("in_texts"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("texts")).otherwise(0)).alias("c")))
-    base = size[1] / (size[0] + size[1])
-    n, t = F.col("in_texts") + F.col("c"), F.col("in_texts")
-    surprise = t * F.log(t / n / base) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / n / (1 - base))).otherwise(0.0)
+    odds = rates[1] / rates[0]  # a clean sample text stands for so many beside a toxic one
+    base = size[1] / (size[0] * odds + size[1])
+    t, c = F.col("in_texts"), F.col("c") * odds
+    surprise = t * F.log(t / (t + c) / base) + F.when(c > 0, c * F.log(c / (t + c) / (1 - base))).otherwise(0.0)
     telling = (F.col("t") >= MIN_CONTEXTS) & (surprise >= MIN_SURPRISE) & (t / size[1] >= MIN_LIFT * (F.col("c") + 0.5) / size[0])
     learned = _distinct_terms({r["word"]: r["in_texts"] for r in counted.where((t > 0) & telling).collect()})  # such terms fill the sample's toxic rows: few
     rows = sample.mapInArrow(_features(learned), "toxic int, x array<double>").collect()  # a few numbers for each sample row
@@ -209,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    return Model(learned, w[:-1], float(w[-1]))
+    return Model(learned, w[:-1], float(w[-1] - np.log(odds)))
 
 
 def _score(model: Model):

@@ -208,6 +208,14 @@ def test_toxicity(table, folder, spark):
     assert kept.columns == table.columns and kept.count() == sum(1 - r.predicted for r in rows)
 
 
+def test_prior_does_not_move_with_the_sample(spark, monkeypatch):
+    texts = [("you idiot", 1)] * 40 + [("plain text", 1)] * 60 + [("you idiot", 0)] * 30 + [("plain text", 0)] * 870
+    docs = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(texts)], "doc_id long, text string, toxic int")
+    whole = toxicity.fit(docs.select("doc_id", "text"), docs)
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 60)
+    assert abs(toxicity.fit(docs.select("doc_id", "text"), docs).bias - whole.bias) < 0.8
+
+
 def test_grammar_scopes():
     g = toxicity.Grammar(["blurgo*"])
     found = lambda t: {o for o, n in zip(toxicity.OUTPUTS, g.matches(t)) if n}
