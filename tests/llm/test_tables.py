@@ -102,6 +102,14 @@ def test_mined_rules_against_brute_force(spark):
     assert rules == best
 
 
+def test_copies_are_dropped_by_id_and_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(1, a), (1, a), (5, a + " end"), (5, b), (None, b + " end"), (None, c), (None, c + " end"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.drop_copies(spark, docs, "").collect()))
+    assert len(kept) == 5 and kept[0][1] in (c, c + " end") and kept[1:] == [(1, a), (1, a), (5, b), (7, "")]
+
+
 def test_pipeline(spark, folder):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "language", "ngram_join", "packing"]
