@@ -4,7 +4,7 @@ Documents are routed by length to context tiers (1024, 512, ... tokens). Whole w
 and every shorter document wait in the tier that is the smallest window to hold it. The tiers are packed from the longest down: a piece opens a window of its
 tier, and the gap behind it is filled from the shorter tiers, longest piece that fits first, the last one cut so that the window is
 exactly full. What cannot be filled at the end of a batch of documents waits for the next one; only a task's last windows can be short.
-Windows of one tier form step groups of equal token numbers. No shuffle: a task packs its own partition, and its memory is one batch.
+Windows of one tier form step groups of equal token numbers, but for the last group of every tier in every task, which may be short. No shuffle: a task packs its own partition, and its memory is one batch.
 """
 
 from __future__ import annotations
@@ -164,7 +164,7 @@ def _pack(encode: Callable[[], Callable[[str], bytes]], end_id: int) -> Callable
             cols = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")}
             for size, window in packer.windows:
                 at, sequence = 0, (part << 40) | made
-                step = (part << 40) | (groups[size] // (STEP_TOKENS // size))
+                step = (part << 40) | (TIERS.index(size) << 36) | (groups[size] // (STEP_TOKENS // size))
                 groups[size] += 1
                 made += 1
                 for doc, start, length in window:
@@ -207,7 +207,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     `end_id`, its sequence and the offset there, the sequence's tier and step group.
 
     A null or empty text is the end id alone; a null id is kept; repeated rows are packed each. An empty table gives no rows. Other
-    columns are ignored. Sequence and step-group numbers start with the number of the task that packed them.
+    columns are ignored. Sequence and step-group numbers start with the number of the task that packed them, step-group numbers go on with the tier.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_pack(lambda: encoder(tokenizer_path).encode, end_id), SCHEMA)

@@ -208,6 +208,16 @@ def test_toxicity(table, folder, spark):
     assert kept.columns == table.columns and kept.count() == sum(1 - r.predicted for r in rows)
 
 
+def test_step_groups_hold_one_tier(docs):
+    rows = packing.pack(docs, BYTE).select("step_group", "tier", "sequence_id").distinct().collect()
+    tiers, windows = defaultdict(set), Counter()
+    for r in rows:
+        tiers[r.step_group].add(r.tier)
+        windows[r.step_group] += 1
+    assert len({r.tier for r in rows}) > 1 and all(len(t) == 1 for t in tiers.values())
+    assert all(n * min(tiers[g]) <= packing.STEP_TOKENS for g, n in windows.items())
+
+
 def test_prior_does_not_move_with_the_sample(spark, monkeypatch):
     texts = [("you idiot", 1)] * 40 + [("plain text", 1)] * 60 + [("you idiot", 0)] * 30 + [("plain text", 0)] * 870
     docs = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(texts)], "doc_id long, text string, toxic int")
