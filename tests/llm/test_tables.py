@@ -72,7 +72,8 @@ def test_audit_goes_on_until_links_are_seen(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1200, 64))
     x[600:603] = x[:3] + rng.normal(size=(3, 64)) * 0.2
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    for name, value in (("BLOCK", 8), ("NEIGHBOURS", 2), ("ROUNDS", 1)):  # few pairs are met by chance
+        monkeypatch.setattr(embedding_dedup, name, value)
     _exact(spark, x)
 
 
