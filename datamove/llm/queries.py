@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from datamove.llm import embedding_dedup, fingerprints, hmm, language_id, ngram_join, packing, sharding, toxicity, trie_bpe, url_rules
+from datamove.llm import (best_fit, divergence, embedding_dedup, fingerprints, hmm, language_id, ngram_join, packing, sharding, toxicity, trie_bpe, url_rules,
+                          whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +79,42 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op11_best_fit")
+def op11_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit.pack_best_fit(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op12_divergence", """
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+counted AS (SELECT lang, source, term, count(*) AS c FROM words GROUP BY ALL),
+kept AS (SELECT lang, term, count(*) AS lang_c FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(lang_c) AS n FROM kept GROUP BY lang),
+grouped AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN (SELECT counted.* FROM counted JOIN kept USING (lang, term)) k ON k.lang = g.lang AND k.source = g.source GROUP BY ALL),
+priced AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+    1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (g.n + 5 * l.v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (k.lang_c + 5)) // (l.n + 5 * l.v)::HUGEINT AS q
+  FROM grouped g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM priced a
+  JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM grouped a
+  JOIN grouped b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value,
+  row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term)::INT AS rank
+FROM priced WHERE c > 0 AND p > q QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) <= 50
+""")
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(read(spark, folder, "documents"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(spark, folder, "embeddings"))
