@@ -120,7 +120,10 @@ def refined_eigenvectors(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s = (s + s.T) / 2  # else its rounding, divided by a small gap, would bend right angles
         values = np.diag(s) / (1 - np.diag(r))
         off = s - np.diag(values)
-        within = max(finest, 2 * (np.sqrt((off * off).sum()) + size_a * np.sqrt((r * r).sum())))
+        wrong = np.sqrt((off * off).sum()) + size_a * np.sqrt((r * r).sum())
+        if wrong < 1e-15 and wrong >= before / 2:  # as right as extended precision can tell
+            break
+        before, within = wrong, max(finest, 2 * wrong)
         gaps = values[None, :] - values[:, None]
         apart = np.abs(gaps) > within
         e = np.where(apart, (s + values[None, :] * r) / np.where(apart, gaps, 1), r / 2)
@@ -132,10 +135,6 @@ def refined_eigenvectors(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if size:  # turned within the cluster; equal eigenvalues leave nothing to turn
                 q = np.linalg.eigh(((small + small.T) / (2 * size)).astype(np.float64))[1].astype(WIDE)
                 x[:, run] = x[:, run] @ (q + q @ (np.eye(len(run), dtype=WIDE) - q.T @ q) / 2)
-        change = np.abs(e).max()
-        if change <= 4 * np.finfo(WIDE).eps or (change < 1e-14 and change >= before / 2):
-            break
-        before = change
     values = np.einsum("ij,ij->j", x, a @ x) / np.einsum("ij,ij->j", x, x)
     order = np.argsort(-values, kind="stable")
     return values[order] * scale, x[:, order]
