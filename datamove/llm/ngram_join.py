@@ -117,10 +117,10 @@ def _sizes(width: int):
     def shared(sets: list[np.ndarray]) -> pa.RecordBatch:
         found, texts = np.unique(np.concatenate(sets), return_counts=True)
         found, texts = found[texts >= COMMON_IN_RUN], texts[texts >= COMMON_IN_RUN]
-        nothing = pa.nulls(len(found), pa.int64())
-        return pa.RecordBatch.from_arrays([nothing, nothing, as_long(found), pa.nulls(len(found), pa.binary()), pa.array(texts, pa.int64())], names)
+        nothing = [pa.nulls(len(found), pa.int64())] * 4
+        return pa.RecordBatch.from_arrays([*nothing, as_long(found), pa.nulls(len(found), pa.binary()), pa.array(texts, pa.int64())], names)
 
-    names = ["doc_id", "n_shingles", "key", "bitmap", "texts"]
+    names = ["doc_id", "text_hash", "n_bytes", "n_shingles", "key", "bitmap", "texts"]
 
     def run(batches):
         held, seen, n_held = [], set(), 0
@@ -138,8 +138,8 @@ def _sizes(width: int):
                     if n_held >= COUNTED_SHINGLES:
                         yield shared(held)
                         held, seen, n_held = [], set(), 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), as_long(np.array(keys, _U)), pa.array(maps, pa.binary()),
-                                              pa.nulls(len(sizes), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names[:3]], pa.array(sizes, pa.int64()), as_long(np.array(keys, _U)),
+                                              pa.array(maps, pa.binary()), pa.nulls(len(sizes), pa.int64())], names)
         if held:
             yield shared(held)
     return run
@@ -297,38 +297,69 @@ def _tiles(sets: DataFrame, groups: DataFrame, most_sets: int, size: Column) ->
             .withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}))
 
 
-def ngram_groups(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """-> (doc_id, n_shingles, component_id): size of each text's shingle set and the smallest id reachable by links.
+def linked_rows(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """-> (doc_id, text_hash, n_shingles, component, component_id): a row for each of docs. component: the same for all rows whose texts are
+    connected by links, null for empty sets; component_id: the smallest id among these rows, null ids aside, or the own id where component is null.
 
-    Two texts link when 100 * |A and B| >= percent * |A or B| for their sets of `width`-word shingles. Nulls and texts without words have an
-    empty set and link with nothing. A null id takes part by its text but is never a component_id unless the whole component has none
-    (then null); such texts are not compared inexactly. Repeated rows give repeated rows. Other columns are ignored.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    read = cut_lineage(docs.mapInArrow(_sizes(width), "doc_id long, n_shingles long, key long, bitmap binary, texts long"))
+    Texts are known by the key of their set alone, so ids may be null or repeat. A set's text is fetched by the id and hash of one of its rows."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    sized = docs.select("doc_id", "text_hash", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    read = cut_lineage(sized.mapInArrow(
+        _sizes(width), "doc_id long, text_hash long, n_bytes long, n_shingles long, key long, bitmap binary, texts long"))
     sizes = read.where("texts IS NULL").drop("texts")
     common = _common(read.where("texts IS NOT NULL").select("key", "texts"))
     sig = docs.select("text").mapInArrow(_signatures(width, percent, common), "sig long, key long")
     met = sig.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_meet, "a long, b long")
 
-    # one text for each different set
-    sets = sizes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"))
+    # one row for each different set
+    sets = sizes.where("n_shingles > 0").groupBy("key").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "n_bytes")).alias("row"), F.first("n_shingles").alias("n"),
+        F.first("bitmap").alias("bitmap")).select("key", "row.doc_id", "row.text_hash", "row.n_bytes", "n", "bitmap")
     tiles = _tiles(sets, components(met), BITMAP_BLOCK_SETS, F.octet_length("bitmap"))
     # dealt by tile: the blocks were counted by group, and that partitioning would leave all tiles of a large group in one task
     dealt = tiles.select("grp", "x", "y", "key", "n", "bitmap", "block").repartition("grp", "x", "y")
     near = dealt.groupBy("grp", "x", "y").applyInArrow(_bound(percent), "a long, b long")
-    tiles = cut_lineage(_tiles(sets.drop("bitmap"), components(near), BLOCK_SETS, F.col("n") * 8).select("doc_id", "key", "grp", "x", "y", "block"))
-    needed = tiles.select("doc_id").distinct()
+    tiles = cut_lineage(_tiles(sets.drop("bitmap"), components(near), BLOCK_SETS, F.greatest("n_bytes", F.col("n") * 8))
+                        .select("key", "doc_id", "text_hash", "grp", "x", "y", "block"))
+    needed = tiles.select("key", "doc_id", "text_hash").distinct().withColumnsRenamed({"doc_id": "of_id", "text_hash": "of_hash"})
     if needed.count() <= MOST_BROADCAST:  # other texts are dropped before the shuffle; beyond it, the join below drops them
-        docs = docs.join(F.broadcast(needed), "doc_id", "left_semi")
-    texts = tiles.join(docs, "doc_id").select("grp", "x", "y", "key", "block", "text")
-    links = texts.groupBy("grp", "x", "y").applyInArrow(_compare(width, percent), "a long, b long")
+        needed = F.broadcast(needed)
+    # rows that repeat the fetched one, which ids that are null or not unique allow, are merged before they are shuffled
+    texts = docs.join(needed, docs["doc_id"].eqNullSafe(needed["of_id"]) & (docs["text_hash"] == needed["of_hash"])).groupBy("key").agg(F.first("text").alias("text"))
+    placed = tiles.join(texts, "key").select("grp", "x", "y", "key", "block", "text")
+    links = placed.groupBy("grp", "x", "y").applyInArrow(_compare(width, percent), "a long, b long")
     found = components(links)
 
     ids = sizes.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"))
     named = ids.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     lowest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_key = named.join(lowest, "component").select(F.col("key").alias("set_key"), "component_id")
-    full = sizes.where("n_shingles > 0").join(by_key, F.col("key") == F.col("set_key"), "left").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(sizes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    by_key = named.join(lowest, "component").select(F.col("key").alias("set_key"), "component", "component_id")
+    rows = sizes.select("doc_id", "text_hash", "n_shingles", "key")
+    columns = ["doc_id", "text_hash", "n_shingles", "component", "component_id"]
+    full = rows.where("n_shingles > 0").join(by_key, F.col("key") == F.col("set_key"), "left").select(columns)
+    return full.unionByName(rows.where("n_shingles = 0").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")}).select(columns))
+
+
+def ngram_groups(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """-> (doc_id, n_shingles, component_id): size of each text's shingle set and the smallest id reachable by links.
+
+    Two texts link when 100 * |A and B| >= percent * |A or B| for their sets of `width`-word shingles. Nulls and texts without words have an
+    empty set and link with nothing. A null id takes part by its text, links others as any row does, and is never a component_id unless the whole component
+    has none (then null). Repeated rows give repeated rows; an id may repeat with other texts. Other columns are ignored; an empty table gives no rows.
+    """
+    return linked_rows(docs, width, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def drop_linked(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but one document of each linked group: the one with the smallest id (null ids last, then by text hash) stays.
+
+    A document is an id and its text, so rows that repeat the kept document stay too; texts without words all stay. Only ids and hashes of the rest are
+    brought to the texts: as a broadcast while their number is bounded, beyond that by a join that shuffles the texts once."""
+    document = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    rows = linked_rows(docs, width, percent, id_col, text_col).where("component IS NOT NULL").select("component", document.alias("document"))
+    first = rows.groupBy("component").agg(F.min("document").alias("kept"))
+    dropped = cut_lineage(rows.join(first, "component").where("document <> kept")
+                          .select(F.col("document.doc_id").alias("_drop_id"), F.col("document.text_hash").alias("_drop_hash")).distinct())
+    if dropped.count() <= MOST_BROADCAST:
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, docs[id_col].cast("long").eqNullSafe(dropped["_drop_id"]) & (F.xxhash64(docs[text_col]) == dropped["_drop_hash"]), "left_anti")

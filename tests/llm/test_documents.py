@@ -190,11 +190,65 @@ def test_hmm_recursions():
     assert counts[: hmm.CLASSES].sum() == pytest.approx(305) and counts[hmm.CLASSES : -2].sum() == pytest.approx(4 + 297)
 
 
+def brute_kept(rows, width, percent):
+    """Rows of (id, text) that stay when one document of each linked group does."""
+    label = list(range(len(rows)))
+    sets = [shingles(t, width) for _, t in rows]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and 100 * len(a & b) >= percent * len(a | b) and label[i] != label[j]:
+                old = label[i]
+                label = [label[j] if x == old else x for x in label]
+    return label, sets
+
+
+def test_null_ids_bridge(spark):
+    base = [f"w{i}" for i in range(400)]
+    a, b, c = (" ".join(base[k:] + [f"v{i}" for i in range(k)]) for k in (0, 15, 30))
+    for bridge in (None, 2):
+        docs = spark.createDataFrame([(1, a), (bridge, b), (3, c), (None, "other words here only"), (bridge, b)], "doc_id long, text string")
+        found = {(r.doc_id, r.component_id) for r in ngram_join.ngram_groups(docs).collect()}
+        assert {x for x in found if x[0]} | {(None, 1)} == {(1, 1), (3, 1), (None, 1)} | {(x, 1) for x in [bridge] if x}
+        assert bridge or (None, 1) in found
+        assert (None, None) in found
+    kept = ngram_join.drop_linked(docs, 3, 90).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "other words here only"), (1, a)]
+
+
+def test_long_texts_of_repeated_lines_count_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4096)
+    rows = [(i, ("same line again and again " * 200) + f"end{i} of it") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tiles = []
+    keep = ngram_join._tiles
+    monkeypatch.setattr(ngram_join, "_tiles", lambda *a: tiles.append(keep(*a)) or tiles[-1])
+    found = {r.doc_id: r.component_id for r in ngram_join.ngram_groups(docs, 3, 40).collect()}
+    assert found == dict.fromkeys(range(30), 0)
+    assert tiles[-1].groupBy("grp", "x", "y").agg({"n_bytes": "sum"}).agg({"sum(n_bytes)": "max"}).first()[0] < 30 * 5200 / 3
+
+
+def test_one_of_each_linked_group_stays(table):
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    label, sets = brute_kept(rows, 5, 80)
+    groups = defaultdict(set)
+    for (d, t), x, s in zip(rows, label, sets, strict=True):
+        if s:
+            groups[x].add((d is None, d or 0, t))
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.drop_linked(table).collect())
+    given = Counter(rows)
+    assert all(n == given[k] for k, n in kept.items())
+    assert Counter(k for k, s in zip(rows, sets, strict=True) if not s) == Counter({k: n for k, n in kept.items() if not shingles(k[1], 5)})
+    for members in groups.values():
+        stay = [m for m in members if kept[m[1] if not m[0] else None, m[2]]]
+        assert len(stay) == 1 and stay[0][:2] == min(members)[:2]
+
+
 def test_language(table, folder, spark):
     model = language_id.fit(spark.read.parquet(f"{folder}/documents.parquet"))
     rows, lang = language_id.predict_documents(table, model).collect(), {r.doc_id: r.lang for r in table.collect()}
     assert len(rows) == table.count()
-    assert all(r.lang_pred == "und" and r.score == 0 for r in rows if r.doc_id in (4, 5, 6) and lang[r.doc_id] in (None, "en") and "k" in table.columns)
+    assert all(r.lang_pred == "und" and r.score == 0 for r in rows if r.doc_id in (4, 5, 6) and lang[r.doc_id] in (None, "en") and "key" in table.columns)
+    assert "key" not in table.columns or {r.doc_id for r in rows if r.lang_pred == "und"} >= {4, 5, 6}
     known = [r.lang_pred == lang[r.doc_id] for r in rows if lang[r.doc_id] and r.lang_pred != "und" and "key" not in table.columns]
     assert not known or np.mean(known) > 0.95
 

@@ -3,9 +3,12 @@
 from itertools import combinations
 
 import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from datamove.llm import embedding_dedup, url_rules
+from datamove.llm import embedding_dedup, language_id, toxicity, url_rules
+from test_documents import brute_kept
 
 
 def test_near_duplicates(spark):
@@ -118,3 +121,37 @@ def test_pipeline(spark, folder):
     rows = corpus_pipeline.run(spark, folder)
     kept = {r.doc_id for r in rows.select("doc_id").distinct().collect()}
     assert 0.8 * docs.count() < len(kept) < docs.count()
+
+
+def test_pipeline_against_brute_force(spark, folder, tmp_path):
+    given = spark.read.parquet(f"{folder}/documents.parquet")
+    few = [tuple(r) for r in given.limit(60).collect()]
+    few += [(1000 + i, few[i][1] + " one more word", *few[i][2:]) for i in range(8)]
+    few += [(None, few[9][1], "en", "x", 1), few[10], (2001, None, None, None, None), (2002, "", "en", "x", 0), (2003, "you are an idiot", "en", "x", 1),
+            (2004, "12 34", "en", "x", 5), (few[0][0], few[11][1], "en", "x", 3)]
+    docs = spark.createDataFrame(few, given.schema).coalesce(2)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    for place in (tmp_path, tmp_path / "none"):
+        labels.write.parquet(f"{place}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    model = toxicity.fit(docs, labels)
+    grammar = toxicity.Grammar(model.learned)
+    clean = [tuple(r) for r in docs.collect() if np.log1p(grammar.matches(r.text or "")) @ model.weights + model.bias < 0]
+    speaker = language_id.fit(spark.createDataFrame(clean, given.schema))
+    known = [r for r, (lang, p) in zip(clean, map(speaker.predict, language_id.features([r[1] or "" for r in clean])), strict=True) if lang != "und" and p >= 0.3]
+    label, sets = brute_kept([r[:2] for r in known], 5, 80)
+    first = {}
+    for r, x in zip(known, label, strict=True):
+        first[x] = min(first.get(x, (True, 0)), (r[0] is None, r[0] or 0))
+    stay = [r for r, x, s in zip(known, label, sets, strict=True) if not s or (r[0] is None, r[0] or 0) == first[x]]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    want = sorted((r[0] is None, r[0] or 0, len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1) for r in stay)
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.doc_tokens) for r in rows if r.start == 0) == want
+    assert sum(r.length for r in rows) == sum(n for *_, n in want)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
