@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from datamove.llm import language_id, ngram_join, packing, toxicity
 from datamove.llm.words import text_batches
-from datamove.operators.patterns import surrogate_keys
 from datamove.session import scratch_path
 
 
@@ -28,13 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by similarity of 0.8 or more over five-word shingles, the one with the smallest id (null ids last, then by text
     hash). A document is an id and its text: an id may repeat with another text, or be null. Rows that repeat a kept document are kept."""
     text_batches(spark)
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    keys = surrogate_keys(hashed.select("doc_id", "_hash").distinct(), [F.col("doc_id").asc_nulls_last(), "_hash"], "_key")
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_hash"] == b["_hash"])
-    keyed = hashed.join(keys, same(hashed, keys)).select("_key", "text")
-    groups = ngram_join.ngram_groups(keyed, width=5, percent=80, id_col="_key").where("doc_id <> component_id").select(F.col("doc_id").alias("_key")).distinct()
-    dropped = keys.join(groups, "_key").select("doc_id", "_hash")
-    return hashed.join(dropped, same(hashed, dropped), "left_anti").select(docs.columns)
+    return ngram_join.drop_linked(docs, width=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
