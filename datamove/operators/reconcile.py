@@ -47,26 +47,74 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _by_value(name: str, numeric: bool, integral: bool, same_type: bool = False) -> Column:
-    """A value in the form both sides share: equal types as they are with all their digits, other numbers by value, anything else as text."""
+def _by_value(name: str, integral: bool = False) -> Column:
+    """A number as it is summed."""
     col = F.col(_quoted(name))
-    if integral:
-        return col.cast("bigint")
-    if numeric and not same_type:
-        return col.try_cast(BY_VALUE)
-    return col if same_type else col.cast("string")
+    return col.cast("bigint") if integral else col.try_cast(BY_VALUE)
 
 
-def _hash_of(values: list[Column]) -> Column:
-    """Hash of a row's values. NULL positions are hashed too, so a value that moved to another column is seen."""
-    return F.xxhash64(*[x for v in values for x in (v, v.isNull())])
+HASHED_AS_IS = (T.DecimalType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.BinaryType)
+FRACTIONS = (T.FloatType, T.DoubleType)
+NUMBER, TEXT = "number", "text"
+
+
+def _as_decimal(t: T.DataType) -> T.DecimalType | None:
+    if isinstance(t, T.DecimalType):
+        return t
+    return T.DecimalType(20, 0) if isinstance(t, T.IntegralType) else None
 
 
-def same_type_columns(source: DataFrame, target: DataFrame) -> set[str]:
-    """Shared columns of one hashable type on both sides."""
+def common_form(left: T.DataType, right: T.DataType) -> T.DataType | str | None:
+    """The form in which values of two types are compared, none of which loses a digit: None for as they are, a type to cast both to, NUMBER for the canonical
+    digits of a number, or TEXT."""
+    if isinstance(left, T.IntegralType) and isinstance(right, T.IntegralType):
+        return T.LongType()
+    if isinstance(left, FRACTIONS) and isinstance(right, FRACTIONS):
+        return T.DoubleType()
+    if left == right and isinstance(left, HASHED_AS_IS):
+        return None
+    one, two = _as_decimal(left), _as_decimal(right)
+    if one and two:
+        scale, whole = max(one.scale, two.scale), max(one.precision - one.scale, two.precision - two.scale)
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else NUMBER
+    return NUMBER if isinstance(left, T.NumericType) and isinstance(right, T.NumericType) else TEXT
+
+
+def comparison_forms(source: DataFrame, target: DataFrame) -> dict[str, T.DataType | str | None]:
     left, right = lower_columns(source), lower_columns(target)
-    return {c for c in shared_columns(source, target)
-            if left[c] == right[c] and isinstance(left[c], (T.DecimalType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType, T.BinaryType))}
+    return {c: common_form(left[c], right[c]) for c in shared_columns(source, target)}
+
+
+def canonical_number(value: Column) -> Column:
+    """Any number as sign, digits without zeros at either end, and exponent: equal for a double's shortest digits, and for decimals of any scale. Infinities and
+    NaN stay words."""
+    text = F.upper(value.cast("string"))
+    parts = F.split(F.ltrim(text, F.lit("-")), "E")
+    mantissa, exponent = F.split(parts[0], "\\."), F.coalesce(F.try_element_at(parts, F.lit(2)).try_cast("int"), F.lit(0))
+    fraction = F.coalesce(F.try_element_at(mantissa, F.lit(2)), F.lit(""))
+    digits = F.concat(mantissa[0], fraction)
+    short = F.rtrim(digits, F.lit("0"))
+    number = F.concat(F.when(text.startswith("-"), "-").otherwise(""), F.ltrim(short, F.lit("0")), F.lit("E"),
+                      (exponent - F.length(fraction) + F.length(digits) - F.length(short)).cast("string"))
+    return F.when(~text.rlike("^-?[0-9]"), text).when(short == "", "0").otherwise(number)
+
+
+def in_form(name: str, form: T.DataType | str | None) -> Column:
+    """A column's value in its common form. Both zeros of a double are one value."""
+    col = F.col(_quoted(name))
+    if form is None:
+        return col
+    if form == NUMBER:
+        return canonical_number(col)
+    if form == TEXT:
+        return col.cast("string")
+    cast = col.cast(form)
+    return F.when(cast == 0, F.lit(0.0)).otherwise(cast) if isinstance(form, T.DoubleType) else cast
+
+
+def _hash_of(values: list[Column]) -> Column:
+    """Hash of a row's values. NULL positions are hashed too, so a value that moved to another column is seen."""
+    return F.xxhash64(*[x for v in values for x in (v, v.isNull())])
 
 
 def _halves(value: Column, name: str) -> list[Column]:
@@ -81,15 +129,19 @@ def _whole(name: str) -> Column:
 
 
 def profile(df: DataFrame, numeric: list[str], shared: list[str], integral: set[str] = frozenset(),
-            lossy: list[str] = (), same_type: set[str] = frozenset()) -> DataFrame:
-    """One row: row_count, sum_<i> of every numeric column, cast_nulls, and the order-independent row checksum.
+            lossy: list[str] = (), forms: dict[str, T.DataType | str | None] | None = None) -> DataFrame:
+    """One row: row_count, sum_<i> of every numeric column, cast_nulls, and the order-independent row checksum over the values in their forms
+    (without `forms`: in the form that they share with a column of the same type).
 
     One scan, every value converted once. Each input partition is reduced to a single row of longs and decimals before
     anything is exchanged.
     """
-    position = {c: i for i, c in enumerate(dict.fromkeys([*shared, *numeric]))}
-    values = df.select(*[_by_value(c, c in numeric, c in integral, c in same_type).alias(f"v{i}") for c, i in position.items()],
-                       *[F.col(_quoted(c)).isNotNull().alias(f"there{position[c]}") for c in lossy])
+    types = lower_columns(df)
+    forms = forms if forms is not None else {c: common_form(types[c], types[c]) for c in shared}
+    position = {c: i for i, c in enumerate(numeric)}
+    row_hash = [_hash_of([in_form(c, forms[c]) for c in shared]).alias("row_hash")] if shared else []
+    values = df.select(*[_by_value(c, c in integral).alias(f"v{i}") for c, i in position.items()],
+                       *[F.col(_quoted(c)).isNotNull().alias(f"there{position[c]}") for c in lossy], *row_hash)
     value = {c: F.col(f"v{i}") for c, i in position.items()}
     partial: list[Column] = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(numeric):
@@ -99,7 +151,6 @@ def profile(df: DataFrame, numeric: list[str], shared: list[str], integral: set[
         partial.append(F.sum(reduce(lambda a, b: a + b, lost)).alias("lost"))
     if shared:
         partial += _halves(F.col("row_hash"), "h")
-        values = values.withColumn("row_hash", _hash_of([value[c] for c in shared]))
     per_partition = values.groupBy(F.spark_partition_id().alias("part")).agg(*partial)
     final = [F.coalesce(F.sum("n"), F.lit(0)).alias("row_count")]
     for i, c in enumerate(numeric):
@@ -121,10 +172,10 @@ def compare_table(source: DataFrame, target: DataFrame, checksum: bool = True) -
     """Check rows (check_no, check, source, target, match) for two tables.
 
     `row_count`, `sum(c)` of every shared numeric column, `cast_nulls` where a number may not fit the common type, and
-    `row_checksum(n columns)`. Values are decimals; two NULLs are equal.
+    `row_checksum(n columns)`. Sums are decimals of six places, the checksum is over all digits; two NULLs are equal.
     """
     shared = shared_columns(source, target)
-    numeric, integral, same_type = numeric_columns(source, target), integral_columns(source, target), same_type_columns(source, target)
+    numeric, integral, forms = numeric_columns(source, target), integral_columns(source, target), comparison_forms(source, target)
     lossy = _lossy([lower_columns(source), lower_columns(target)], numeric)
     labels = ["row_count", *[f"sum({c})" for c in numeric]]
     fields = ["row_count", *[f"sum_{i}" for i in range(len(numeric))]]
@@ -136,7 +187,7 @@ def compare_table(source: DataFrame, target: DataFrame, checksum: bool = True) -
         fields.append("checksum")
 
     def long_form(df: DataFrame, side: str) -> DataFrame:
-        row = profile(df, numeric, shared if checksum else [], integral, lossy, same_type)
+        row = profile(df, numeric, shared if checksum else [], integral, lossy, forms)
         entries = F.array(*[F.struct(F.lit(i).alias("check_no"), F.lit(label).alias("check"),
                                      F.col(field).cast("decimal(38,6)").alias("value"))
                             for i, (label, field) in enumerate(zip(labels, fields))])
@@ -148,11 +199,6 @@ def compare_table(source: DataFrame, target: DataFrame, checksum: bool = True) -
             .withColumn("match", F.col("source").eqNullSafe(F.col("target"))))
 
 
-def status_of(checks: DataFrame) -> DataFrame:
-    """One row: status `match` when every check matches, else `mismatch`."""
-    return checks.agg(F.when(F.min(F.col("match").cast("int")) == 1, "match").otherwise("mismatch").alias("status"))
-
-
 def equal_values(left: Column, right: Column) -> Column:
     """Two check values are equal: as numbers when both read as numbers, both NULL, else as text."""
     a, b = left.try_cast("decimal(38,10)"), right.try_cast("decimal(38,10)")
@@ -162,9 +208,9 @@ def equal_values(left: Column, right: Column) -> Column:
 
 
 def _hashed(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str], per_column: bool) -> DataFrame:
-    numeric, integral, same_type = numeric_columns(source, target), integral_columns(source, target), same_type_columns(source, target)
+    integral, forms = integral_columns(source, target), comparison_forms(source, target)
     pick = keys + columns
-    form = lambda c: _by_value(c, c in numeric, c in integral, c in same_type)
+    form = lambda c: in_form(c, forms[c])
 
     def side(df: DataFrame, sign: int) -> DataFrame:
         hashes = ([_hash_of([form(c)]).alias(f"_h{i}") for i, c in enumerate(columns)] if per_column
@@ -216,6 +262,97 @@ def reconcile_columns(source: DataFrame, target: DataFrame, keys: list[str], col
     return counts.select(F.inline(entries))
 
 
+# ---------------------------------------------------------------- descent
+
+LEVEL_RANGES, MOST_RANGES, LEAF_ROWS = 64, 1024, 100_000
+_NO_KEY = -1
+
+
+def _place(df: DataFrame, key: str | None, keys: list[Column]) -> Column:
+    """Where a row lies in the tree: the key itself if it is one whole number or date, else a hash of all keys."""
+    if key is None:
+        return F.xxhash64(*keys)
+    kind = lower_columns(df)[key]
+    return F.unix_date(F.col(_quoted(key))).cast("bigint") if isinstance(kind, T.DateType) else F.col(_quoted(key)).cast("bigint")
+
+
+def _within(df: DataFrame, key: str | None, keys: list[Column], ranges: list[tuple[int, int]] | None, no_key: bool) -> DataFrame:
+    """The rows in the ranges (first, last) of places. Of a key column the filter reaches the scan, which then skips files and row groups."""
+    if ranges is None:
+        return df
+    if key is None:
+        column, literal = _place(df, key, keys), F.lit
+    elif isinstance(lower_columns(df)[key], T.DateType):
+        column, literal = F.col(_quoted(key)), lambda n: F.date_from_unix_date(F.lit(n))
+    else:
+        column, literal = F.col(_quoted(key)), F.lit
+    tests = [(column >= literal(a)) & (column <= literal(b)) for a, b in ranges] + ([F.col(_quoted(key)).isNull()] if no_key else [])
+    while len(tests) > 1:  # a balanced tree of ORs: a chain of a thousand is too deep for the planner
+        tests = [tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
+    return df.where(tests[0]) if tests else df.where("false")
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def reconcile_descent(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str] | None = None, leaf_rows: int = LEAF_ROWS,
+                      trace: list[dict] | None = None) -> DataFrame:
+    """What reconcile_rows returns, for tables that differ in few rows: checksums of ranges of the key are compared, and only ranges that differ are read
+    again, in finer ranges, until at most `leaf_rows` rows are left to compare one by one.
+
+    The first pass exchanges one row per range and input partition; later ones read what the key's filter leaves. If more than MOST_RANGES ranges or half of all rows
+    differ, the descent ends at once and the rows of the differing ranges are compared. `trace` receives one entry per pass: ranges and rows read."""
+    keys = [k.lower() for k in keys]
+    compared = [c.lower() for c in columns] if columns else [c for c in shared_columns(source, target) if c not in keys]
+    left, right, forms = lower_columns(source), lower_columns(target), comparison_forms(source, target)
+    by = [in_form(k, forms[k]) for k in keys]
+    whole = len(keys) == 1 and left[keys[0]] == right[keys[0]] and isinstance(left[keys[0]], (T.IntegralType, T.DateType))
+    key = keys[0] if whole else None
+    if key:
+        low, high = (source.select(_place(source, key, by).alias("p")).unionByName(target.select(_place(target, key, by).alias("p")))
+                     .agg(F.min("p"), F.max("p")).first())
+        low, high = (0, 0) if low is None else (low, high)
+    else:
+        low, high = -(2**63), 2**63 - 1
+    # in decimals where the span of places exceeds a long; its ranges end at a width whose numbers are longs
+    wide, finest = ("CAST({} AS DECIMAL(20, 0))", 8) if high - low >= 1 << 62 else ("CAST({} AS BIGINT)", 1)
+    width, ranges, no_key, all_rows = high - low + 1, None, False, None
+    while True:
+        width = max(finest, -(-width // LEVEL_RANGES))
+
+        def side(df: DataFrame, sign: int) -> DataFrame:
+            node = F.expr(f"(p - {wide.format(low)}) DIV {wide.format(width)}")
+            hashed = _within(df, key, by, ranges, no_key).select(
+                _place(df, key, by).alias("p"), _hash_of([in_form(c, forms[c]) for c in [*keys, *compared]]).alias("h"))
+            return hashed.select(F.coalesce(node, F.lit(_NO_KEY)).cast("bigint").alias("node"), F.lit(sign).alias("sign"), "h")
+
+        pieces = [F.sum(F.col("sign") * x).alias(f"d{j}") for j, x in enumerate(_pieces(F.col("h")))]
+        nodes = side(source, 1).unionByName(side(target, -1)).groupBy("node").agg(F.sum("sign").alias("d"), F.count(F.lit(1)).alias("n"), *pieces)
+        differs = nodes.withColumn("differs", F.expr("d <> 0 OR d0 <> 0 OR d1 <> 0 OR d2 <> 0"))
+        totals = differs.groupBy().agg(F.sum("n").alias("n"), F.sum(F.when(F.col("differs"), F.col("n"))).alias("open"),
+                                       F.slice(F.array_sort(F.collect_list(F.when(F.col("differs"), F.col("node")))), 1, MOST_RANGES + 2).alias("nodes")).first()
+        rows, left_rows = totals["n"] or 0, totals["open"] or 0
+        if trace is not None:
+            trace.append({"ranges": len(totals["nodes"]), "rows": rows})
+        all_rows = rows if all_rows is None else all_rows
+        found = list(totals["nodes"])
+        no_key_now = _NO_KEY in found
+        if len(found) <= MOST_RANGES:
+            step = [(low + n * width, min(low + (n + 1) * width - 1, high)) for n in found if n != _NO_KEY]
+            inside = step if ranges is None else [(max(a, c), min(b, d)) for a, b in step for c, d in ranges if max(a, c) <= min(b, d)]
+            ranges, no_key = _merged(inside), no_key_now
+        if width == finest or left_rows <= leaf_rows or len(found) > MOST_RANGES or 2 * left_rows > all_rows:
+            break
+    return reconcile_rows(_within(source, key, by, ranges, no_key), _within(target, key, by, ranges, no_key), keys, compared)
+
+
 def failing_checks_text(checks: DataFrame) -> DataFrame:
     """Per target, the failing checks as `check: source -> target; ...` in check order (for sign-off lists)."""
     text = F.concat(F.col("check"), F.lit(": "), F.coalesce(F.col("source").cast("string"), F.lit("NULL")), F.lit(" -> "),

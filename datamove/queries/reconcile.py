@@ -182,6 +182,40 @@ def reconcile_rows(spark, folder):
     return reconcile.reconcile_rows(orders, changed_orders(orders), ["o_orderkey"])
 
 
+_FEW_SQL = """
+WITH e AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders),
+c AS (SELECT o.* REPLACE (o_totalprice + CASE WHEN o_orderkey = hi THEN 1e-7 ELSE 0 END AS o_totalprice) FROM orders o, e WHERE o_orderkey <> lo
+      UNION ALL SELECT o.* REPLACE (o_orderkey + 7 AS o_orderkey) FROM orders o, e WHERE o_orderkey = hi)
+SELECT coalesce(a.o_orderkey, c.o_orderkey) AS o_orderkey, CAST(a.o_orderkey IS NOT NULL AS BIGINT) AS in_source, CAST(c.o_orderkey IS NOT NULL AS BIGINT) AS in_target,
+       CASE WHEN c.o_orderkey IS NULL THEN 'missing_in_target' WHEN a.o_orderkey IS NULL THEN 'missing_in_source' ELSE 'changed' END AS difference
+FROM orders a FULL JOIN c ON a.o_orderkey = c.o_orderkey
+WHERE c.o_orderkey IS NULL OR a.o_orderkey IS NULL OR (a.o_custkey, a.o_orderstatus, a.o_totalprice, a.o_orderdate, a.o_orderpriority)
+      IS DISTINCT FROM (c.o_custkey, c.o_orderstatus, c.o_totalprice, c.o_orderdate, c.o_orderpriority)"""
+
+
+@query("reconcile_descent", _FEW_SQL)
+def reconcile_descent(spark, folder):
+    """orders against a copy with one row lost, one changed in the seventh decimal, and one added."""
+    orders = read(spark, folder, "orders")
+    low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    key, last = F.col("o_orderkey"), F.col("o_orderkey") == high
+    copy = orders.where(key != low).withColumn("o_totalprice", F.col("o_totalprice") + F.when(last, F.lit(1e-7)).otherwise(0.0))
+    return reconcile.reconcile_descent(orders, copy.unionByName(orders.where(last).withColumn("o_orderkey", key + 7)), ["o_orderkey"], leaf_rows=1000)
+
+
+@query("reconcile_exact", """
+WITH c AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price, CAST(o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 1e-8 ELSE 0 END AS DOUBLE) AS nudged FROM orders)
+SELECT 'price' AS "column", count(*) FILTER (o_totalprice <> CAST(price AS DOUBLE)) AS mismatches FROM orders JOIN c USING (o_orderkey)
+UNION ALL SELECT 'nudged', count(*) FILTER (o_totalprice <> nudged) FROM orders JOIN c USING (o_orderkey)""")
+def reconcile_exact(spark, folder):
+    """Doubles against decimals and against doubles that differ in the eighth decimal."""
+    orders = read(spark, folder, "orders")
+    amount = F.col("o_totalprice")
+    source = orders.select("o_orderkey", amount.alias("price"), amount.alias("nudged"))
+    target = orders.select("o_orderkey", amount.cast("decimal(18,2)").alias("price"), (amount + F.when(F.col("o_orderkey") % 7 == 0, F.lit(1e-8)).otherwise(0.0)).alias("nudged"))
+    return reconcile.reconcile_columns(source, target, ["o_orderkey"])
+
+
 _COMPARED = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
