@@ -186,17 +186,21 @@ def compare_table(source: DataFrame, target: DataFrame, checksum: bool = True) -
         labels.append(f"row_checksum({len(shared)} columns)")
         fields.append("checksum")
 
-    def long_form(df: DataFrame, side: str) -> DataFrame:
-        row = profile(df, numeric, shared if checksum else [], integral, lossy, forms)
-        entries = F.array(*[F.struct(F.lit(i).alias("check_no"), F.lit(label).alias("check"),
-                                     F.col(field).cast("decimal(38,6)").alias("value"))
-                            for i, (label, field) in enumerate(zip(labels, fields))])
+    return check_rows(profile(source, numeric, shared if checksum else [], integral, lossy, forms),
+                      profile(target, numeric, shared if checksum else [], integral, lossy, forms), dict(zip(labels, fields, strict=True)))
+
+
+def check_rows(source: DataFrame, target: DataFrame, checks: dict[str, str]) -> DataFrame:
+    """Two one-row frames of totals -> a row (check_no, check, source, target, match) for every check name -> column."""
+    def long_form(row: DataFrame, side: str) -> DataFrame:
+        entries = F.array(*[F.struct(F.lit(i).alias("check_no"), F.lit(label).alias("check"), F.col(field).cast(BY_VALUE).alias("value"))
+                            for i, (label, field) in enumerate(checks.items())])
         return row.select(F.inline(entries)).withColumn("side", F.lit(side))
 
     both = long_form(source, "source").unionByName(long_form(target, "target"))
     on_side = lambda side: F.max(F.when(F.col("side") == side, F.col("value")))
     return (both.groupBy("check_no", "check").agg(on_side("source").alias("source"), on_side("target").alias("target"))
-            .withColumn("match", F.col("source").eqNullSafe(F.col("target"))))
+            .withColumn("match", equal_values(F.col("source"), F.col("target"))))
 
 
 def equal_values(left: Column, right: Column) -> Column:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
-from functools import reduce
+from decimal import Decimal
 from urllib.parse import quote
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from datamove import fixed_values as fixed
 from datamove.operators import reconcile
+from datamove.sources import jdbc
 from datamove.sources.files import as_target_reads_it, export_folder, read_export
 from datamove.sources.tables import read_source
 from datamove.spec import MoveError, MoveSettings, TableMapping, refuse_production
@@ -71,6 +71,8 @@ def plan_load(settings: MoveSettings, only: list[str] | None = None) -> list[Ste
         raise MoveError("No tables to load.")
     if settings.method == "files" and not settings.files_root:
         raise MoveError("Loading files needs files_root, the folder with one folder per table.")
+    if settings.method == "jdbc" and settings.connection is None:
+        raise MoveError("Loading from the database needs a connection.")
     wanted = {x.lower() for x in only} if only else None
     steps = []
     for t in settings.tables:
@@ -84,7 +86,7 @@ def plan_load(settings: MoveSettings, only: list[str] | None = None) -> list[Ste
         verb = "INSERT OVERWRITE TABLE" if replace else "INSERT INTO"
         chosen = ", ".join(f"`{s}` AS `{c}`" for c, s in t.columns.items()) or "*"
         place = (f"{settings.file_format.lower()}.`{export_folder(settings.files_root, t.source)}`" if settings.method == "files"
-                 else f"{settings.source_catalog}.{t.source}" if settings.source_catalog else t.source)
+                 else f"{settings.source_catalog}.{t.source}" if settings.source_catalog and settings.method == "catalog" else t.source)
         where = f" WHERE {t.where}" if t.where else ""
         steps.append(Step(t, "replace" if replace else "append", f"{verb} {t.target} BY NAME SELECT {chosen} FROM {place}{where}"))
     return steps
@@ -102,6 +104,9 @@ def source_frame(spark: SparkSession, settings: MoveSettings, t: TableMapping) -
     if settings.method == "files":
         raw = read_export(spark, settings.files_root, t.source, settings.file_format)
         return as_target_reads_it(raw, target_frame(spark, settings, t).schema, t.columns, t.where)
+    if settings.method == "jdbc":  # filtered in the database, read in even key ranges
+        raw = jdbc.read_jdbc(spark, settings.connection, t.source, t.where, t.key, t.parts)
+        return as_target_reads_it(raw, target_frame(spark, settings, t).schema, t.columns)
     df = read_source(spark, t.source, settings.source_catalog)
     return mapped_columns(df.where(t.where) if t.where else df, t.columns)
 
@@ -112,6 +117,34 @@ def target_frame(spark: SparkSession, settings: MoveSettings, t: TableMapping) -
     return df.drop(LEDGER_COLUMN, BATCH_COLUMN) if settings.method == "files" and {LEDGER_COLUMN, BATCH_COLUMN} <= set(df.columns) else df
 
 
+GENERATION = "datamove.ledger_generation"
+
+
+def _generation(spark: SparkSession, table: str) -> int:
+    """How often the table was replaced: each replace starts new ledgers, which know nothing of the files copied before."""
+    found = spark.sql(f"SHOW TBLPROPERTIES {table}").where(F.col("key") == GENERATION).first()
+    return int(found["value"]) if found else 0
+
+
+def _start_ledgers(spark: SparkSession, table: str, generation: int) -> None:
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{GENERATION}' = '{generation}')")
+
+
+def _from_files(spark: SparkSession, settings: MoveSettings, t: TableMapping, ledger: str | None, replace: bool) -> int:
+    """Files not copied before; a replace copies all and removes all other rows, after the new ones are there. Run again after a failure, it goes on."""
+    generation = _generation(spark, t.target) + replace
+    folder = f"{ledger or settings.files_root.rstrip('/') + '/_ledger'}/{quote(t.source, safe='')}/{quote(t.target, safe='')}"
+    folder += f"/{generation}" if generation else ""
+    rows, own = ingest_files(spark, export_folder(settings.files_root, t.source), t.target, folder, settings.file_format, t.columns, t.where, with_ledger=True)
+    if replace:
+        table = spark.table(t.target)
+        none = spark.createDataFrame([], table.drop(LEDGER_COLUMN).schema)
+        for other in table.select(LEDGER_COLUMN).distinct().where(~F.col(LEDGER_COLUMN).eqNullSafe(own)).collect():  # one for each source of the table
+            spark.sql(f"INSERT OVERWRITE TABLE {t.target} PARTITION ({LEDGER_COLUMN} = {{id}}, {BATCH_COLUMN}) BY NAME SELECT * FROM {{none}}", id=other[0], none=none)
+        _start_ledgers(spark, t.target, generation)
+    return rows
+
+
 def _load_one(spark: SparkSession, settings: MoveSettings, step: Step, ledger: str | None) -> tuple:
     started, t, target = datetime.now(timezone.utc), step.mapping, step.mapping.target
     rows, error = None, None
@@ -126,10 +159,10 @@ def _load_one(spark: SparkSession, settings: MoveSettings, step: Step, ledger: s
             if settings.method == "files" and df.isEmpty():  # an empty export carries no column types
                 if step.action == "replace":
                     empty_table(spark, target)
+                    _start_ledgers(spark, target, _generation(spark, target) + 1)
                 rows = 0
-            elif settings.method == "files" and step.action == "append":
-                folder = f"{ledger or settings.files_root.rstrip('/') + '/_ledger'}/{quote(t.source, safe='')}/{quote(target, safe='')}"
-                rows = ingest_files(spark, export_folder(settings.files_root, t.source), target, folder, settings.file_format, t.columns, t.where)
+            elif settings.method == "files" and (step.action == "append" or LEDGER_COLUMN in spark.table(target).columns):
+                rows = _from_files(spark, settings, t, ledger, step.action == "replace")
             else:
                 rows = _write_counted(df, target, step.action == "replace")
             status = "loaded"
@@ -165,25 +198,27 @@ def load_summary(results: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- before and after
 
+def _rows_to_copy(spark: SparkSession, settings: MoveSettings, t: TableMapping) -> int | None:
+    """Counted by the database itself where there is a connection; null for a table that cannot be read."""
+    try:
+        if settings.method == "jdbc":
+            return jdbc.source_count(spark, settings.connection, t.source, t.where)
+        df = (read_export(spark, settings.files_root, t.source, settings.file_format) if settings.method == "files"
+              else read_source(spark, t.source, settings.source_catalog))
+        return (df.where(t.where) if t.where else df).count()
+    except Exception:  # noqa: BLE001 - a damaged file or a database error is that table's result
+        return None
+
+
 def preflight(spark: SparkSession, settings: MoveSettings) -> DataFrame:
-    """Per table to load: whether the target exists, the rows to copy (filter applied) and minutes at the planning speed.
-    All counts are one job."""
-    counts, unknown = [], []
-    for i, t in enumerate(t for t in settings.tables if t.load):
-        exists = spark.catalog.tableExists(t.target)
-        head = [F.lit(i).alias("n"), F.lit(t.source).alias("source"), F.lit(t.target).alias("target"),
-                F.lit(t.where).alias("filter"), F.lit(exists).alias("target_exists")]
-        try:
-            if settings.method == "files":
-                df = read_export(spark, settings.files_root, t.source, settings.file_format)
-            else:
-                df = read_source(spark, t.source, settings.source_catalog)
-            df = df.where(t.where) if t.where else df
-            counts.append(df.agg(F.count(F.lit(1)).alias("rows")).select(*head, "rows"))
-        except (AnalysisException, MoveError):
-            unknown.append(spark.range(1).select(*head, F.lit(None).cast("bigint").alias("rows")))
-    united = reduce(DataFrame.unionByName, counts + unknown)
-    return united.withColumn("minutes", F.round(F.col("rows") / fixed.ROWS_PER_MINUTE, 1)).drop("n")
+    """Per table to load: whether the target exists, the rows to copy (filter applied) and minutes at the planning speed. Each table is
+    counted apart, several at a time, so one that cannot be read leaves the others their numbers."""
+    tables = [t for t in settings.tables if t.load]
+    with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
+        counts = list(pool.map(lambda t: _rows_to_copy(spark, settings, t), tables))
+    rows = [(t.source, t.target, t.where, spark.catalog.tableExists(t.target), n) for t, n in zip(tables, counts, strict=True)]
+    found = spark.createDataFrame(rows, "source string, target string, filter string, target_exists boolean, rows bigint")
+    return found.withColumn("minutes", F.round(F.col("rows") / fixed.ROWS_PER_MINUTE, 1))
 
 
 def preflight_totals(rows: DataFrame) -> DataFrame:
@@ -198,21 +233,55 @@ def copy_again(loads: DataFrame, comparisons: DataFrame) -> DataFrame:
             .union(comparisons.where("status <> 'match'").select("target")).distinct())
 
 
+def compare_in_database(spark: SparkSession, settings: MoveSettings, t: TableMapping) -> DataFrame:
+    """Check rows of counts and sums. The source's are computed in its database, and no row of it is read."""
+    target, types = target_frame(spark, settings, t), {f.name.lower(): f for f in jdbc.source_schema(spark, settings.connection, t.source).fields}
+    source_for = {k.lower(): v.lower() for k, v in t.columns.items()}
+    number = lambda f: f is not None and isinstance(f.dataType, T.NumericType)
+    numeric = [c for c, kind in reconcile.lower_columns(target).items() if isinstance(kind, T.NumericType) and number(types.get(source_for.get(c, c)))]
+    integral = {c for c in numeric if isinstance(reconcile.lower_columns(target)[c], T.IntegralType)}
+    source = jdbc.source_sums(spark, settings.connection, t.source, [types[source_for.get(c, c)].name for c in numeric], t.where)
+    checks = {"row_count": "row_count", **{f"sum({c})": f"sum_{i}" for i, c in enumerate(numeric)}}
+    return reconcile.check_rows(source, reconcile.profile(target, numeric, [], integral), checks)
+
+
+def _columns_check(t: TableMapping, source: list[str], target: DataFrame) -> list[tuple]:
+    """A row that names the columns on one side only; it fails where the target lacks a column of the source."""
+    have = {c.lower() for c in target.columns}
+    given = {c.lower() for c in (t.columns or source)}
+    lost, more = sorted(given - have), sorted(have - given)
+    if not lost and not more:
+        return []
+    told = "; ".join(f"only in {side}: {', '.join(names)}" for side, names in (("source", lost), ("target", more)) if names)
+    return [(t.target, -1, "columns", Decimal(len(given)), Decimal(len(have)), not lost, None, told)]
+
+
 def _compare_one(spark: SparkSession, settings: MoveSettings, t: TableMapping, checksum: bool) -> list[tuple]:
     try:
-        checks = reconcile.compare_table(source_frame(spark, settings, t), target_frame(spark, settings, t), checksum).collect()  # a few rows
-        return [(t.target, r.check_no, r["check"], r.source, r.target, r.match, None) for r in checks]
+        target = target_frame(spark, settings, t)
+        if settings.method == "jdbc" and not checksum:
+            names, checks = jdbc.source_schema(spark, settings.connection, t.source).names, compare_in_database(spark, settings, t)
+        else:
+            source = source_frame(spark, settings, t)
+            names = source.columns
+            if settings.method == "jdbc":
+                names = jdbc.source_schema(spark, settings.connection, t.source).names
+            elif settings.method == "files":
+                names = read_export(spark, settings.files_root, t.source, settings.file_format).columns
+            checks = reconcile.compare_table(source, target, checksum)
+        return [*_columns_check(t, names, target), *[(t.target, r.check_no, r["check"], r.source, r.target, r.match, None, None) for r in checks.collect()]]
     except Exception as e:  # noqa: BLE001 - Java and database errors too
-        return [(t.target, -1, "error", None, None, False, _message(e))]
+        return [(t.target, -1, "error", None, None, False, _message(e), None)]
 
 
 def run_reconcile(spark: SparkSession, settings: MoveSettings, checksum: bool = True) -> DataFrame:
-    """Check rows of every mapped table; a table that cannot be compared is an `error` row. checksum=False compares counts
-    and sums only. Column mappings and filters are applied to the source, so a filtered load compares like with like."""
+    """Check rows of every mapped table; a table that cannot be compared is an `error` row, and one whose columns differ from the source's has a `columns` row.
+    checksum=False compares counts and sums only, over a connection by the database's own. Column mappings and filters are applied to the source, so a
+    filtered load compares like with like."""
     with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
         rows = [r for t in pool.map(lambda t: _compare_one(spark, settings, t, checksum), settings.tables) for r in t]
     return spark.createDataFrame(rows, "table_name string, check_no int, check string, source decimal(38,6), "
-                                       "target decimal(38,6), match boolean, error string")
+                                       "target decimal(38,6), match boolean, error string, detail string")
 
 
 def table_results(checks: DataFrame) -> DataFrame:

@@ -170,6 +170,24 @@ def compare_export(spark, folder):
     return _rounded(load.run_reconcile(spark, settings))
 
 
+@query("replace_then_append", """
+SELECT name AS step, CAST(CASE WHEN name LIKE 'append%' THEN 0 ELSE n END AS BIGINT) AS copied, n AS rows, total FROM
+(SELECT count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders),
+(VALUES ('replace'), ('append after it'), ('replace again'), ('append again')) AS s(name)""")
+def replace_then_append(spark, folder):
+    """A replace from files enters them in the ledger: an append behind it adds nothing, another replace copies all again."""
+    root = scratch_path(spark, "replaced")
+    files.write_export(read(spark, folder, "orders"), root, "orders")
+    table = new_table(spark, "replaced", f"o_orderkey bigint, o_totalprice decimal(18,2), {LOAD_COLUMNS}", LOAD_PARTITION)
+    steps = []
+    for name in ("replace", "append after it", "replace again", "append again"):
+        settings = MoveSettings((TableMapping("sales.orders", table),), mode=name.split()[0], method="files", files_root=root)
+        copied = load.run_load(spark, settings).select("rows").first()[0]
+        rows, total = spark.table(table).agg(F.count(F.lit(1)), F.sum("o_totalprice").cast("double")).first()
+        steps.append((name, copied, rows, total))
+    return spark.createDataFrame(steps, "step string, copied bigint, rows bigint, total double")
+
+
 @query("reconcile_rows", f"""
 WITH c AS ({CHANGED_ORDERS_SQL})
 SELECT coalesce(a.o_orderkey, c.o_orderkey) AS o_orderkey, CAST(a.o_orderkey IS NOT NULL AS BIGINT) AS in_source, CAST(c.o_orderkey IS NOT NULL AS BIGINT) AS in_target,

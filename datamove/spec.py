@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    from datamove.sources.jdbc import Connection
 
 # The formats an export folder may have, and the load modes.
 FILE_FORMATS = ("PARQUET", "CSV", "JSON", "AVRO", "ORC")
 LOAD_MODES = ("append", "replace")
+LOAD_METHODS = ("catalog", "files", "jdbc")
 
 # Fixed value: a name segment that marks a production target.
 PRODUCTION_NAME = r"(^|[._\-])(prod|production)($|[._\-])"
@@ -19,13 +24,15 @@ class MoveError(Exception):
 
 @dataclass(frozen=True)
 class TableMapping:
-    """One table to move. `columns` maps target column -> source column; empty means same names."""
+    """One table to move. `columns` maps target column -> source column; empty means same names. A read over a connection is split into `parts` ranges of `key`."""
 
     source: str
     target: str
     load: bool = True
     columns: dict[str, str] = field(default_factory=dict)
     where: str = ""
+    key: str = ""
+    parts: int = 8
 
     @property
     def short_name(self) -> str:
@@ -38,14 +45,17 @@ class MoveSettings:
 
     tables: tuple[TableMapping, ...] = ()
     mode: str = "append"
-    method: str = "catalog"  # catalog: read tables; files: read export folders
+    method: str = "catalog"  # catalog: read tables; files: read export folders; jdbc: read the database itself
     source_catalog: str = ""
     files_root: str = ""
     file_format: str = "PARQUET"
     target_schema: str = "default"
     schema_map: dict[str, str] = field(default_factory=dict)
+    connection: Connection | None = None
 
     def __post_init__(self) -> None:
+        if self.method not in LOAD_METHODS:
+            raise MoveError(f"Load method must be one of {', '.join(LOAD_METHODS)}, not {self.method!r}.")
         if self.mode not in LOAD_MODES:
             raise MoveError(f"Load mode must be one of {', '.join(LOAD_MODES)}, not {self.mode!r}.")
         if self.file_format.upper() not in FILE_FORMATS:

@@ -16,8 +16,8 @@ LOAD_PARTITION = f"{LEDGER_COLUMN}, {BATCH_COLUMN}"
 
 
 def ingest_files(spark: SparkSession, folder: str, table: str, checkpoint: str, file_format: str = "PARQUET",
-                 columns: dict[str, str] | None = None, where: str = "", source_schema: T.StructType | None = None) -> int:
-    """Copy the files in `folder` not copied before and return the rows added.
+                 columns: dict[str, str] | None = None, where: str = "", source_schema: T.StructType | None = None, with_ledger: bool = False) -> int | tuple[int, str]:
+    """Copy the files in `folder` not copied before and return the rows added (with_ledger: and the ledger's id).
 
     The stream's checkpoint is the ledger that remembers the files. The table must be partitioned by `load_ledger` and `load_batch`: a batch
     that is repeated after a failure overwrites its own partition, so nothing is copied twice, and several sources or ledgers that fill one
@@ -50,4 +50,4 @@ def ingest_files(spark: SparkSession, folder: str, table: str, checkpoint: str,
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     ledger.set_result(query.id)
     query.awaitTermination()
-    return sum(added.values())
+    return (sum(added.values()), query.id) if with_ledger else sum(added.values())

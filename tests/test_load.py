@@ -196,3 +196,38 @@ def test_csv_text_keeps_leading_zeros(spark, tmp_path):
     (tmp_path / "codes" / "a.csv").write_text("id,zip\n1,00123\n")
     df = files.cast_to_target(files.read_export(spark, str(tmp_path), "codes", "CSV"), spark.createDataFrame([], "id int, zip string").schema)
     assert [tuple(r) for r in df.collect()] == [(1, "00123")]
+
+
+def test_replace_enters_its_files_in_the_ledger(spark):
+    root = scratch_path(spark, "replaced")
+    frame = spark.range(10).selectExpr("CAST(id AS INT) AS a", "'x' AS b")
+    files.write_export(frame, root, "t")
+    target = make(spark, f"a int, b string, {LOAD_COLUMNS}", partitioned_by=LOAD_PARTITION)
+    run = lambda mode: load.run_load(spark, settings(TableMapping("dbo.t", target), method="files", files_root=root, mode=mode)).first()
+    for mode, added in (("replace", 10), ("append", 0), ("replace", 10), ("append", 0)):
+        done = run(mode)
+        assert (done.status, done.rows, spark.table(target).count()) == ("loaded", added, 10)
+    frame.limit(3).write.mode("append").parquet(f"{root}/t")
+    assert run("append").rows == 3 and spark.table(target).count() == 13
+    assert run("replace").rows == 13 and spark.table(target).count() == 13
+    assert run("append").rows == 0 and spark.table(target).count() == 13
+    load.append_by_name(spark.createDataFrame([(1, "by hand", None, None)], spark.table(target).schema), target)
+    assert spark.table(target).count() == 14 and run("replace").rows == 13 and spark.table(target).count() == 13
+
+
+def test_columns_on_one_side_are_told(spark):
+    source, narrow, wide = make(spark, "a int, b string", [(1, "x")]), make(spark, "a int", [(1,)]), make(spark, "a int, b string, made date")
+    load.append_by_name(spark.createDataFrame([(1, "x")], "a int, b string"), wide)
+    checks = load.run_reconcile(spark, settings(TableMapping(source, narrow), TableMapping(source, wide), TableMapping(source, source)))
+    told = {r.table_name: (r.match, r.detail) for r in checks.where("check = 'columns'").collect()}
+    assert told == {narrow: (False, "only in source: b"), wide: (True, "only in target: made")}
+    assert {r.target: r.status for r in load.table_results(checks).collect()} == {narrow: "mismatch", wide: "match", source: "match"}
+
+
+def test_preflight_counts_the_others_beside_a_bad_file(spark):
+    root = scratch_path(spark, "bad")
+    files.write_export(spark.range(4), root, "good")
+    target = make(spark, "id bigint")
+    spark.range(1).selectExpr("'no parquet at all' AS value").write.text(f"{root}/bad")
+    rows = load.preflight(spark, settings(TableMapping("bad", target), TableMapping("good", target), method="files", files_root=root)).collect()
+    assert [(r.source, r.rows) for r in rows] == [("bad", None), ("good", 4)]
