@@ -140,7 +140,8 @@ def _from_files(spark: SparkSession, settings: MoveSettings, t: TableMapping, le
         table = spark.table(t.target)
         none = spark.createDataFrame([], table.drop(LEDGER_COLUMN).schema)
         for other in table.select(LEDGER_COLUMN).distinct().where(~F.col(LEDGER_COLUMN).eqNullSafe(own)).collect():  # one for each source of the table
-            spark.sql(f"INSERT OVERWRITE TABLE {t.target} PARTITION ({LEDGER_COLUMN} = {{id}}, {BATCH_COLUMN}) BY NAME SELECT * FROM {{none}}", id=other[0], none=none)
+            written_by = "NULL" if other[0] is None else "'" + other[0].replace("'", "\\'") + "'"
+            spark.sql(f"INSERT OVERWRITE TABLE {t.target} PARTITION ({LEDGER_COLUMN} = {written_by}, {BATCH_COLUMN}) BY NAME SELECT * FROM {{none}}", none=none)
         _start_ledgers(spark, t.target, generation)
     return rows
 
