@@ -19,6 +19,18 @@ def spread(keys: list[str], df: DataFrame) -> Column:
     return F.when(complete(keys), F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64(*others), F.lit(SPREAD)))
 
 
+HOT_FACTOR, MOST_HOT, TRACKED = 2, 1000, 1 << 14
+
+
+def hot_keys(df: DataFrame, keys: list[str]) -> list[int]:
+    """Hashes of the keys that hold more than HOT_FACTOR times the rows of an average shuffle partition, at most MOST_HOT; found in one pass by a sketch of the
+    most frequent values, which each task keeps at TRACKED entries."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = df.where(complete(keys)).select(F.xxhash64(*keys).alias("h"))
+    n, top = hashed.agg(F.count(F.lit(1)), F.expr(f"approx_top_k(h, {MOST_HOT}, {TRACKED})")).first()
+    return [t["item"] for t in top or [] if t["count"] * parts > HOT_FACTOR * n]
+
+
 def single_rows(df: DataFrame, keys: list[str], also: str | None = None) -> DataFrame:
     """Add `_single` = true, and fail when a complete key occurs twice. The window needs the partitioning and order that a
     join on the same columns needs too, so next to such a join it costs no shuffle."""

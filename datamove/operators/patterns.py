@@ -9,8 +9,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from datamove.functions import scalar
-from datamove.operators.keys import single_rows, spread
-from datamove.session import BROADCAST_LIMIT, broadcast_if_small, cut_lineage, planned_bytes
+from datamove.operators.keys import complete, hot_keys, single_rows, spread
+from datamove.session import BROADCAST_LIMIT, broadcast_if_small, cut_lineage, planned_bytes, written
+
+SMALL_ROWS = 1_000_000  # of a source that is broadcast
+
 
 def changed(columns: list[str], null_safe: bool) -> Column:
     """Any tracked column differs between `t` and `s`. As in SQL, NULL compares as unknown unless null_safe."""
@@ -23,12 +26,20 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], track: l
     """MERGE: a matched row with a tracked difference takes `update` (target column -> expression over t.* and s.*), a source
     row without a target takes `insert` (target column -> expression over s.*; other columns NULL). Duplicate source keys fail.
 
-    A source of known small size is broadcast and the target is not shuffled at all; a larger one is joined in one full
-    outer join, both sides shuffled once on the keys.
+    The source is evaluated once, into a written table. While that is small it is broadcast and the target is not shuffled at all; a larger one is joined in a
+    full outer join, both sides shuffled once on the keys. Before that, a sketch finds the target keys that would overload a task: their rows stay where
+    they are and meet their source rows, one for each hot key and so at most MOST_HOT, as a broadcast.
     """
+    source = written(source, "merge-source")
     size = planned_bytes(source)
-    return (_merge_small if size is not None and size <= limit else _merge_large)(
-        target, source, keys, track, update, insert, null_safe)
+    if size is not None and size <= limit and source.count() <= SMALL_ROWS:
+        return _merge_small(target, source, keys, track, update, insert, null_safe)
+    hot = hot_keys(target, keys)
+    if not hot:
+        return _merge_large(target, source, keys, track, update, insert, null_safe)
+    is_hot = F.coalesce(F.xxhash64(*keys).isin(hot) & complete(keys), F.lit(False))
+    return (_merge_large(target.where(~is_hot), source.where(~is_hot), keys, track, update, insert, null_safe)
+            .unionByName(_merge_small(target.where(is_hot), source.where(is_hot), keys, track, update, insert, null_safe)))
 
 
 def _merged_row(target: DataFrame, track: list[str], update: dict[str, Column], null_safe: bool, matched: Column) -> list[Column]:

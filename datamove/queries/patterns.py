@@ -45,6 +45,24 @@ query("merge_upsert", _MERGE_SQL)(_merge())
 query("merge_upsert_shuffled", _MERGE_SQL)(_merge(limit=0))
 
 
+_HOT_TARGET = "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey END AS k, o_totalprice AS price, o_orderpriority AS priority FROM orders"
+_HOT_SOURCE = """SELECT o_orderkey AS k, o_totalprice + 1 AS price FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 3 <> 0
+  UNION ALL SELECT o_orderkey + 1000000000, o_totalprice FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT CAST(0 AS BIGINT), CAST(1 AS DOUBLE)"""
+
+
+@query("merge_hot_key", f"""
+WITH t AS ({_HOT_TARGET}), s AS ({_HOT_SOURCE})
+SELECT t.k, coalesce(s.price, t.price) AS price, CASE WHEN s.k IS NULL THEN t.priority ELSE 'merged' END AS priority FROM t LEFT JOIN s ON t.k = s.k
+UNION ALL SELECT k, price, 'added' FROM s WHERE NOT EXISTS (SELECT * FROM t WHERE t.k = s.k)""")
+def merge_hot_key(spark, folder):
+    """A third of the target's rows have one key; the source is too large to broadcast."""
+    orders = read(spark, folder, "orders")
+    target, source = (spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=orders) for sql in (_HOT_TARGET, _HOT_SOURCE))
+    price = F.col("s.price")
+    return patterns.merge_upsert(target, source, ["k"], ["price"], {"price": price, "priority": F.lit("merged")},
+                                 {"k": F.col("s.k"), "price": price, "priority": F.lit("added")}, limit=0)
+
+
 @query("merge_update_from_agg", """
 WITH v AS (SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS lifetime FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
 SELECT c_custkey, CASE WHEN lifetime > 1500000 THEN lower(c_name) ELSE c_name END AS c_name, c_mktsegment FROM customer LEFT JOIN v ON o_custkey = c_custkey""")

@@ -57,6 +57,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame's rows, written once in the shared folder: later jobs read the files, whose size is known."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def planned_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate of a frame, or None where it cannot be read (for example over Spark Connect)."""
     try:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from datamove.operators.keys import complete, single_rows
 from datamove.operators.latest import latest_per_key
+from datamove.session import cut_lineage
+from datamove.spec import MoveError
 
 
 def snapshot_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,37 +33,73 @@ def merge_latest(current: DataFrame, changes: DataFrame, keys: list[str], order:
     return latest_per_key(current.unionByName(changes), keys, order)
 
 
+BUCKETS = 256
+
+
+class State:
+    """A keyed table in hash buckets. Every batch writes new contents of the buckets that it touches, and a manifest: which batch wrote each bucket's
+    present contents. A batch counts once its manifest is complete, so that a batch repeated after a failure starts from the manifest before it again."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: list[str], buckets: int = BUCKETS):
+        self.spark, self.root, self.schema, self.keys, self.buckets = spark, root.rstrip("/"), schema, keys, buckets
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _batches(self, folder: str) -> list[tuple[int, str]]:
+        place = self._path(f"{self.root}/{folder}")
+        names = [s.getPath() for s in self._fs.listStatus(place)] if self._fs.exists(place) else []
+        return sorted((int(p.getName().split("=")[1]), p.toString()) for p in names if p.getName().startswith("batch="))
+
+    def manifest(self, before: int | None = None) -> dict[int, int]:
+        """Bucket -> the batch that wrote it, after the last complete batch; one entry a bucket at most."""
+        done = [(b, p) for b, p in self._batches("manifest") if (before is None or b < before) and self._fs.exists(self._path(p + "/_SUCCESS"))]
+        if not done:
+            return {}
+        rows = self.spark.read.schema("bucket int, batch bigint, buckets int").parquet(done[-1][1]).collect()
+        if any(r.buckets != self.buckets for r in rows):
+            raise MoveError(f"The state in {self.root} has {rows[0].buckets} buckets, not {self.buckets}.")
+        return {r.bucket: r.batch for r in rows}
+
+    def rows(self, manifest: dict[int, int], only: set[int] | None = None) -> DataFrame:
+        paths = [f"{self.root}/data/batch={batch}/bucket={bucket}" for bucket, batch in manifest.items() if only is None or bucket in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def apply(self, changes: DataFrame, batch: int, order: list[str]) -> None:
+        """Bring the latest change of each key into its bucket; other buckets are neither read nor written."""
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias("bucket")
+        latest = cut_lineage(latest_per_key(changes, self.keys, order))
+        touched = {r.bucket for r in latest.select(bucket).distinct().collect()}  # at most one for each bucket
+        before = self.manifest(batch)
+        merged = merge_latest(self.rows(before, touched), latest, self.keys, order).select("*", bucket)
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/batch={batch}")
+        after = before | dict.fromkeys(touched, batch)
+        frame = self.spark.createDataFrame([(k, v, self.buckets) for k, v in after.items()], "bucket int, batch bigint, buckets int")
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/batch={batch}")
+
+    def expire(self, keep: int = 2) -> list[int]:
+        """Delete the data of batches that none of the last `keep` manifests names, and the manifests before them; returns those batches."""
+        kept = [b for b, p in self._batches("manifest") if self._fs.exists(self._path(p + "/_SUCCESS"))][-keep:]
+        needed = {v for b in kept for v in self.manifest(b + 1).values()}
+        gone = [(b, p) for b, p in self._batches("data") if kept and b < kept[0] and b not in needed]
+        for _, p in [*gone, *[(b, p) for b, p in self._batches("manifest") if kept and b < kept[0]]]:
+            self._fs.delete(self._path(p), True)
+        return [b for b, _ in gone]
+
+
 def apply_changes(spark: SparkSession, stream: DataFrame, state_root: str, checkpoint: str, keys: list[str],
-                  order: list[str]) -> DataFrame:
+                  order: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Run the available changes into the table under `state_root` and return the table.
 
-    With a `change` column, as snapshot_changes gives it, `delete` removes its key and preimages are ignored; a deleted key stays in the state,
-    so that a late change does not bring it back, and is left out of the returned table, as is the column. Every batch writes a new version folder from the one before it, so a batch repeated after a failure rewrites its own
-    version. `order` (for example event time, then event id) decides which change of a key is the latest.
+    With a `change` column, as snapshot_changes gives it, `delete` removes its key and preimages are ignored (a NULL there is a row like any other); a deleted key
+    stays in the state, so that a late change does not bring it back, and is left out of the returned table, as is the column. `order` (for example
+    event time, then event id) decides which change of a key is the latest.
     """
     feed = "change" in stream.columns
-    stream = stream.where("change <> 'update_preimage'") if feed else stream
-
-    def versions() -> list[int]:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(state_root)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath() for s in fs.listStatus(path)]
-        done = [p.getName() for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(n.split("=")[1]) for n in done if n.startswith("version="))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        before = [v for v in versions() if v < batch_id]
-        latest = latest_per_key(batch, keys, order)
-        if before:
-            current = spark.read.schema(batch.schema).parquet(f"{state_root}/version={before[-1]}")
-            latest = merge_latest(current, latest, keys, order)
-        latest.write.mode("overwrite").parquet(f"{state_root}/version={batch_id}")
-
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = stream.where(~F.col("change").eqNullSafe("update_preimage")) if feed else stream
+    state = State(spark, state_root, stream.schema, keys, buckets)
+    query = (stream.writeStream.foreachBatch(lambda batch, number: state.apply(batch, number, order))
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
-    done = versions()
-    state = spark.read.schema(stream.schema).parquet(f"{state_root}/version={done[-1]}") if done else spark.createDataFrame([], stream.schema)
-    return state.where("change <> 'delete'").drop("change") if feed else state
+    rows = state.rows(state.manifest())
+    return rows.where(~F.col("change").eqNullSafe("delete")).drop("change") if feed else rows

@@ -3,6 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from datamove.operators.keys import hot_keys as hot
 from datamove.operators import latest, patterns
 
 LIMITS = pytest.mark.parametrize("limit", [0, 1 << 30], ids=["shuffled", "broadcast"])
@@ -47,6 +48,34 @@ def test_merge_fails_on_a_repeated_source_key(spark, limit, key):
         merge(spark, [(1, "x", 1)], [(key, "a", 1), (key, "b", 2)], limit)
 
 
+def test_merge_with_a_hot_target_key(spark, monkeypatch):
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would all be joined into one task
+    try:
+        n = 60_000
+        target = spark.range(0, n, 1, 6).selectExpr("CASE WHEN id % 3 = 0 THEN -7 ELSE id END AS k", "CAST(id AS STRING) AS a", "id AS b")
+        read = []
+        source = spark.range(0, 40_000, 1, 4).selectExpr("CASE WHEN id = 0 THEN -7 WHEN id = 5 THEN NULL ELSE id + 30000 END AS k", "'new' AS a", "id AS b")
+        kept, seen = patterns.written, []
+        monkeypatch.setattr(patterns, "written", lambda df, name: seen.append(name) or kept(df, name))
+        monkeypatch.setattr(patterns, "hot_keys", lambda df, keys: read.append(hot(df, keys)) or read[-1])
+        values = {"a": F.col("s.a"), "b": F.col("s.b")}
+        out = patterns.merge_upsert(target, source, ["k"], ["a"], values, {**values, "k": F.col("s.k")}, limit=0)
+        sizes = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        assert len(read[0]) == 1 and seen == ["merge-source"]
+        assert sizes[-1] < 3 * sizes[len(sizes) // 2]
+        rows = {r.k: r.a for r in source.collect()}
+        t = [tuple(r) for r in target.collect()]
+        have = {r[0] for r in t}
+        want = [(k, "new" if k in rows else a) for k, a, _ in t] + [(k, "new") for k in rows if k is None or k not in have]
+        assert sorted(map(str, want)) == sorted(str((r.k, r.a)) for r in out.collect())
+        plain = patterns._merge_large(target, source, ["k"], ["a"], values, {**values, "k": F.col("s.k")}, False)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, out.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_surrogate_keys_are_dense_and_continue(spark):
     new = spark.range(1000).select((999 - F.col("id")).alias("id")).repartition(7)
     existing = spark.createDataFrame([(41,), (17,)], "sk bigint")

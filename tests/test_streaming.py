@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from datamove.session import scratch_path
 from datamove.sources.tables import create_table
 from datamove.spec import MoveError
-from datamove.streaming.changes import apply_changes, snapshot_changes
+from datamove.streaming.changes import State, apply_changes, snapshot_changes
 from datamove.streaming.ingest import LOAD_COLUMNS, LOAD_PARTITION, ingest_files
 
 
@@ -63,3 +63,37 @@ def test_feed_with_deletes(spark):
     assert run() == {1: "A", 3: "c"}
     spark.createDataFrame([("update_postimage", 2, 2, "late")], schema).write.mode("append").parquet(inbox)
     assert run() == {1: "A", 3: "c"}
+
+
+def test_only_touched_buckets_are_rewritten(spark):
+    schema = spark.createDataFrame([], "k int, t int, v string").schema
+    state = State(spark, scratch_path(spark, "state"), schema, ["k"])
+    rows = lambda ks, t, v: spark.createDataFrame([(k, t, v) for k in ks], schema)
+    table = lambda: {r.k: r.v for r in state.rows(state.manifest()).collect()}
+    state.apply(rows(range(3000), 1, "a"), 0, ["t"])
+    assert len(state.manifest()) == 256 and table() == dict.fromkeys(range(3000), "a")
+    state.apply(rows(range(10), 2, "b"), 1, ["t"])
+    first = table()
+    rewritten = [k for k, b in state.manifest().items() if b == 1]
+    assert 1 <= len(rewritten) <= 10 and first == {k: "b" if k < 10 else "a" for k in range(3000)}
+    # the batch fails behind its data, before its manifest is complete, and is repeated
+    place = state._path(f"{state.root}/manifest/batch=1/_SUCCESS")
+    state._fs.delete(place, False)
+    assert table() == dict.fromkeys(range(3000), "a")
+    state.apply(rows(range(10), 2, "b"), 1, ["t"])
+    assert table() == first and sorted(k for k, b in state.manifest().items() if b == 1) == sorted(rewritten)
+    state.apply(rows(range(3000), 3, "c"), 2, ["t"])
+    state.apply(rows([5, 9999], 4, "d"), 3, ["t"])
+    want = table()
+    assert want == {**dict.fromkeys(range(3000), "c"), 5: "d", 9999: "d"}
+    assert state.expire() == [0, 1] and table() == want and state.expire() == []
+    with pytest.raises(MoveError, match="buckets"):
+        State(spark, state.root, schema, ["k"], 8).manifest()
+
+
+def test_changes_without_a_kind_are_kept(spark):
+    inbox = scratch_path(spark, "feed")
+    schema = "change string, k int, t int"
+    spark.createDataFrame([(None, 1, 1), ("delete", 2, 1), (None, None, 1)], schema).write.parquet(inbox)
+    got = apply_changes(spark, spark.readStream.schema(schema).parquet(inbox), scratch_path(spark, "s"), scratch_path(spark, "c"), ["k"], ["t"], buckets=4)
+    assert sorted((r.k or 0, r.t) for r in got.collect()) == [(0, 1), (1, 1)]
