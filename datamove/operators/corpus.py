@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from datamove import code_rules as rules, fixed_values as fixed
+from datamove.operators.reach import reached
 from datamove.session import broadcast_if_small, cut_lineage, spread_over_cores
 
 # Private-use characters that stand for what is hidden while patterns run.
@@ -319,12 +320,44 @@ def _score(patterns: list[tuple[str, int]]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(F.col("bare").rlike(p), w).otherwise(0) for p, w in patterns])
 
 
+def _body_reasons(patterns: list[tuple[str, int]], reasons: list[str]) -> list[Column]:
+    return [F.when(F.col("bare").rlike(p), why) for (p, _), why in zip(patterns, reasons, strict=True)]
+
+
+def _calls(files: DataFrame, placed: DataFrame) -> DataFrame:
+    """(path, caller, callee): words of the routines' code that are names of unclear routines."""
+    unclear = placed.where("_routine and category = 'review'").select(F.col("short").alias("callee")).distinct()
+    callers = placed.where("_routine").select("path", F.col("short").alias("caller"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(masked(segments(F.col("text")), keep_names=False)), F.lit(r"(?U)[\w$#@]+"), F.lit(0)))
+    return (spread_over_cores(files, "path").select("path", F.explode(words).alias("callee")).join(broadcast_if_small(unclear), "callee")
+            .join(callers, "path").where("caller <> callee"))
+
+
+def follow_callers(placed: DataFrame, calls: DataFrame) -> DataFrame:
+    """(short, category, callers, first_caller) of unclear routines that placed ones use, directly or through other unclear ones: what anything that moves
+    reaches moves too, what only kept code reaches is kept. Routines that call each other in a circle are placed by who calls into it."""
+    own = placed.where("_routine").select("path", "category")
+    calls = cut_lineage(calls.join(own, "path").select("caller", "callee", "category"))
+    between = calls.where("category = 'review'").select(F.col("caller").alias("a"), F.col("callee").alias("b"))
+    seeds = lambda category: calls.where(F.col("category") == category).select(F.col("callee").alias("node"))
+    moves = reached(seeds("migrate"), between)
+    stays = reached(seeds("keep").join(moves, "node", "left_anti"), between.join(moves.withColumnRenamed("node", "b"), "b", "left_anti"))
+    label = moves.withColumn("label", F.lit("migrate")).unionByName(stays.withColumn("label", F.lit("keep")))
+    # callers of the same label tell why; only their number and first name are kept
+    of_caller = label.select(F.col("node").alias("caller"), F.col("label").alias("passed_on"))
+    same = (calls.join(of_caller, "caller", "left").withColumn("by", F.when(F.col("category") == "review", F.col("passed_on")).otherwise(F.col("category")))
+            .join(label, F.col("callee") == F.col("node")).where(F.col("by") == F.col("label")))
+    return same.groupBy(F.col("callee").alias("_word"), F.col("label").alias("_label")).agg(
+        F.count_distinct("caller").alias("_callers"), F.min("caller").alias("_first"))
+
+
 def fit(files: DataFrame, dialect: str | None = None) -> DataFrame:
-    """Where each object belongs: (path, name, kind, category, purpose, score). Routines are scored from the words of their name and
-    patterns in their body; an unclear routine follows the objects that use it."""
+    """Where each object belongs: (path, name, kind, category, purpose, score, reasons). Routines are scored from the words of their name and
+    patterns in their body; an unclear routine follows the objects that use it, through any number of other unclear ones."""
     df = main_objects(files)
     words = F.transform(F.regexp_extract_all(F.regexp_extract("name", r"([^.]*)$", 1), F.lit(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])"), F.lit(0)), F.lower)
-    says = lambda listed: F.when(F.arrays_overlap("_words", F.array(*[F.lit(w) for w in listed])), rules.NAME_WEIGHT).otherwise(0)
+    listed = lambda known: F.array_intersect("_words", F.array(*[F.lit(w) for w in known]))
+    says = lambda known: F.when(F.size(listed(known)) > 0, rules.NAME_WEIGHT).otherwise(0)
     df = df.withColumn("_words", words)
     df = df.withColumn("_joins", F.regexp_count("bare", F.lit(rules.JOIN_WORD))).withColumn("_aggs", F.regexp_count("bare", F.lit(rules.AGGREGATE_CALL)))
     one = lambda c: F.when(c, 1).otherwise(0)
@@ -335,30 +368,40 @@ def fit(files: DataFrame, dialect: str | None = None) -> DataFrame:
               & (F.col("_joins") <= 2) & (F.col("_aggs") == 0) & (F.col("_report") == 0) & (F.col("_etl") == 0))
     df = df.withColumn("score", F.col("_report") + F.col("_etl") - F.col("_app") - F.when(screen, 2).otherwise(0))
     routine = F.col("kind").isin("procedure", "function", "view")
-    by_score = F.when(F.col("score") >= 2, "migrate").when(F.col("score") <= -2, "keep").otherwise("review")
-    category = (F.when(F.col("path").rlike(rules.DEPLOYMENT_SCRIPTS), "skip").when(routine, by_score)
-                .when((F.col("kind") == "table") & F.regexp_extract("name", r"([^.]*)$", 1).rlike(rules.FRAMEWORK_TABLES), "skip")
-                .when(F.col("kind") == "table", "data").when(F.col("kind").isin("trigger", "type"), "keep")
-                .when(F.col("kind").isin("security", "schema", "index"), "skip").when(F.col("kind").isin("sequence", "synonym"), "review")
-                .when(F.col("bare").rlike(rules.WRITE_WORD), "data").otherwise("review"))
-    purpose = (F.when(routine & (F.col("score") >= 2), F.when(F.col("_etl") > F.col("_report"), "ETL / data movement").otherwise("reporting / analytics"))
-               .when(routine & (F.col("score") <= -2), "application logic").when(routine, "unclear").otherwise(F.col("kind")))
-    table = F.col("kind") == "table"
+    last_name, table = F.regexp_extract("name", r"([^.]*)$", 1), F.col("kind") == "table"
+    migrates, stays = F.col("score") >= 2, F.col("score") <= -2
+    writes, deployed, is_setup = F.col("bare").rlike(rules.WRITE_WORD), F.col("path").rlike(rules.DEPLOYMENT_SCRIPTS), F.col("kind").isin("security", "schema")
+    framework, log = table & last_name.rlike(rules.FRAMEWORK_TABLES), table & last_name.rlike(rules.LOG_TABLES)
+    script = ~F.col("kind").isin("procedure", "function", "view", "table", "trigger", "type", "security", "schema", "index", "sequence", "synonym")
+    # (when, category, purpose, reason): the first that holds; routines have reasons of their own
+    kinds = [(deployed, "skip", F.lit("deployment script"), "runs with a deployment; its rows come with the tables"),
+             (routine & migrates, "migrate", F.when(F.col("_etl") > F.col("_report"), "ETL / data movement").otherwise("reporting / analytics"), None),
+             (routine & stays, "keep", F.lit("application logic"), None), (routine, "review", F.lit("unclear"), None),
+             (framework, "skip", F.lit("framework table"), "bookkeeping of an application framework"), (log, "data", F.lit("log table"), "a log: copied if it is analysed"),
+             (table, "data", F.lit("table"), "holds rows to copy"), (F.col("kind").isin("trigger", "type"), "keep", F.col("kind"), "belongs to the application's own writes"),
+             (is_setup, "skip", F.lit("security / setup"), "rights are set up anew"), (F.col("kind") == "index", "skip", F.col("kind"), "has no use there"),
+             (F.col("kind").isin("sequence", "synonym"), "review", F.col("kind"), "has no direct counterpart"),
+             (script & writes, "data", F.lit("seed data"), "its rows come with the tables"), (F.lit(True), "review", F.lit("script"), "creates no object")]
+    pick = lambda i: F.coalesce(*[F.when(k[0], k[i] if isinstance(k[i], Column) else F.lit(k[i])) for k in kinds])
+    named = [F.when(F.size(listed(known)) > 0, F.concat(F.lit(f"{what}: "), F.array_join(F.array_sort(F.array_distinct(listed(known))), ", ")))
+             for known, what in ((rules.REPORT_WORDS, "named like reporting"), (rules.ETL_WORDS, "named like data movement"), (rules.APP_WORDS, "named like application code"))]
+    told = F.filter(F.array(*named, *_body_reasons(rules.APP_BODY, rules.APP_REASONS), *_body_reasons(rules.REPORT_BODY, rules.REPORT_REASONS),
+                            *_body_reasons(rules.ETL_BODY, rules.ETL_REASONS),
+                            F.when(F.col("_joins") >= 3, F.concat(F.lit("joins "), F.col("_joins").cast("string"), F.lit(" tables"))),
+                            F.when(F.col("_aggs") >= 2, F.concat(F.col("_aggs").cast("string"), F.lit(" aggregates"))),
+                            F.when(F.col("kind") == "view", "a view moves with its tables"), F.when(screen, "looks rows up by parameters")), lambda x: x.isNotNull())
+    reasons = F.when(routine & ~deployed, F.when(F.size(told) == 0, F.array(F.lit("nothing in its name or code tells"))).otherwise(told)).otherwise(F.array(pick(3)))
     versions = rules.VERSIONED_TABLES if dialect in rules.TSQL else rules.SYSTEM_VERSIONING
-    narrow = df.select("path", "name", "kind", "short", "score", purpose.alias("purpose"), category.alias("category"), routine.alias("_routine"),
+    narrow = df.select("path", "name", "kind", "short", "score", pick(2).alias("purpose"), pick(1).alias("category"), reasons.alias("reasons"), routine.alias("_routine"),
                        (F.col("bare").rlike(rules.AUDIT_COLUMNS) & table).alias("audited"), (F.col("bare").rlike(versions) & table).alias("versioned"))
     placed = cut_lineage(narrow)  # a few short values per file; the texts are not scored twice
-    # words of the routines' code that are names of unclear routines, with the category of the routine that uses them
-    unclear = placed.where("_routine and category = 'review'").select(F.col("short").alias("_word")).distinct()
-    clear = placed.where("_routine and category <> 'review'").select("path", F.col("short").alias("_caller"), "category")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(masked(segments(F.col("text")), keep_names=False)), F.lit(r"[\w$#@]+"), F.lit(0)))
-    used = spread_over_cores(files, "path").select("path", F.explode(words).alias("_word")).join(broadcast_if_small(unclear), "_word").join(clear, "path")
-    followed = (used.where("_caller <> _word").groupBy("_word")
-                .agg(F.max((F.col("category") == "migrate").cast("int")).alias("_moves"), F.count(F.lit(1)).alias("_callers")))
+    followed = follow_callers(placed, _calls(files, placed))
     joined = placed.join(followed, (placed["short"] == followed["_word"]) & placed["_routine"] & (placed["category"] == "review"), "left")
-    final = F.when(F.col("_moves") == 1, "migrate").when(F.col("_callers") > 0, "keep").otherwise(F.col("category"))
-    purpose = F.when((F.col("category") == "review") & F.col("_callers").isNotNull(), "helper").otherwise(F.col("purpose"))
-    return joined.select("path", "name", "kind", final.alias("category"), purpose.alias("purpose"), F.when(F.col("_routine"), F.col("score")).alias("score"),
+    helper = F.when(F.col("_label") == "migrate", "helper for reporting / ETL").when(F.col("_label") == "keep", "helper for application logic")
+    why = F.concat(F.when(F.col("_label") == "migrate", "used by code that moves: ").otherwise("used only by code that stays: "), F.col("_first"),
+                   F.when(F.col("_callers") > 1, F.concat(F.lit(" and "), (F.col("_callers") - 1).cast("string"), F.lit(" more"))).otherwise(""))
+    return joined.select("path", "name", "kind", F.coalesce("_label", "category").alias("category"), F.coalesce(helper, "purpose").alias("purpose"),
+                         F.when(F.col("_routine"), F.col("score")).alias("score"), F.when(F.col("_label").isNotNull(), F.array_append("reasons", why)).otherwise(F.col("reasons")).alias("reasons"),
                          "audited", "versioned", F.regexp_extract("name", r"([^.]*)$", 1).alias("short"))
 
 

@@ -170,7 +170,27 @@ SELECT {_PATH} AS path, {_NAMED} AS name, {_KIND} AS kind, CASE doc_id % 8 WHEN
        CASE doc_id % 8 WHEN 0 THEN 'ETL / data movement' WHEN 1 THEN 'reporting / analytics' WHEN 2 THEN 'table' WHEN 3 THEN 'application logic' WHEN 4 THEN 'reporting / analytics' WHEN 7 THEN 'helper' ELSE 'script' END AS purpose,
        CAST(CASE doc_id % 8 WHEN 0 THEN 5 WHEN 1 THEN 8 WHEN 3 THEN -2 WHEN 4 THEN 2 WHEN 7 THEN -1 END AS INTEGER) AS score FROM documents""")
 def corpus_fit(spark, folder):
-    return corpus.fit(_files(spark, folder)).select("path", "name", "kind", "category", "purpose", "score")
+    placed = corpus.fit(_files(spark, folder))
+    purpose = F.when(F.col("purpose").startswith("helper"), "helper").otherwise(F.col("purpose"))
+    return placed.select("path", "name", "kind", "category", purpose.alias("purpose"), "score")
+
+
+@query("corpus_fit_chains", """
+SELECT CAST(doc_id AS INTEGER) AS chain, 'fn_step' || i || '_' || doc_id AS name, CASE WHEN doc_id % 3 = 0 THEN 'migrate' WHEN doc_id % 3 = 1 THEN 'keep' ELSE 'review' END AS category,
+       CASE WHEN doc_id % 3 = 0 THEN 'helper for reporting / ETL' WHEN doc_id % 3 = 1 THEN 'helper for application logic' ELSE 'unclear' END AS purpose
+FROM documents, (VALUES (1), (2), (3), (4), (5), (6)) AS v(i)""")
+def corpus_fit_chains(spark, folder):
+    """For each document, a chain of six helpers behind its text as a comment; a third hang on code that moves, a third on code that stays, a third call each
+    other in a circle that nothing else calls."""
+    docs = read(spark, folder, "documents").where("doc_id IS NOT NULL").selectExpr("doc_id", "'/* ' || replace(replace(coalesce(text, ''), '*/', ''), '/*', '') || ' */ ' AS note")
+    step = "concat('CREATE FUNCTION dbo.fn_step', i, '_', doc_id, '(@x INT) RETURNS INT AS BEGIN RETURN dbo.fn_step', IF(i = 6 AND doc_id % 3 = 2, 1, i + 1), '_', doc_id, '(@x) END')"
+    helpers = docs.selectExpr("doc_id", "note", "explode(sequence(1, 6)) AS i").selectExpr(f"concat('h', i, '_', doc_id, '.sql') AS path", f"note || {step} AS text")
+    roots = docs.where("doc_id % 3 <> 2").selectExpr(
+        "concat('r', doc_id, '.sql') AS path",
+        "note || IF(doc_id % 3 = 0, concat('CREATE PROCEDURE dbo.usp_LoadFacts', doc_id, ' AS INSERT INTO f SELECT dbo.fn_step1_', doc_id, '(x) FROM s'),"
+        " concat('CREATE PROCEDURE dbo.SaveUser', doc_id, ' @Id INT AS UPDATE u SET a = dbo.fn_step1_', doc_id, '(1) WHERE Id = @Id')) AS text")
+    placed = corpus.fit(helpers.unionByName(roots)).where("kind = 'function'")
+    return placed.select(F.regexp_extract("path", r"_(\d+)", 1).cast("int").alias("chain"), F.col("short").alias("name"), "category", "purpose")
 
 
 @query("corpus_verdict", """

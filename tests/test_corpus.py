@@ -1,3 +1,7 @@
+"""Jobs over code files."""
+
+import random
+
 import pytest
 
 from datamove.operators import corpus
@@ -127,6 +131,47 @@ def test_fit_follows_callers(spark):
     assert corpus.fit_verdict(placed).first().verdict == "application"
 
 
+def test_helpers_follow_through_chains_and_circles(spark):
+    rng = random.Random(4)
+    names = [f"fn_x{i}" for i in range(30)]
+    calls = {n: set(rng.sample(names, rng.choice([0, 1, 1, 2]))) - {n} for n in names}
+    calls["fn_x0"] = {"fn_x1"}
+    roots = {"usp_LoadDaily": {"fn_x3", "fn_x7"}, "SaveCart": {"fn_x3", "fn_x11", "fn_x19"}, "DeleteCart": {"fn_x2"}}
+    texts = [f"CREATE FUNCTION dbo.{n}(@x INT) RETURNS INT AS BEGIN RETURN {' + '.join(f'dbo.{c}(@x)' for c in sorted(cs)) or '1'} END" for n, cs in calls.items()]
+    texts += [f"CREATE PROCEDURE dbo.{n} @a INT AS SELECT {', '.join(f'dbo.{c}(@a)' for c in sorted(cs))}" for n, cs in roots.items()]
+    placed = {r.short: r for r in corpus.fit(files(spark, *texts)).collect()}
+    assert {n: placed[n].category for n in roots} == {"usp_LoadDaily": "migrate", "SaveCart": "keep", "DeleteCart": "keep"}
+
+    def reach(start, barred=()):
+        seen, todo = set(), list(start)
+        while todo:
+            n = todo.pop()
+            if n not in seen and n not in barred:
+                seen.add(n)
+                todo += calls[n]
+        return seen
+    moves = reach(roots["usp_LoadDaily"])
+    stays = reach(roots["SaveCart"] | roots["DeleteCart"], moves)
+    assert {n: placed[n].category for n in names} == {n: "migrate" if n in moves else "keep" if n in stays else "review" for n in names}
+    for n in names:
+        tail = placed[n].reasons[-1]
+        assert tail.startswith("used by code that moves: ") if n in moves else tail.startswith("used only by code that stays: ") if n in stays else tail.startswith("nothing")
+        if n in moves | stays:
+            first = tail.split(": ")[1].split(" and ")[0]
+            assert n in {**{k.lower(): v for k, v in roots.items()}, **calls}[first]
+
+
+def test_purposes_and_reasons(spark):
+    placed = {r.name: r for r in corpus.fit(files(
+        spark, "CREATE TABLE app_audit_log (a INT)", "CREATE TABLE AspNetRoles (a INT)", "GRANT SELECT ON t TO u", "INSERT INTO t VALUES (1)", "SELECT 1",
+        "CREATE PROCEDURE r.SalesReport AS SELECT a, SUM(b), COUNT(c) FROM t GROUP BY a", "CREATE INDEX ix ON t (a)", "CREATE SYNONYM sy FOR t")).collect()}
+    assert {n: r.purpose for n, r in placed.items()} == {
+        "app_audit_log": "log table", "AspNetRoles": "framework table", "f2": "security / setup", "f3": "seed data", "f4": "script",
+        "r.SalesReport": "reporting / analytics", "ix": "index", "sy": "synonym"}
+    assert placed["r.SalesReport"].reasons == ["named like reporting: report", "groups rows", "2 aggregates"]
+    assert all(len(r.reasons) == 1 for n, r in placed.items() if n != "r.SalesReport")
+
+
 def test_features_and_other_databases(spark):
     texts = ["DECLARE c CURSOR FOR SELECT 1", "EXEC (@sql)", "SELECT * FROM srv.db.dbo.t", "SELECT * FROM [other].dbo.x", "SELECT * FROM dbo.a.b, dw.t.c -- x.y.z", "SELECT 'p.q.r' FROM #t"]
     got = {r.feature: r.files for r in corpus.features(files(spark, *texts), ["DW"]).collect()}
