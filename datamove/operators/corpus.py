@@ -590,6 +590,34 @@ def set_fingerprint(prints: DataFrame, prefix: int = 4) -> DataFrame:
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.sha2(top, 256).alias("fingerprint"))
 
 
+LANES = 16
+
+
+def multiset_fingerprint(prints: DataFrame) -> DataFrame:
+    """One row (files, lanes): a fingerprint that files can be added to and taken from. Each file's path and hash give LANES numbers of 32 bits, which are added up
+    by lane modulo 2^32; the order does not matter, parts can be summed apart, and a task keeps LANES numbers, not files."""
+    line = F.concat("path", F.lit(":"), "sha256")
+    digest = F.concat(F.sha2(line, 256), F.sha2(F.concat(F.lit("2:"), line), 256))
+    lanes = [F.conv(F.substring("_digest", 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(LANES)]
+    parts = prints.select(digest.alias("_digest")).select(*[x.alias(f"l{i}") for i, x in enumerate(lanes)])
+    # sums of 2^31 files stay below 2^63; partitions are reduced apart before they are added modulo 2^32
+    apart = parts.groupBy(F.spark_partition_id().alias("_part")).agg(F.count(F.lit(1)).alias("n"), *[F.pmod(F.sum(f"l{i}"), F.lit(1 << 32)).alias(f"l{i}") for i in range(LANES)])
+    summed = [F.coalesce(F.pmod(F.sum(f"l{i}"), F.lit(1 << 32)), F.lit(0)) for i in range(LANES)]
+    return apart.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.array(*summed).alias("lanes"))
+
+
+def changed_fingerprint(fingerprint: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """The fingerprint after files came and went, from these files alone."""
+    sides = [fingerprint.withColumn("sign", F.lit(1)), multiset_fingerprint(added).withColumn("sign", F.lit(1)), multiset_fingerprint(removed).withColumn("sign", F.lit(-1))]
+    signed = reduce(DataFrame.unionByName, sides)
+    lanes = [F.pmod(F.sum(F.col("sign") * F.col("lanes")[i]), F.lit(1 << 32)) for i in range(LANES)]
+    return signed.agg(F.sum(F.col("sign") * F.col("files")).alias("files"), F.array(*lanes).alias("lanes"))
+
+
+def fingerprint_text(lanes: Column) -> Column:
+    return F.array_join(F.transform(lanes, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+
+
 def drift(recorded: DataFrame, current: DataFrame) -> DataFrame:
     """Files changed, missing or added since the fingerprints were recorded: (path, drift)."""
     a, b = recorded.select("path", F.col("sha256").alias("_a")), current.select("path", F.col("sha256").alias("_b"))

@@ -170,9 +170,44 @@ def sales_summary(fact: DataFrame, customers: DataFrame) -> DataFrame:
                  F.sum("total_amount").alias("amount")))
 
 
+def _doubled(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """(_key, above, dist, done) of every node whose parents all exist: its root and the steps up to it; done is false for nodes that lead into a cycle.
+
+    Every round joins each unfinished node's ancestor to that one's own ancestor, so the steps double and a depth of d takes log2(d) rounds."""
+    links = nodes.select(F.col(key).alias("_key"), F.col(parent).alias("_parent"))
+    root = F.col("_parent").isNull()
+    state = cut_lineage(links.select("_key", F.when(root, F.col("_key")).otherwise(F.col("_parent")).alias("above"),
+                                     F.when(root, 0).otherwise(1).cast("bigint").alias("dist"), root.alias("done")))
+    open_nodes = state.where("NOT done").count()
+    while open_nodes:
+        up = state.select(F.col("_key").alias("above"), F.col("above").alias("_above"), F.col("dist").alias("_dist"), F.col("done").alias("_done"))
+        moved = (state.where("NOT done").join(up, "above")  # a node whose ancestor does not exist falls out
+                 .select("_key", F.col("_above").alias("above"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_done").alias("done")))
+        state = cut_lineage(state.where("done").unionByName(moved))
+        left = state.where("NOT done").count()
+        if left == open_nodes:
+            break  # whoever is not at a root after as many steps as all paths have goes round in a circle
+        open_nodes = left
+    return state
+
+
 def hierarchy_levels(nodes: DataFrame, key: str, parent: str) -> DataFrame:
-    """START WITH parent IS NULL CONNECT BY: (key, root, level). One join per level, the found level checkpointed, so there is
-    no limit of rows or levels and the plan does not grow with the depth. A path longer than the number of keys is a cycle and fails."""
+    """START WITH parent IS NULL CONNECT BY: (key, root, level). Nodes that no root leads to are left out; hierarchy_cycles tells those in circles.
+
+    With one parent per key, log2(depth) rounds of pointer doubling. Where a key has several parents, a row for each path: one join per level, and a path longer than
+    the number of keys is a cycle and fails. Found rows are checkpointed, so there is no limit of rows or levels and no plan grows with the depth."""
+    if nodes.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        found = _doubled(nodes.where(F.col(key).isNotNull()), key, parent).where("done")
+        return found.select(F.col("_key").alias(key), F.col("above").alias("root"), (F.col("dist") + 1).cast("int").alias("level"))
+    return _levels_of_paths(nodes, key, parent)
+
+
+def hierarchy_cycles(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """Keys, each with one parent, that lead round in a circle or into one: (key)."""
+    return _doubled(nodes.where(F.col(key).isNotNull()), key, parent).where("NOT done").select(F.col("_key").alias(key))
+
+
+def _levels_of_paths(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     links = nodes.select(F.col(key).alias("_key"), F.col(parent).alias("_parent"))
     frontier = links.where("_parent is null").select(F.col("_key").alias("node"), F.col("_key").alias("root"), F.lit(1).alias("level"))
     found, level, longest = [], 0, links.select("_key").distinct().count()

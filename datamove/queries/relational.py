@@ -121,9 +121,8 @@ SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY o_orderdate, o_orderkey) A
 FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1""")
 def agg_ordered_array(spark, folder):
     kept = read(spark, folder, "orders").where(F.col("o_orderstatus") != CANCELLED)
-    ids = lists.ordered_text(kept, ["o_custkey"], F.trunc("o_orderdate", "month"), ["o_orderdate", "o_orderkey"], F.col("o_orderkey"))
-    totals = kept.groupBy("o_custkey").agg(dbl(F.sum(money("o_totalprice"))).alias("total"))
-    return ids.join(totals, "o_custkey").select("o_custkey", F.col("joined").alias("order_ids"), "total")
+    ids = lists.ordered_text(kept, ["o_custkey"], None, ["o_orderdate", "o_orderkey"], F.col("o_orderkey"), sums={"total": money("o_totalprice")})
+    return ids.select("o_custkey", F.col("joined").alias("order_ids"), dbl("total").alias("total"))
 
 
 @query("agg_listagg", "SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS order_ids, count(*) AS orders FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
@@ -184,3 +183,13 @@ def hierarchy_levels(spark, folder):
     k = F.col("c_custkey")
     nodes = read(spark, folder, "customer").select(k, F.when(k >= 5, F.floor(k / 5)).alias("parent"))
     return patterns.hierarchy_levels(nodes, "c_custkey", "parent")
+
+
+@query("hierarchy_chain", """
+WITH k AS (SELECT o_orderkey, o_orderkey % 4096 AS pos, row_number() OVER (PARTITION BY o_orderkey // 4096 ORDER BY o_orderkey) AS nth FROM orders)
+SELECT o_orderkey, o_orderkey - pos AS root, CAST(nth AS INTEGER) AS level FROM k WHERE nth = pos + 1""")
+def hierarchy_chain(spark, folder):
+    """Chains of up to 4,096 orders, each order's parent the one before it; behind a gap in the numbers a chain has no root."""
+    k = F.col("o_orderkey")
+    nodes = read(spark, folder, "orders").select(k, F.when(k % 4096 != 0, k - 1).alias("parent"))
+    return patterns.hierarchy_levels(nodes, "o_orderkey", "parent")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from datamove.operators import corpus
 
@@ -124,6 +125,20 @@ def test_compare_code_and_fingerprints(spark):
     assert {r.path: r.drift for r in corpus.drift(prints, corpus.fingerprints(right)).collect()} == {"f0.sql": "changed", "f1.sql": "changed", "f2.sql": "added"}
 
 
+def test_fingerprint_of_a_set_changes_with_its_files(spark):
+    row = lambda df: tuple(df.first())
+    prints = corpus.fingerprints(files(spark, "a", "b", "c", "a"))
+    whole, none = corpus.multiset_fingerprint(prints), prints.limit(0)
+    assert row(whole) == row(corpus.multiset_fingerprint(prints.repartition(3))) and whole.first().files == 4
+    one = prints.where("path = 'f1.sql'")
+    without = corpus.multiset_fingerprint(prints.where("path <> 'f1.sql'"))
+    assert row(corpus.changed_fingerprint(whole, none, one)) == row(without) != row(whole)
+    assert row(corpus.changed_fingerprint(corpus.changed_fingerprint(whole, one, none), none, one)) == row(whole)
+    assert row(corpus.multiset_fingerprint(none)) == (0, [0] * 16)
+    text = whole.select(corpus.fingerprint_text(F.col("lanes"))).first()[0]
+    assert len(text) == 128 and int(text[:8], 16) == whole.first().lanes[0]
+
+
 def test_fit_follows_callers(spark):
     placed = corpus.fit(files(spark, "CREATE PROCEDURE dbo.usp_LoadFacts AS INSERT INTO f SELECT dbo.fn_Rate(x) FROM s", "CREATE FUNCTION dbo.fn_Rate(@x INT) RETURNS INT AS BEGIN RETURN 1 END",
                               "CREATE PROCEDURE dbo.SaveUser @Id INT AS UPDATE u SET a = 1 WHERE Id = @Id", "CREATE TABLE AspNetUsers (a INT)", "GRANT SELECT ON t TO r"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from datamove.operators.keys import hot_keys as hot
-from datamove.operators import latest, patterns
+from datamove.operators import latest, lists, patterns
 
 LIMITS = pytest.mark.parametrize("limit", [0, 1 << 30], ids=["shuffled", "broadcast"])
 
@@ -128,6 +128,37 @@ def test_hierarchy_levels_and_cycles(spark):
         patterns.hierarchy_levels(spark.createDataFrame([(1, None), (2, 1), (2, 3), (3, 2)], "k int, p int"), "k", "p")
 
 
+def test_deep_hierarchy_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    cut = patterns.cut_lineage
+    monkeypatch.setattr(patterns, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    chain = spark.range(2000).selectExpr("id AS k", "IF(id = 0, NULL, id - 1) AS p")
+    odd = spark.createDataFrame([(5000, 5001), (5001, 5002), (5002, 5000), (5003, 5000), (6000, 7777), (6001, 6000), (None, 1), (8000, 8000)], "k bigint, p bigint")
+    nodes = chain.unionByName(odd)
+    got = {r.k: (r.root, r.level) for r in patterns.hierarchy_levels(nodes, "k", "p").collect()}
+    assert got == {i: (0, i + 1) for i in range(2000)} and len(rounds) <= 14  # one to begin with, 11 to the depth, one that finds circles alone
+    assert sorted(r.k for r in patterns.hierarchy_cycles(nodes, "k", "p").collect()) == [5000, 5001, 5002, 5003, 8000]
+    assert patterns.hierarchy_levels(nodes.limit(0), "k", "p").count() == 0
+
+
+def test_a_group_with_half_the_rows_is_sorted_in_many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(0, 8000, 1, 5).selectExpr("IF(id % 2 = 0, 'hot', CAST(id % 10 AS STRING)) AS g", "(id * 7919) % 8000 AS o", "CAST(1 AS BIGINT) AS n")
+        runs = []
+        cut = lists.cut_lineage
+        lists.cut_lineage = lambda df: runs.append(cut(df)) or runs[-1]
+        got = {r.g: (r.joined, r.n) for r in lists.ordered_text(rows, ["g"], None, ["o"], F.col("o"), sums={"n": F.col("n")}).collect()}
+    finally:
+        lists.cut_lineage = cut
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: r.o):
+        want.setdefault(r.g, []).append(str(r.o))
+    assert got == {g: (",".join(v), len(v)) for g, v in want.items()}
+    assert runs[0].where("g = 'hot'").select("_run").distinct().count() >= 2
+
+
 def test_latest_per_key_with_a_hot_key(spark):
     rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("t"))
     got = {r.k: r.t for r in latest.latest_per_key(rows, ["k"], ["t"]).collect()}
