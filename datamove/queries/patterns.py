@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from datamove.functions import scalar
 from datamove.operators import generate, patterns
-from datamove.queries.base import AS_OF, CANCELLED, CLOSED, OPEN, dbl, money, query, read
+from datamove.operators.typing import map_types
+from datamove.plans import warehouse
+from datamove.queries.base import AS_OF, CANCELLED, CLOSED, OPEN, dbl, money, new_table, query, read
+from datamove.session import scratch_path
 
 # ---------------------------------------------------------------- merge
 
@@ -206,6 +211,36 @@ def load_all_totals(spark, folder):
             .unionByName(total(summary, "summary", F.sum("orders"), F.sum("amount"))))
 
 
+@query("full_load_log", f"""
+WITH f AS (SELECT f.* FROM ({_FACT_SQL}) f JOIN customer ON c_custkey = customer_id), m AS (SELECT DISTINCT date_trunc('month', order_date) AS m, c_nationkey AS n FROM f JOIN customer ON c_custkey = customer_id)
+SELECT 1 AS step, 'dim_date' AS name, CAST(date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) + 1 AS BIGINT) AS rows_loaded FROM orders
+UNION ALL SELECT 2, 'dim_product', count(*) FROM part UNION ALL SELECT 3, 'dim_customer', count(*) FROM customer
+UNION ALL SELECT 4, 'fact_daily_sales', count(*) FROM f UNION ALL SELECT 5, 'sales_summary', count(*) FROM m""")
+def full_load_log(spark, folder):
+    """The steps of a full load that was broken off in its third step and run again."""
+    orders = read(spark, folder, "orders")
+    first, last = orders.agg(F.to_date(F.min("o_orderdate")), F.to_date(F.max("o_orderdate"))).first()
+    failures = [RuntimeError("broken off")]
+
+    def customers():
+        if failures:
+            raise failures.pop()
+        return read(spark, folder, "customer").select(F.col("c_custkey").alias("customer_id"), (F.col("c_custkey") + 1000).alias("customer_key"), F.col("c_nationkey").cast("string").alias("country"))
+    sources = {
+        "customer": customers, "product": lambda: read(spark, folder, "part"),
+        "orders": lambda: orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("order_date"), F.col("o_orderstatus").alias("status")),
+        "lines": lambda: read(spark, folder, "lineitem").select(
+            F.col("l_orderkey").alias("order_id"), F.col("l_quantity").alias("quantity"), scalar.line_amount(F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount")).alias("amount"))}
+    places = {n: (f"dm_{n}_{uuid.uuid4().hex[:12]}", scratch_path(spark, n)) for n in ("dim_date", "dim_product", "dim_customer", "fact_daily_sales", "sales_summary")}
+    log = new_table(spark, "load_log", warehouse.LOG_COLUMNS)
+    load = lambda: warehouse.full_load(spark, sources, places, log, "night", first, last, CANCELLED)
+    try:
+        load()
+    except RuntimeError:
+        pass
+    return load().select("step", "name", "rows_loaded")
+
+
 @query("lookup_matched", """
 SELECT o_orderkey, c_custkey + 1000 AS customer_key FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 0""")
 def lookup_matched(spark, folder):
@@ -247,6 +282,42 @@ def generate_rows(spark, folder):
     return _generated(spark, folder).withColumn("Rate", dbl("Rate"))
 
 
+_INVENTORY = """table_name,column_name,ordinal,data_type,max_length,precision,scale,is_nullable
+Orders,OrderId,1,int,4,10,0,NO
+Orders,CustomerId,2,int,4,10,0,YES
+Orders,Note,3,nvarchar,16,,,YES
+Customers,CustomerId,1,int,4,10,0,NO
+Customers,FullName,2,nvarchar,12,,,NO
+OrderLines,LineId,1,int,4,10,0,NO
+OrderLines,OrderId,2,int,4,10,0,NO"""
+
+
+@query("generate_tables", """
+WITH n AS (SELECT (SELECT count(*) FROM customer) AS c, (SELECT count(*) FROM orders) AS o, (SELECT count(*) FROM lineitem) AS l)
+SELECT 1 AS nth, 'Customers' AS name, c AS rows, CAST(NULL AS BIGINT) AS parents, CAST(NULL AS BIGINT) AS orphans, 6 AS longest FROM n
+UNION ALL SELECT 2, 'Orders', o, least(c, o), 0, 8 FROM n UNION ALL SELECT 3, 'OrderLines', l, least(o, l), 0, NULL FROM n""")
+def generate_tables(spark, folder):
+    """As many made-up rows as the given tables have, parents first; keys that refer to a parent all exist there, texts fit their declared bytes."""
+    size = {n: read(spark, folder, t).count() for n, t in (("Customers", "customer"), ("Orders", "orders"), ("OrderLines", "lineitem"))}
+    lines = [r.split(",") for r in _INVENTORY.splitlines()]
+    inventory = spark.createDataFrame([dict(zip(lines[0], [v or None for v in r])) for r in lines[1:]], ", ".join(f"{c} string" for c in lines[0]))
+    typed = map_types(inventory.select("table_name", "column_name", F.col("ordinal").cast("int"), "data_type", F.col("max_length").cast("double"), "precision", "scale",
+                                       (F.col("is_nullable") == "YES").alias("nullable")), "sqlserver")
+    made = generate.generate_tables(spark, typed, "sqlserver", size)
+    key, text = {"Orders": ("CustomerId", "Customers"), "OrderLines": ("OrderId", "Orders")}, {"Customers": "FullName", "Orders": "Note"}
+    rows = []
+    for nth, (name, df) in enumerate(made.items(), 1):
+        longest = F.max(F.length(text[name])) if name in text else F.lit(None)
+        one = df.agg(F.count(F.lit(1)).alias("rows"), longest.cast("int").alias("longest"), *([F.countDistinct(key[name][0]).alias("parents")] if name in key else []))
+        one = one if name in key else one.withColumn("parents", F.lit(None).cast("bigint"))
+        orphans = F.lit(None).cast("bigint")
+        if name in key:
+            column, parent = key[name]
+            orphans = F.lit(df.where(F.col(column).isNotNull()).join(made[parent], column, "left_anti").count()).cast("bigint")
+        rows.append(one.select(F.lit(nth).alias("nth"), F.lit(name).alias("name"), "rows", "parents", orphans.alias("orphans"), "longest"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("insert_literals", """
 SELECT o_orderkey, '(' || o_orderkey || ', DATE''' || strftime(o_orderdate, '%Y-%m-%d') || ''', ''' || replace(CASE WHEN o_orderkey % 5 = 0 THEN 'O''Hara \\ ' || o_orderpriority ELSE o_orderpriority END, '\\', '\\\\')
          .replace('''', '\\''') || ''', ' || CASE WHEN o_orderstatus = 'O' THEN 'TRUE' ELSE 'FALSE' END || ', ' || CASE WHEN o_orderkey % 7 = 0 THEN 'NULL' ELSE CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) END || ')' AS literal

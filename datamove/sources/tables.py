@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -35,16 +36,33 @@ def list_tables(spark: SparkSession, schemas: list[str]) -> list[str]:
     return found
 
 
+def _declared_length(f: T.StructField) -> float | None:
+    """Characters that a char or varchar column may hold."""
+    found = re.search(r"char\((\d+)\)", f.metadata.get("__CHAR_VARCHAR_TYPE_STRING", "") or f.dataType.simpleString())
+    return float(found[1]) if found else None
+
+
+def file_megabytes(df: DataFrame) -> float | None:
+    """Size of the files that a frame reads, from their listing alone; null where it reads none."""
+    files = df.inputFiles()
+    if not files:
+        return None
+    sc = df.sparkSession.sparkContext
+    path, conf = sc._jvm.org.apache.hadoop.fs.Path, sc._jsc.hadoopConfiguration()
+    return round(sum(path(f).getFileSystem(conf).getFileStatus(path(f)).getLen() for f in files) / 1048576, 6)
+
+
 def catalog_inventory(tables: dict[str, DataFrame]) -> DataFrame:
-    """Columns of live tables (`schema.table` -> frame) in the inventory's layout, with each table's row count."""
+    """Columns of live tables (`schema.table` -> frame) in the inventory's layout, with declared lengths and each table's row count and size. Rows of parquet tables
+    are counted from file footers."""
     rows, counts = [], []
     for name, df in tables.items():
         schema, _, table = name.rpartition(".")
         for i, f in enumerate(df.schema.fields, 1):
             p, s = (float(f.dataType.precision), float(f.dataType.scale)) if isinstance(f.dataType, T.DecimalType) else (None, None)
-            rows.append((schema, table, f.name, i, f.dataType.simpleString(), None, p, s, f.nullable))
-        counts.append(df.agg(F.count(F.lit(1)).alias("row_count"))
-                      .select(F.lit(schema).alias("schema_name"), F.lit(table).alias("table_name"), "row_count"))
+            rows.append((schema, table, f.name, i, f.dataType.simpleString(), _declared_length(f), p, s, f.nullable))
+        counts.append(df.agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(schema).alias("schema_name"), F.lit(table).alias("table_name"), "row_count", F.lit(file_megabytes(df)).cast("double").alias("size_mb")))
     spark = next(iter(tables.values())).sparkSession
     columns = spark.createDataFrame(rows, _INVENTORY_SCHEMA)  # metadata only
     return columns.join(reduce(DataFrame.unionByName, counts), ["schema_name", "table_name"], "left")
