@@ -3,8 +3,9 @@
 For every prefix of a word there is one last token of its encoding, and the encoding is that token after the encoding of the rest. So the
 distinct words of a batch are walked as a trie, depth first: each node keeps the last token of its prefix, found from the states of its
 ancestors, and words that share a prefix share its states. Sorted words are the depth-first order of their trie; the stack of states is the path.
-A token fits behind another one when the two together encode as just these two. A word's last symbol carries the word-end mark and is a
-child node of its own.
+A token fits behind another one when the two together encode as just these two, which their own merges tell: both are taken apart again, the later merge first, and
+no merge across the boundary may come before one that was undone. Tokens that end at a place are found from their last symbol backwards. A word's last symbol
+carries the word-end mark and is a child node of its own. Words encoded before are kept, so only new ones are walked.
 """
 
 from __future__ import annotations
@@ -13,14 +14,24 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import accumulate, islice
+from unicodedata import is_normalized
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-CACHE_CHUNKS, CACHE_PAIRS, LONGEST_CACHED = 250_000, 200_000, 32
+CACHE_CHUNKS, CACHE_WORDS, CACHE_PAIRS, LONGEST_CACHED = 400_000, 400_000, 200_000, 32
+_TOKEN = ""  # key of a backward node that is a whole token; symbols are never empty
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def make_room(cache: dict, most: int) -> None:
+    """Forget the older half of a full cache."""
+    if len(cache) >= most:
+        for key in list(islice(cache, most // 2)):
+            del cache[key]
+
+
 class TrieBpe:
     """A tokenizers file whose pre-tokens never hold white space; its normaliser and pre-tokenizer come from the library."""
 
@@ -37,10 +48,25 @@ class TrieBpe:
         self.special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.tokens = {str(i): t for t, i in [*self.vocab.items(), *self.special.items()]}
-        self.longest = max(len(t) - len(self.end) * t.endswith(self.end) for t in self.vocab)
+        self.backward = {mark: self._backward(mark) for mark in {"", self.end}}
+        self.parts: dict[str, tuple[str, str] | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.words: dict[str, str] = {}
         self.chunks: dict[str, str] = {}
 
+    def _backward(self, mark: str) -> dict:
+        """The vocabulary's tokens with the mark, or without one, as a trie from the last symbol to the first."""
+        root: dict = {}
+        for token in self.vocab:
+            marked = bool(self.end) and token.endswith(self.end)
+            if marked != bool(mark):
+                continue
+            node = root
+            for symbol in reversed(token[: -len(mark)] if mark else token):
+                node = node.setdefault(symbol, {})
+            node[_TOKEN] = True
+        return root
+
     # -- encoding ---------------------------------------------------------------------------------------------------------------
     def symbols(self, token: str) -> list[str]:
         if self.end and token.endswith(self.end):
@@ -58,10 +84,41 @@ class TrieBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def last_merge(self, token: str) -> tuple[str, str] | None:
+        """The two parts that are joined last when the token is encoded; None for a single symbol. A token that its own merges do not reach has ("", "")."""
+        if token not in self.parts:
+            parts = self.symbols(token)
+            last = None
+            while len(parts) > 1:
+                rank, at = min((self.ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if rank == 1 << 60:
+                    last = ("", "")
+                    break
+                last = parts[at], parts[at + 1]
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.parts[token] = last
+        return self.parts[token]
+
+    def stays_apart(self, left: str, right: str) -> bool:
+        """No merge joins the end of one token with the start of the next before both are whole."""
+        none = 1 << 60
+        before = none  # merges across the boundary from this rank on come too late
+        while True:
+            if self.ranks.get((left, right), none) < before:
+                return False
+            one, two = self.last_merge(left), self.last_merge(right)
+            rank_one, rank_two = (self.ranks[one] if one else -1), (self.ranks[two] if two else -1)
+            if rank_one < 0 and rank_two < 0:
+                return True
+            if rank_one > rank_two:  # undo the later merge; of equal ranks the one on the right, as merges run from the left
+                before, left = rank_one, one[1]
+            else:
+                before, right = rank_two + 1, two[0]
+
     def fits(self, before: str, token: str) -> bool:
         known = self.pairs.get((before, token))
         if known is None:
-            known = self.merged(self.symbols(before) + self.symbols(token)) == ([before, token] if before else [token])
+            known = self.last_merge(token) != ("", "") and (not before or self.stays_apart(before, token))
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
             self.pairs[before, token] = known
@@ -69,9 +126,17 @@ class TrieBpe:
 
     def last_token(self, word: str, end: int, states: list[str], mark: str) -> str:
         """Last token of word[:end], given the states of all shorter prefixes."""
-        for start in range(max(0, end - self.longest), end):
+        node, start, starts = self.backward[mark], end, []
+        while start:
+            node = node.get(word[start - 1])
+            if node is None:
+                break
+            start -= 1
+            if _TOKEN in node:
+                starts.append(start)
+        for start in reversed(starts):
             token = word[start:end] + mark
-            if token in self.vocab and self.fits(states[start - 1] if start else "", token):
+            if self.fits(states[start - 1] if start else "", token):
                 return token
         raise ValueError(f"no token ends {word[:end]!r}")
 
@@ -96,11 +161,25 @@ class TrieBpe:
             out[word] = ids[::-1]
         return out
 
-    def encode_chunks(self, chunks: set[str]) -> dict[str, str]:
-        """Pieces of text without blanks -> their ids, joined by spaces."""
-        pieces: dict[str, list] = {}
-        words = set()
-        for chunk in chunks:
+    def split_chunks(self, chunks: set[str]) -> dict[str, list]:
+        """The pre-tokens of each piece, and the ids of special tokens."""
+        special = self.special_pattern.search if self.special_pattern else lambda c: None
+        same_length = lambda c: c.isascii() or is_normalized("NFC", c) and len(c.lower()) == len(c)
+        plain = [c for c in chunks if c.isprintable() and same_length(c) and not special(c)]
+        pieces: dict[str, list] = {c: [] for c in plain}
+        normal = self.normalize(" ".join(plain))
+        ends = list(accumulate(len(c) + 1 for c in plain))
+        if normal.count(" ") == len(plain) - 1 and all(normal[e - 1] == " " for e in ends[:-1]):  # all of them in one call: no pre-token holds a blank
+            of_end = iter(zip(ends, plain))
+            end, words = 0, []
+            for word, (first, _) in self.split(normal):
+                while first >= end:
+                    end, chunk = next(of_end)
+                    words = pieces[chunk]
+                words.append(word)
+        else:
+            pieces = {}
+        for chunk in chunks - pieces.keys():
             parts: list = []
             for p in self.special_pattern.split(chunk) if self.special_pattern else [chunk]:
                 if p in self.special:
@@ -108,14 +187,22 @@ class TrieBpe:
                 elif p:
                     parts += [w for w, _ in self.split(self.normalize(p))]
             pieces[chunk] = parts
-            words.update(p for p in parts if isinstance(p, str))
-        ids = self.encode_words(words)
-        return {c: " ".join(str(i) for p in parts for i in (ids[p] if isinstance(p, str) else [p])) for c, parts in pieces.items()}
+        return pieces
+
+    def encode_chunks(self, chunks: set[str]) -> dict[str, str]:
+        """Pieces of text without blanks -> their ids, joined by spaces."""
+        pieces = self.split_chunks(chunks)
+        make_room(self.words, CACHE_WORDS)
+        found = {w: " ".join(map(str, ids)) for w, ids in self.encode_words(
+            {p for parts in pieces.values() for p in parts if isinstance(p, str) and p not in self.words}).items()}
+        long = {w: found.pop(w) for w in [w for w in found if len(w) > LONGEST_CACHED]}
+        self.words.update(found)
+        known = self.words
+        return {c: " ".join([known[p] if p in known else long[p] if isinstance(p, str) else str(p) for p in parts]) for c, parts in pieces.items()}
 
     def encode_batch(self, texts: list[str]) -> Iterator[str]:
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.chunks) >= CACHE_CHUNKS:
-            self.chunks.clear()
+        make_room(self.chunks, CACHE_CHUNKS)
         new = self.encode_chunks({c for parts in cut for c in parts if c and c not in self.chunks})
         once = {c: new.pop(c) for c in [c for c in new if len(c) > LONGEST_CACHED]}
         self.chunks.update(new)

@@ -243,6 +243,20 @@ def test_one_of_each_linked_group_stays(table):
         assert len(stay) == 1 and stay[0][:2] == min(members)[:2]
 
 
+def test_boundaries_by_merges_equal_merging_from_scratch():
+    bpe = trie_bpe.TrieBpe(WORD)
+    rng = np.random.default_rng(8)
+    tokens = sorted(bpe.vocab)[::7]
+    inner = [t for t in tokens if not t.endswith(bpe.end)]
+    for left, right in zip(rng.choice(inner, 4000), rng.choice(tokens, 4000)):
+        left, right = str(left), str(right)
+        if bpe.merged(bpe.symbols(left)) == [left]:
+            assert bpe.fits(left, right) == (bpe.merged(bpe.symbols(left) + bpe.symbols(right)) == [left, right])
+    for n in range(1, 9):  # equal ranks on both sides of a boundary
+        for word in ("a" * n, "ab" * n, "na" * n):
+            assert [next(t for t, i in bpe.vocab.items() if i == x) for x in bpe.encode_words([word])[word]] == bpe.merged(bpe.symbols(word + bpe.end))
+
+
 def test_language(table, folder, spark):
     model = language_id.fit(spark.read.parquet(f"{folder}/documents.parquet"))
     rows, lang = language_id.predict_documents(table, model).collect(), {r.doc_id: r.lang for r in table.collect()}
