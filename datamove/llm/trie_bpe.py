@@ -116,12 +116,10 @@ class TrieBpe:
                 before, right = rank_two + 1, two[0]
 
     def fits(self, before: str, token: str) -> bool:
-        known = self.pairs.get((before, token))
-        if known is None:
-            known = self.last_merge(token) != ("", "") and (not before or self.stays_apart(before, token))
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            self.pairs[before, token] = known
+        known = self.last_merge(token) != ("", "") and (not before or self.stays_apart(before, token))
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
+        self.pairs[before, token] = known
         return known
 
     def last_token(self, word: str, end: int, states: list[str], mark: str) -> str:
@@ -134,9 +132,11 @@ class TrieBpe:
             start -= 1
             if _TOKEN in node:
                 starts.append(start)
+        pairs = self.pairs
         for start in reversed(starts):
-            token = word[start:end] + mark
-            if self.fits(states[start - 1] if start else "", token):
+            token, before = word[start:end] + mark, states[start - 1] if start else ""
+            known = pairs.get((before, token))
+            if known or known is None and self.fits(before, token):
                 return token
         raise ValueError(f"no token ends {word[:end]!r}")
 
@@ -203,11 +203,13 @@ class TrieBpe:
     def encode_batch(self, texts: list[str]) -> Iterator[str]:
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         make_room(self.chunks, CACHE_CHUNKS)
-        new = self.encode_chunks({c for parts in cut for c in parts if c and c not in self.chunks})
-        once = {c: new.pop(c) for c in [c for c in new if len(c) > LONGEST_CACHED]}
+        new = self.encode_chunks(set().union(*cut).difference(self.chunks, ("",)))
         self.chunks.update(new)
+        ids = self.chunks.__getitem__
         for parts in cut:
-            yield " ".join(filter(None, [self.chunks.get(c) or once.get(c) for c in parts if c]))
+            yield " ".join(filter(None, map(ids, filter(None, parts))))
+        for chunk in [c for c in new if len(c) > LONGEST_CACHED]:
+            del self.chunks[chunk]
 
     # -- decoding ---------------------------------------------------------------------------------------------------------------
     def decode(self, ids: str) -> str:
@@ -240,7 +242,7 @@ def _encode(path: str, texts_in: int = 1 << 20):
                 while first + len(part) < len(texts) and size < texts_in:
                     part.append(texts[first + len(part)].as_py() or "")
                     size += len(part[-1])
-                rows = [(len(x.split(" ")) if x else 0, _sha(x), _sha(bpe.decode(x))) for x in bpe.encode_batch(part)]
+                rows = [(x.count(" ") + 1 if x else 0, _sha(x), _sha(bpe.decode(x))) for x in bpe.encode_batch(part)]
                 n, a, b = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(part)), pa.array(n, pa.int64()), pa.array(a), pa.array(b)],
                                                  ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
