@@ -1,8 +1,9 @@
 """LM scoring by a hidden Markov language model over word classes.
 
 The most frequent words are classes of their own; all others fall into classes by their last three bytes; a class's probability is shared out
-among its words by their counts, with one slot for unknown ones. Latent states emit classes. Baum-Welch starts on a bounded sample, then
-expected counts of all training texts are added up across partitions, iteration by iteration. A text's score is its exact likelihood by the scaled
+among its words by their counts, with one slot for unknown ones. Latent states emit classes. Baum-Welch adds up the expected counts of all training
+texts across partitions. Its first passes are incremental: every task deals its texts into PARTS parts, a part's new counts take the place of its old ones and the model
+is set anew after each part, so that one pass over the texts moves it PARTS times; the last passes count all texts under one model. A text's score is its exact likelihood by the scaled
 forward recursion over the whole text, times its words' shares.
 
 Word counts, document texts and dictionaries stay distributed: texts are dealt into blocks of about BLOCK_BYTES; each block asks for the counts of
@@ -24,7 +25,8 @@ from datamove.session import cut_lineage, scratch_path
 STATES, FREQUENT, ENDINGS = 6, 4095, 2048
 CLASSES = 1 + FREQUENT + ENDINGS  # class 0: the end of a text
 RUN = 128  # tokens of a training run
-SAMPLE_TEXTS, SAMPLE_ROUNDS, ROUNDS = 1500, 15, 3
+PARTS, PART_PASSES, ROUNDS = 8, 2, 3
+CUTS = 64  # thresholds tried at once in the search for the most frequent words
 BLOCK_BYTES = 12 << 20
 FLUSH_WORDS = 1 << 21
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -190,14 +192,18 @@ def cut_runs(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _sequences(classes):
-    """Class numbers of each text with its end, as 16-bit numbers."""
+    """Class numbers of each text with its end, as 16-bit numbers; a task deals its texts to the parts in turn."""
     def run(batches):
+        done = 0
         for b in batches:
             for first, last, words, ending, counts in words_of(b.column("text")):
                 number = classes.value.of(words, ending).astype("<u2")
                 bounds = np.concatenate([[0], np.cumsum(counts)])
+                part = np.arange(done, done + last - first) % PARTS
+                done += last - first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number[i:j].tobytes() + b"\0\0" for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["classes"])
+                    [pa.array([number[i:j].tobytes() + b"\0\0" for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
+                     pa.array(part.astype(np.int32))], ["classes", "part"])
     return run
 
 
@@ -219,6 +225,45 @@ def _expect(model):
     return run
 
 
+def counts_under(sequences: DataFrame, model: Hmm) -> np.ndarray:
+    """Expected counts of all texts of the frame; at most CLASSES + STATES + 2 rows reach the driver, whatever the texts."""
+    sent = sequences.sparkSession.sparkContext.broadcast(model)
+    found = sequences.select("classes").mapInArrow(_expect(sent), "place long, " + ", ".join(f"s{k} double" for k in range(STATES)))
+    summed = np.zeros((CLASSES + STATES + 2, STATES))
+    for r in found.groupBy("place").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES))).collect():
+        summed[r["place"]] = r[1:]
+    return summed
+
+
+def baum_welch(sequences: DataFrame, prior: np.ndarray) -> Hmm:
+    """(classes, part) -> the model trained on all of them."""
+    model, of_part = Hmm.first(), {}
+    for _ in range(PART_PASSES):
+        for part in range(PARTS):
+            of_part[part] = counts_under(sequences.where(F.col("part") == part), model)
+            total = sum(of_part.values())
+            if total.any():
+                model = model.again(total, prior)
+    for _ in range(ROUNDS):
+        total = counts_under(sequences, model)
+        if total.any():
+            model = model.again(total, prior)
+    return model
+
+
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """Rows (word, ending, n) of at most `most` words: all whose count reaches a threshold, the smallest with so few words. Only numbers of words are asked for
+    before the rows themselves."""
+    low, high = 1, (counts.agg(F.max("n")).first()[0] or 0) + 1  # the threshold lies in [low, high]
+    while low < high:
+        cuts = sorted({low + (high - low) * k // CUTS for k in range(CUTS)})
+        found = counts.agg(*[F.count_if(F.col("n") >= c) for c in cuts]).first()
+        fits = [c for c, words in zip(cuts, found, strict=True) if words <= most]
+        above = [c for c, words in zip(cuts, found, strict=True) if words > most]
+        low, high = (above[-1] + 1 if above else low), (fits[0] if fits else high)
+    return counts.where(F.col("n") >= high).orderBy(F.desc("n"), "word").collect()
+
+
 class Stats:
     """Of the training tokens: N, V, and of each class its tokens and distinct words (frequent classes: one word)."""
 
@@ -278,10 +323,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = cut_lineage(training.mapInArrow(_counts, "word long, ending int, n long").groupBy("word").agg(F.sum("n").alias("n"), F.min("ending").alias("ending")))
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(~held_out, 1)).alias("ends")).first()
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    frequent = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
+    top = most_frequent(counts, FREQUENT)
+    frequent = {r["word"]: r["n"] for r in top}
     classes = Classes(np.array(list(frequent), np.int64).view(np.uint64))
     by_ending = {r["ending"]: [r["n"], r["v"]] for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("ending", "n").collect():
+    for r in top:
         by_ending[r["ending"]][0] -= r["n"]
         by_ending[r["ending"]][1] -= 1
     ends = size["ends"]
@@ -289,23 +335,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sent = send(classes)
     path = scratch_path(spark, "hmm-classes")
-    training.mapInArrow(_sequences(sent), "classes binary").write.parquet(path)
-    sequences = spark.read.parquet(path)
+    training.mapInArrow(_sequences(sent), "classes binary, part int").write.parquet(path)
     prior = (stats.total + 0.1) / (stats.total + 0.1).sum()
-    model = Hmm.first()
-    sample = [np.frombuffer(r["classes"], "<u2") for r in sequences.orderBy(F.xxhash64("classes")).limit(SAMPLE_TEXTS).collect()]
-    if sample:
-        for _ in range(SAMPLE_ROUNDS):
-            model = model.again(sum(model.expected(*cut_runs(sample[i : i + 200])) for i in range(0, len(sample), 200)), prior)
-        for _ in range(ROUNDS):
-            found = sequences.mapInArrow(_expect(send(model)), "place long, " + ", ".join(f"s{k} double" for k in range(STATES)))
-            summed = np.zeros((CLASSES + STATES + 2, STATES))
-            for r in found.groupBy("place").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(STATES))).collect():  # at most CLASSES + STATES + 2 rows
-                summed[r["place"]] = r[1:]
-            model = model.again(summed, prior)
+    model = baum_welch(spark.read.parquet(path), prior)
 
     n_blocks = max(1, -(-(size["bytes"] or 0) // BLOCK_BYTES))
-    placed = (rows.select("doc_id", "text", held_out.alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int").alias("block"))
+    placed = (rows.select("doc_id", "text", held_out.alias("held_out"), # with the input's split: a row that is repeated very often lies in many blocks
+                          F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(n_blocks)).cast("int").alias("block"))
               .repartition(n_blocks, "block").sortWithinPartitions("block"))
     asked = placed.mapInArrow(_requests, "block int, word long")
     known = asked.join(counts.select("word", "n"), "word").select("block", "word", "n")

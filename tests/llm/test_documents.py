@@ -8,6 +8,7 @@ from math import log10
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -178,6 +179,53 @@ def test_hmm(table):
         assert any(g.n_tokens == len(ws) and g.n_known == sum(c[w] > 0 for w in ws) and g.base_score == pytest.approx(base(ws)) for g in got[r.doc_id])
 
 
+def test_hmm_score_is_the_forward_probability(table, monkeypatch):
+    sent = []
+    keep = hmm._score
+    monkeypatch.setattr(hmm, "_score", lambda *a: sent.append([x.value for x in a]) or keep(*a))
+    got = Counter((r.doc_id, round(r.score, 6)) for r in hmm.score_documents(table).collect())
+    model, classes, stats = sent[0]
+    counts = Counter(w for r in table.collect() if zlib.crc32(str(r.doc_id).encode()) % 10 or r.doc_id is None for w in words(r.text))
+    least = min((n for n in set(counts.values()) if sum(m >= n for m in counts.values()) <= hmm.FREQUENT), default=0)
+    frequent = {w for w, n in counts.items() if n >= least}
+    assert len(classes.words) == len(frequent)
+    want = Counter()
+    for r in table.collect():
+        log, a = 0.0, None
+        column = pa.array([r.text or ""])
+        number, n = [], []
+        for *_, hashed, ending, _ in hmm.words_of(column):
+            number += classes.of(hashed, ending).tolist()
+        for w, c in zip(words(r.text), number, strict=True):
+            assert (c <= hmm.FREQUENT) == (w in frequent)
+            n.append(counts[w])
+        for c, m in zip([*number, 0], [*n, 0], strict=True):
+            a = (model.start if a is None else a @ model.move) * model.emit[c]
+            log += log10(a.sum())
+            a = a / a.sum()
+            if c > hmm.FREQUENT:
+                log += log10((m + 0.1) / (stats.total[c] + 0.1 * (stats.words[c] + 1)))
+        want[r.doc_id, round(log, 6)] += 1
+    near = lambda x: sorted((d is None, d or 0, s) for (d, s), k in x.items() for _ in range(k))
+    assert [x[:2] for x in near(got)] == [x[:2] for x in near(want)]
+    assert np.allclose([x[2] for x in near(got)], [x[2] for x in near(want)], rtol=0, atol=1e-4)
+    assert abs(sum(stats.words) - sum(1 for w in counts if w not in frequent)) < 1e-9
+
+
+def test_hmm_trains_on_all_texts(docs, monkeypatch):
+    seen = []
+    keep = hmm.counts_under
+    monkeypatch.setattr(hmm, "counts_under", lambda frame, model: seen.append(keep(frame, model)) or seen[-1])
+    scored = hmm.score_documents(docs).collect()
+    tokens = scored[0].train_tokens
+    assert len(seen) == hmm.PARTS * hmm.PART_PASSES + hmm.ROUNDS
+    for first in range(0, hmm.PARTS * hmm.PART_PASSES, hmm.PARTS):
+        assert sum(c[: hmm.CLASSES].sum() for c in seen[first : first + hmm.PARTS]) == pytest.approx(tokens)
+    assert all(c[: hmm.CLASSES].sum() == pytest.approx(tokens) for c in seen[-hmm.ROUNDS :])
+    held = [(r.score, r.base_score) for r in scored if r.held_out]
+    assert sum(s for s, _ in held) > sum(b for _, b in held)
+
+
 def test_hmm_recursions():
     model, rng = hmm.Hmm.first(), np.random.default_rng(1)
     model.emit[:] = rng.random(model.emit.shape)
