@@ -156,29 +156,32 @@ class Hmm:
     def expected(self, runs: np.ndarray, lengths: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Expected counts of padded runs (n x RUN, class numbers) by the scaled forward-backward recursion. begins: the run starts a text."""
         n, steps = runs.shape
-        emit = self.emit[runs]  # n x steps x states
-        alpha, scale = np.empty_like(emit), np.ones((n, steps))
-        alive = np.arange(steps)[None, :] < lengths[:, None]
-        a = np.where(begins[:, None], self.start, self.run_start)
+        by_step = np.ascontiguousarray(runs.T)  # a step's runs lie side by side
+        emit = self.emit[by_step]  # steps x n x states
+        alpha, scale = np.empty_like(emit), np.empty((steps, n, 1))
+        alive = (np.arange(steps)[:, None] < lengths[None, :])[:, :, None].astype(float)
         for t in range(steps):
-            a = a * emit[:, t] if t == 0 else (alpha[:, t - 1] @ self.move) * emit[:, t]
-            s = a.sum(axis=1)
-            scale[:, t] = s
-            alpha[:, t] = a / s[:, None]
+            a = np.where(begins[:, None], self.start, self.run_start) if t == 0 else alpha[t - 1] @ self.move
+            a *= emit[t]
+            np.sum(a, axis=1, keepdims=True, out=scale[t])
+            np.divide(a, scale[t], out=alpha[t])
         counts = np.zeros((CLASSES + STATES + 2, STATES))
-        beta, gamma = np.ones((n, STATES)), np.empty_like(emit)
+        beta, moves, ahead = np.ones((n, STATES)), np.zeros((STATES, STATES)), self.move.T.copy()
         for t in range(steps - 1, -1, -1):
-            gamma[:, t] = alpha[:, t] * beta * alive[:, t, None]
             if t:
-                b = emit[:, t] * beta / scale[:, t, None]
-                now = alive[:, t]
-                counts[CLASSES : CLASSES + STATES] += (alpha[now, t - 1].T @ b[now]) * self.move
-                beta = np.where(now[:, None], b @ self.move.T, 1.0)
-        flat = runs.ravel()
+                b = emit[t] * beta
+                b *= alive[t] / scale[t]  # past a run's end nothing is added up
+                moves += alpha[t - 1].T @ b
+            alpha[t] *= beta
+            alpha[t] *= alive[t]  # from here on: the states' probability at t, given the whole run
+            if t:
+                beta = np.where(alive[t] > 0, b @ ahead, 1.0)
+        counts[CLASSES : CLASSES + STATES] = moves * self.move
+        flat = by_step.ravel()
         for k in range(STATES):
-            counts[:CLASSES, k] += np.bincount(flat, weights=gamma[:, :, k].ravel(), minlength=CLASSES)
-        counts[-2] += gamma[begins, 0].sum(axis=0)
-        counts[-1] += gamma[~begins, 0].sum(axis=0)
+            counts[:CLASSES, k] = np.bincount(flat, weights=alpha[:, :, k].ravel(), minlength=CLASSES)
+        counts[-2] += alpha[0, begins].sum(axis=0)
+        counts[-1] += alpha[0, ~begins].sum(axis=0)
         return counts
 
 
