@@ -1,9 +1,11 @@
 """Vectors, URLs and the pipeline."""
 
+import time
 from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -106,6 +108,37 @@ def test_mined_rules_against_brute_force(spark):
     assert rules == best
 
 
+def test_long_shared_paths_are_mined_in_bounded_work(spark):
+    segments = [f"path:s{i}" for i in range(24)]
+    rows = [(sorted(["site:a.org", *segments]), "block")] * 300 + [(sorted({"site:b.org", *segments} - {segments[i % 24]}), "allow") for i in range(480)]
+    rows += [(["site:c.org", f"path:x{i % 9}"], "block" if i % 9 < 3 else "allow") for i in range(900)]
+    start = time.perf_counter()
+    rules = {tuple(r.antecedent): r.verdict for r in url_rules.mine(spark.createDataFrame(rows, "items array<string>, verdict string")).collect()}
+    assert time.perf_counter() - start < 60
+    assert rules["site:a.org",] == "block" and rules["site:b.org",] == "allow" and rules["path:x1",] == "block" and rules["path:x5",] == "allow"
+    same = [(["path:a", "path:bb", "path:c"], "block")] * 5 + [(["path:d"], "allow")] * 5
+    assert [r.antecedent for r in url_rules.mine(spark.createDataFrame(same, "items array<string>, verdict string")).orderBy("verdict").collect()] == [["path:d"], ["path:a"]]
+
+
+def test_judgement_against_all_rules(spark, folder):
+    pages, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("pages", "labels"))
+    kept = []
+    keep = url_rules.mine
+    url_rules.mine = lambda labelled: kept.append(keep(labelled)) or kept[-1]
+    try:
+        rows = url_rules.filter_urls(pages, labels).collect()
+    finally:
+        url_rules.mine = keep
+    rules = [(r.confidence, r.support, len(r.antecedent), r.verdict, set(r.antecedent)) for r in kept[0].collect()]
+    items = {r.page_id: set(r.i) for r in pages.select("page_id", url_rules.tokens(*url_rules.host_and_path(F.col("url"))).alias("i")).collect()}
+    assert rules
+    for r in rows:
+        if r.rule is None:
+            fitting = [x for x in rules if x[4] <= items[r.page_id]]
+            best = max(x[:3] for x in fitting) if fitting else None
+            assert r.verdict in ({x[3] for x in fitting if x[:3] == best} if fitting else {"allow"})
+
+
 def test_copies_are_dropped_by_id_and_text(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
     rows = [(1, a), (1, a), (5, a + " end"), (5, b), (None, b + " end"), (None, c), (None, c + " end"), (7, None)]
