@@ -15,6 +15,11 @@ def _by_path(folder: str, table: str) -> str:
     return f"`{folder.rstrip('/')}/{table}.parquet`"
 
 
+@query("read_source_whole", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def read_source_whole(spark, folder):
+    return tables.read_source(spark, _by_path(folder, "nation"), "parquet")
+
+
 @query("read_source", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
 def read_source(spark, folder):
     return tables.read_source(spark, _by_path(folder, "nation"), "parquet").where("n_regionkey = 1").select("n_nationkey", "n_name")
