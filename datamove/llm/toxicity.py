@@ -1,9 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers over the classes of a clause's words are composed: negation scope, reported-speech scope, and target scope. The composed
-machine reads a clause's word classes and writes what was matched: an insult or a threat, plain or aimed at someone, negated or reported. The
-weight of each output is learned from labelled rows; a text's score is the logistic function of the weights of its matched clauses.
-A word alone is never scored: its clause decides.
+A clause becomes a row of word classes (contractions are split), which small transducers read. Left to right, composed: negation scope, reported-speech
+scope, mentioned words, and the insult and threat patterns up to the insult or threat word. Right to left, over their output: what stands behind that word.
+The two passes together find an insult or a threat, plain or aimed at someone on either side of it, negated or reported:
+
+* An insult is aimed when it is said of someone ("you are such an idiot", "you idiot", "you sound like an idiot", "idiot like you", "shut up, idiot you"), plain
+  when something makes it one ("what an idiot", "stupid idiot"). A lone word of the start lexicon is no insult, nor is a word that is talked about ("the word
+  idiot", or in quotes without a target). Words learned from labelled rows are insults by that evidence and count by themselves, unless talked about.
+* A threat is aimed when an intent and a person as object meet in the clause ("I will kill you", "ich werde dich töten", "te voy a matar"), plain with a person only
+  ("kill them all"). "kill the process" is none.
+
+The weight of each output is learned from labelled rows; a text's score is the logistic function of the weights of its matched clauses.
 """
 
 from __future__ import annotations
@@ -18,25 +25,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 INSULT, THREAT, TARGET, NEGATION, SPEECH, OTHER = "I", "T", "G", "N", "R", "."
-# fixed values: the start lexicon; learned words are added to the insults
+LEARNED, OBJECT, SELF, INTENT, LINK, LIKE, FILLER, STRESS, MENTION, QUOTE = "L", "O", "S", "M", "B", "P", "D", "X", "Q", '"'
+# fixed values: the start lexicon
 LEXICON = {
     INSULT: """idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns fool imbecile dumb garbage vermin
         filth dummkopf trottel abschaum versager dreck erbärmlich idiota imbécil estúpido estúpida basura escoria patético imbécile abruti ordure
         minable crétin""",
     THREAT: "kill destroy hurt beat strangle crush umbringen töten vernichten matar destruir golpear tuer détruire frapper",
-    TARGET: "you your yourself he she they them him her u ihr euch dich du sie tú usted ustedes ellos vous toi tu ils elle these those",
-    NEGATION: "not never no isn't aren't wasn't don't nicht kein keine nie nunca jamás pas jamais aucun",
+    TARGET: "you your yourself he she they her u ihr du sie tú usted ustedes ellos vous tu ils elle these those",
+    OBJECT: "them him euch dich ihn te toi",  # objects only
+    SELF: "i we ich wir yo nosotros je j nous",
+    INTENT: """will 'll shall going gonna want wanna must should gotta werde werden muss sollte voy vamos quiero vais allons veux""",
+    LINK: """is are am be was were 're 's look looks sound sounds act acts seem seems bist ist sind seid eres es son está est êtes sont""",
+    LIKE: "like wie como comme",
+    FILLER: """a an the all both of every each one any to ein eine einen der die das alle von un una el la todos a une le les tous de des""",
+    STRESS: "what such absolute absolutely total totally complete completely utter utterly bloody real really so qué tan quel quelle total völlig",
+    MENTION: "word words term terms noun adjective insult wort wörter begriff palabra término mot terme",
+    NEGATION: "not never no n't nicht kein keine nie nunca jamás pas jamais aucun",
     SPEECH: "said says say wrote writes called quoted claimed reported sagte schrieb dijo escribió dit écrit",
 }
 OUTPUTS = [a + b + c for a in "IT" for b in ("", "g") for c in ("", "n", "r")]  # kind, aimed at someone, negated or reported
 STEM_LENGTHS = range(3, 13)  # letters of a stem; the word goes on behind it
 MIN_CONTEXTS, MIN_SURPRISE, MIN_LIFT = 5, 16.0, 30.0  # of a learned term
 SCOPE = 3  # words a negation reaches
+REACH = 5  # words between a link ("you are") and an insult, or an intent and a threat
 SAMPLE_ROWS = 3000  # labelled rows of each label that the weights are fitted on, chosen by hash
-_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+_UNIT = re.compile(r"""[^\W\d_]+(?=n't(?![^\W_]))|n't(?![^\W_])|'(?:ll|re|s|m|ve|d)(?![^\W_])|[^\W\d_]+|["“”„«»]""")
 _CLAUSE = re.compile(r"[.!?;\n]+")
 
 
+def units(clause: str) -> list[str]:
+    """Words and quotation marks of a lower-case clause; contractions are cut ("you're": you, 're; "isn't": is, n't)."""
+    return _UNIT.findall(clause.replace("’", "'"))
+
+
 class Transducer:
     """Deterministic: step(state, symbol) -> (state, output symbol)."""
 
@@ -45,55 +67,137 @@ class Transducer:
 
     def step(self, state, symbol):
         found = self.arcs.get((state, symbol))
-        return found if found is not None else self.otherwise(state, symbol)
+        if found is None:
+            found = self.arcs[state, symbol] = self.otherwise(state, symbol)  # arcs are made when first used; states are few
+        return found
 
     def compose(self, other: Transducer) -> Transducer:
-        """The output of this one is the input of the other; states are pairs, arcs are made when first used."""
+        """The output of this one is the input of the other; states are pairs."""
         def both(state, symbol):
             a, middle = self.step(state[0], symbol)
             b, out = other.step(state[1], middle)
-            made.arcs[state, symbol] = (a, b), out
-            return made.arcs[state, symbol]
-        made = Transducer((self.start, other.start), {}, both)
-        return made
+            return (a, b), out
+        return Transducer((self.start, other.start), {}, both)
+
+    def run(self, symbols: Iterable[str]) -> list[str]:
+        state, out = self.start, []
+        for x in symbols:
+            state, y = self.step(state, x)
+            out.append(y)
+        return out
 
 
 def _negation() -> Transducer:
     """A negation marks insults and threats of the next SCOPE words."""
-    return Transducer(0, {}, lambda s, x: (SCOPE, OTHER) if x == NEGATION else (max(0, s - 1), x + "n" if s and x in "IT" else x))
+    def step(left, x):
+        if x == NEGATION:
+            return SCOPE, OTHER
+        return (left if x == QUOTE else max(0, left - 1)), x + "n" if left and x in (INSULT, LEARNED, THREAT) else x
+    return Transducer(0, {}, step)
 
 
 def _speech() -> Transducer:
     """After a verb of saying the rest of the clause is reported; negation wins over report."""
-    return Transducer(0, {}, lambda s, x: (1, OTHER) if x == SPEECH else (s, x + "r" if s and x in ("I", "T") else x))
-
-
-def _target() -> Transducer:
-    """A target word before an insult or threat makes it aimed."""
-    return Transducer(0, {}, lambda s, x: (1, OTHER) if x == TARGET else (s, x[0] + "g" + x[1:] if s and x[0] in "IT" else x))
+    return Transducer(False, {}, lambda told, x: (True, SPEECH) if x == SPEECH else (told, x + "r" if told and x in (INSULT, LEARNED, THREAT) else x))
+
+
+def _mention() -> Transducer:
+    """Insults that are talked about are none: behind a word for words, or in quotes that hold no target before them."""
+    def step(state, x):
+        named, quoted, target = state
+        if x == QUOTE:
+            return (named, not quoted, False), QUOTE
+        if x[0] in (INSULT, LEARNED) and (named or (quoted and not target)):
+            return state, OTHER
+        return (x == MENTION or (named and x == FILLER), quoted, target or (quoted and x in (TARGET, OBJECT))), x
+    return Transducer((False, False, False), {}, step)
+
+
+def _before() -> Transducer:
+    """Insult and threat patterns up to their word. Writes an insult as aimed (Ig), plain (I) or open (i), a threat as aimed (Tg), with intent (w) or
+    without (v), and leaves what the way back needs.
+
+    State: of an insult, the words that a said-of link still reaches, whether a target or a link's end stands right before; whether stress or another insult stands
+    right before. Of a threat: a self was met, the words an intent still reaches, a person as object was met."""
+    def step(state, x):
+        reach, target, stressed, own, intent, person = state
+        kind, marks = x[0], x[1:]
+        if kind in (INSULT, LEARNED):
+            out = "Ig" if reach or target else "I" if stressed or kind == LEARNED else "i"
+            return (max(0, reach - 1), target, True, own, max(0, intent - 1), person), out + marks
+        if kind == THREAT:
+            out = "Tg" if intent and person else "w" if intent else "v"
+            return (0, False, False, own, 0, False), out + marks
+        if x in (TARGET, OBJECT):
+            person = person or x == OBJECT or (own and intent > 0)
+            return (0, True, False, own, max(0, intent - 1), person), TARGET
+        if x in (FILLER, QUOTE, STRESS):
+            return (reach, target, stressed or x == STRESS, own, intent, person), x
+        if x in (LINK, LIKE, SPEECH):  # "you are", "you ... like", "they said": what follows is said of the target
+            said = target or (x == LIKE and reach)
+            return (REACH if said else 0, False, False, own, max(0, intent - 1), person), x
+        if x == SELF:
+            return (0, False, False, True, 1, person), OTHER
+        if x == INTENT:
+            return (0, False, False, own, REACH, person), OTHER
+        return (max(0, reach - 1), False, False, own, max(0, intent - 1), person), OTHER
+    return Transducer((0, False, False, False, 0, False), {}, step)
+
+
+def _behind() -> Transducer:
+    """Read from the clause's end. A person right behind a threat is its object; a target behind an insult is meant when it ends the clause or is compared to
+    the insult. State: only fillers so far, and what stands right behind (nothing, a person, a person at the end, "like" and a person)."""
+    def step(state, x):
+        end, behind = state
+        kind, marks = x[0], x[-1] if x[-1] in "nr" else ""
+        if x == TARGET:
+            return (False, "last" if end else "person"), OTHER
+        if x in (FILLER, QUOTE):
+            return state, OTHER
+        if x == LIKE:
+            return (False, "like" if behind in ("person", "last") else ""), OTHER
+        if kind in "Ii":
+            aimed = x.startswith("Ig") or behind in ("last", "like")
+            return (False, ""), "Ig" + marks if aimed else "I" + marks if kind == "I" else OTHER
+        if kind in "wv" or x.startswith("Tg"):
+            if x.startswith("Tg") or (kind == "w" and behind in ("person", "last")):
+                return (False, ""), "Tg" + marks
+            return (False, ""), "T" + marks if behind in ("person", "last") else OTHER
+        return (False, ""), OTHER
+    return Transducer((True, ""), {}, step)
 
 
 class Grammar:
     """learned: insults as whole words, or as stems (ending in `*`) that any word may continue."""
 
     def __init__(self, learned: Iterable[str] = ()):
-        self.classes = {w: k for k, words in LEXICON.items() for w in words.split()}
-        self.classes.update({w: INSULT for w in learned if not w.endswith("*") and self.classes.get(w) != THREAT})
+        self.classes = {w: k for k, words in reversed(LEXICON.items()) for w in words.split()}
+        self.classes.update({w: LEARNED for w in learned if not w.endswith("*") and self.classes.get(w) != THREAT})
         self.stems = {w[:-1] for w in learned if w.endswith("*")}
-        self.machine = _negation().compose(_speech()).compose(_target())
+        self.forward = _negation().compose(_speech()).compose(_mention()).compose(_before())
+        self.backward = _behind()
         self.finder = ahocorasick.Automaton()
         for w, k in self.classes.items():
-            if k in "IT":
+            if k in (INSULT, LEARNED, THREAT):
                 self.finder.add_word(w, 1)
         for w in self.stems:
             self.finder.add_word(w, 1)
         self.finder.make_automaton()
 
     def kind(self, word: str) -> str:
+        if word in _QUOTES:
+            return QUOTE
         found = self.classes.get(word)
-        if found is None:
-            found = INSULT if any(word[:n] in self.stems for n in STEM_LENGTHS if n < len(word)) else OTHER
-        return found
+        if found in (None, INSULT) and any(word[:n] in self.stems for n in STEM_LENGTHS if n < len(word)):
+            found = LEARNED
+        return found or OTHER
+
+    def outputs(self, clause: str) -> list[str]:
+        """What each unit of a lower-case clause is: one of OUTPUTS, or OTHER."""
+        kinds = [self.kind(w) for w in units(clause)]
+        if not {INSULT, LEARNED, THREAT} & set(kinds):
+            return [OTHER] * len(kinds)
+        return self.backward.run(reversed(self.forward.run(kinds)))[::-1]
 
     def matches(self, text: str) -> np.ndarray:
         """How often each of OUTPUTS is matched in the clauses of the whole text."""
@@ -102,18 +206,14 @@ class Grammar:
         if next(self.finder.iter(text), None) is None:
             return counts
         for clause in _CLAUSE.split(text):
-            kinds = [self.kind(w) for w in _WORD.findall(clause)]
-            if INSULT not in kinds and THREAT not in kinds:
-                continue
-            state = self.machine.start
-            for k in kinds:
-                state, out = self.machine.step(state, k)
+            for out in self.outputs(clause):
                 if out in _PLACE:
                     counts[_PLACE[out]] += 1
         return counts
 
 
 _PLACE = {o: i for i, o in enumerate(OUTPUTS)}
+_QUOTES = frozenset('"“”„«»')
 
 
 class Model:
@@ -152,7 +252,7 @@ def _contexts(batches):
     for b in batches:
         for text, label in zip(b.column("text"), b.column("toxic"), strict=True):
             text = text.as_py()
-            found = _WORD.findall(text.lower())
+            found = [w for w in units(text.lower()) if w not in _QUOTES]
             seen = {(x, a) for a, w in zip(["", *found], found) for x in (w, *(w[:n] + "*" for n in STEM_LENGTHS if n < len(w)))}
             words += [x for x, _ in seen]
             before += [a for _, a in seen]
