@@ -21,6 +21,11 @@ _SEGMENT = (r"""--[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)|'(?:[^'\\]++|\\[\s\S
             r"""|`(?:[^`]++|``)*+(?:`|\z)|[\x{E000}-\x{E00F}]|[^\-/'"`\x{E000}-\x{E00F}]++|[\-/]""")
 
 
+def any_script(pattern: str) -> str:
+    """The pattern with letters, digits, blanks and case of all scripts, so that names like `größe` are whole words."""
+    return "(?U)" + pattern
+
+
 def _comment(s: Column) -> Column:
     return s.startswith("--") | s.startswith("/*")
 
@@ -71,7 +76,7 @@ def _applies(dialects: list[str], dialect: str | None) -> bool:
 
 def _matches(rule: str, needles: str, severity: str, apart: bool, text: Column, pattern: str, call: bool = False) -> Column:
     """What one rule finds in a file: its matches, and the text with a mark before each; NULL when there are none."""
-    group = 1 if rule == "merge-into-alias" else 0
+    group, pattern = 1 if rule == "merge-into-alias" else 0, any_script(pattern)
     return F.when(_occurs(F.col("_low"), needles) & text.rlike(pattern), F.struct(
         F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(apart).alias("apart"), F.lit(call).alias("call"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("found"), F.regexp_replace(text, pattern, _MARK + "$0").alias("marked")))
@@ -94,7 +99,7 @@ def _note_hits(parts: Column) -> Column:
     def noted(s: Column) -> Column:  # the note's text, NULL for anything else
         low = F.lower(s)
         marked = _comment(s) & reduce(lambda a, b: a | b, [low.contains(n) for n in rules.NOTE_NEEDLES])
-        return F.when(marked & s.rlike(rules.NOTE_MARKERS), F.regexp_extract(s, rules.NOTE_MARKERS, 2))
+        return F.when(marked & s.rlike(any_script(rules.NOTE_MARKERS)), F.regexp_extract(s, any_script(rules.NOTE_MARKERS), 2))
 
     found = F.transform(parts, noted)
     notes = F.filter(found, lambda n: n.isNotNull())
@@ -130,7 +135,7 @@ def rule_scan(files: DataFrame, dialect: str | None = None, only: list[str] | No
     calls = {r[0]: r for r in rules.CALL_RULES if _applies(r[3], dialect) and wanted(r[0])}
     if calls:  # mark calls in code, so that a match may look into the string behind it
         call = "|".join(r[-2] for r in calls.values())
-        marked = F.transform("_parts", lambda s: F.when(_text_part(s), s).otherwise(F.regexp_replace(s, call, _CALL + "$0")))
+        marked = F.transform("_parts", lambda s: F.when(_text_part(s), s).otherwise(F.regexp_replace(s, any_script(call), _CALL + "$0")))
         base = base.withColumn("_calls", F.array_join(marked, ""))
     found = [_matches(name, needles, severity, apart, F.col("code"), pattern)
              for name, needles, severity, dialects, apart, pattern in rules.RULES if _applies(dialects, dialect) and wanted(name)]
@@ -193,10 +198,12 @@ def _restore(df: DataFrame, schema_map: dict[str, str] | None = None) -> DataFra
 
     def constraint(segment: Column, table: Column) -> Column:
         body = _spaced(F.substring_index(inside(segment), "-- FIXME:", 1))
+        action = F.regexp_replace(F.regexp_extract(body, rules.FOREIGN_KEY, 5), r"^[\s;]+|[\s;]+$", "")
         key = F.regexp_replace(F.regexp_replace(body, rules.FOREIGN_KEY, "ADD CONSTRAINT $1 FOREIGN KEY $2 REFERENCES $3 $4;"), r"\[([^\]]+)\]", "`$1`")
         for source, target in (schema_map or {}).items():
             key = F.regexp_replace(key, rf"(?i)(?<=REFERENCES )(?:`\Q{source}\E`|\Q{source}\E)\.", target.replace("$", "\\$") + ".")
-        told = F.concat(F.lit("-- foreign key for information (not enforced):\n-- ALTER TABLE "), table, F.lit(" "), key)
+        dropped = F.when(action == "", "").otherwise(F.concat(F.lit("; "), action, F.lit(" dropped")))  # ON DELETE, ON UPDATE
+        told = F.concat(F.lit("-- foreign key for information (not enforced"), dropped, F.lit("):\n-- ALTER TABLE "), table, F.lit(" "), key)
         left = F.concat(F.lit("-- not converted - rewrite manually: ALTER TABLE "), table, F.lit(" "), _spaced(inside(segment)))
         return F.when(body.rlike(rules.FOREIGN_KEY), told).otherwise(left)
 
@@ -211,6 +218,7 @@ def _restore(df: DataFrame, schema_map: dict[str, str] | None = None) -> DataFra
 
 
 def _apply(df: DataFrame, rule: str, pattern: str, replacement: str) -> DataFrame:
+    pattern = any_script(pattern)
     counted = df.withColumn("_counts", F.map_concat("_counts", F.create_map(F.lit(rule), F.regexp_count("_skeleton", F.lit(pattern)))))
     return counted.withColumn("_skeleton", F.regexp_replace("_skeleton", pattern, replacement))
 
@@ -240,10 +248,10 @@ def rewrite(files: DataFrame, dialect: str | None = None, schema_map: dict[str,
     df = _apply(df, "empty-create", rf"(?i)\bCREATE(?:\s+OR\s+REPLACE)?\s*{block}", f"-- not converted - rewrite manually: CREATE {_NOTE}$1{_CLOSE}")
     # column definitions: an explicit NULL is the default
     pieces = F.split("_skeleton", ";")
-    in_tables = lambda s: s.rlike(rules.CREATE_TABLE_START)
-    nulls = F.aggregate(pieces, F.lit(0), lambda n, s: n + F.when(in_tables(s), F.regexp_count(s, F.lit(rules.EXPLICIT_NULL))).otherwise(0))
+    in_tables, explicit = lambda s: s.rlike(any_script(rules.CREATE_TABLE_START)), any_script(rules.EXPLICIT_NULL)
+    nulls = F.aggregate(pieces, F.lit(0), lambda n, s: n + F.when(in_tables(s), F.regexp_count(s, F.lit(explicit))).otherwise(0))
     df = df.withColumn("_counts", F.map_concat("_counts", F.create_map(F.lit("explicit-null"), nulls)))
-    df = df.withColumn("_skeleton", F.array_join(F.transform(pieces, lambda s: F.when(in_tables(s), F.regexp_replace(s, rules.EXPLICIT_NULL, "")).otherwise(s)), ";"))
+    df = df.withColumn("_skeleton", F.array_join(F.transform(pieces, lambda s: F.when(in_tables(s), F.regexp_replace(s, explicit, "")).otherwise(s)), ";"))
     # a commented-out constraint leaves an ALTER TABLE that cannot run
     df = _apply(df, "empty-alter", rf"(?i)\bALTER\s+TABLE\s+([^\s/;{_OPENERS}]+)\s*{block}", f"{_CONSTRAINT}$2{_CLOSE}$1{_MARK}")
     df = _restore(df, schema_map)
@@ -284,7 +292,7 @@ def dialect_scores(files: DataFrame, by: list[str]) -> DataFrame:
     """Best dialect per group (by=[] for the whole corpus): dialect, confidence, score, runner_up_score.
 
     A hint counts once per file. Synapse code is T-SQL too: once it has hits of its own, the T-SQL hits count for it."""
-    hit = lambda needle, p: F.when(_occurs(F.col("_low"), needle) & F.col("text").rlike(p), 1).otherwise(0)
+    hit = lambda needle, p: F.when(_occurs(F.col("_low"), needle) & F.col("text").rlike(any_script(p)), 1).otherwise(0)
     hits = {d: reduce(lambda a, b: a + b, [hit(n, p) for n, p in patterns]) for d, patterns in rules.DIALECT_HINTS.items()}
     sums = spread_over_cores(files, "path").withColumn("_low", F.lower("text")).groupBy(*by).agg(*[F.coalesce(F.sum(h), F.lit(0)).alias(d) for d, h in hits.items()])
     sums = sums.withColumn("synapse", F.when(F.col("synapse") > 0, F.col("synapse") + F.col("mssql")).otherwise(0))
@@ -304,31 +312,31 @@ def _strip_quotes(name: Column) -> Column:
 def main_objects(files: DataFrame) -> DataFrame:
     """Kind and name of the main object of each file; `script` or `security` when it creates none. Adds `bare`."""
     df = with_masks(files)
-    first_word = F.lower(F.regexp_extract(F.regexp_extract("bare", rules.CREATED_OBJECT, 1), r"^\w+", 0))
+    first_word = F.lower(F.regexp_extract(F.regexp_extract("bare", any_script(rules.CREATED_OBJECT), 1), r"^\w+", 0))
     kinds = F.create_map(*[F.lit(x) for pair in rules.OBJECT_KINDS.items() for x in pair])
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
-    name = _strip_quotes(F.regexp_extract("bare", rules.CREATED_OBJECT, 2))
+    name = _strip_quotes(F.regexp_extract("bare", any_script(rules.CREATED_OBJECT), 2))
     df = df.withColumn("_word", first_word)
     kind = (F.when(F.col("_word") != "", F.coalesce(F.try_element_at(kinds, F.col("_word")), F.col("_word")))
-            .when(F.col("bare").rlike(rules.SECURITY_WORD), "security").otherwise("script"))
+            .when(F.col("bare").rlike(any_script(rules.SECURITY_WORD)), "security").otherwise("script"))
     named = F.when((F.col("_word") == "") | (name == ""), stem).otherwise(name)
     return df.select("path", "text", "code", "bare", kind.alias("kind"), named.alias("name")).withColumn(
         "short", F.lower(F.regexp_extract("name", r"([^.]*)$", 1)))
 
 
 def _score(patterns: list[tuple[str, int]]) -> Column:
-    return reduce(lambda a, b: a + b, [F.when(F.col("bare").rlike(p), w).otherwise(0) for p, w in patterns])
+    return reduce(lambda a, b: a + b, [F.when(F.col("bare").rlike(any_script(p)), w).otherwise(0) for p, w in patterns])
 
 
 def _body_reasons(patterns: list[tuple[str, int]], reasons: list[str]) -> list[Column]:
-    return [F.when(F.col("bare").rlike(p), why) for (p, _), why in zip(patterns, reasons, strict=True)]
+    return [F.when(F.col("bare").rlike(any_script(p)), why) for (p, _), why in zip(patterns, reasons, strict=True)]
 
 
 def _calls(files: DataFrame, placed: DataFrame) -> DataFrame:
     """(path, caller, callee): words of the routines' code that are names of unclear routines."""
     unclear = placed.where("_routine and category = 'review'").select(F.col("short").alias("callee")).distinct()
     callers = placed.where("_routine").select("path", F.col("short").alias("caller"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(masked(segments(F.col("text")), keep_names=False)), F.lit(r"(?U)[\w$#@]+"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(masked(segments(F.col("text")), keep_names=False)), F.lit(any_script(r"[\w$#@]+")), F.lit(0)))
     return (spread_over_cores(files, "path").select("path", F.explode(words).alias("callee")).join(broadcast_if_small(unclear), "callee")
             .join(callers, "path").where("caller <> callee"))
 
@@ -359,19 +367,19 @@ def fit(files: DataFrame, dialect: str | None = None) -> DataFrame:
     listed = lambda known: F.array_intersect("_words", F.array(*[F.lit(w) for w in known]))
     says = lambda known: F.when(F.size(listed(known)) > 0, rules.NAME_WEIGHT).otherwise(0)
     df = df.withColumn("_words", words)
-    df = df.withColumn("_joins", F.regexp_count("bare", F.lit(rules.JOIN_WORD))).withColumn("_aggs", F.regexp_count("bare", F.lit(rules.AGGREGATE_CALL)))
+    df = df.withColumn("_joins", F.regexp_count("bare", F.lit(any_script(rules.JOIN_WORD)))).withColumn("_aggs", F.regexp_count("bare", F.lit(any_script(rules.AGGREGATE_CALL))))
     one = lambda c: F.when(c, 1).otherwise(0)
     df = df.withColumn("_report", says(rules.REPORT_WORDS) + _score(rules.REPORT_BODY) + one(F.col("_joins") >= 3) + one(F.col("_aggs") >= 2)
                        + F.when(F.col("kind") == "view", 2).otherwise(0))
     df = df.withColumn("_etl", says(rules.ETL_WORDS) + _score(rules.ETL_BODY)).withColumn("_app", says(rules.APP_WORDS) + _score(rules.APP_BODY))
-    screen = ((F.col("kind") == "procedure") & F.col("bare").rlike(rules.PROCEDURE_PARAMETERS) & ~F.col("bare").rlike(rules.WRITE_WORD)
+    screen = ((F.col("kind") == "procedure") & F.col("bare").rlike(any_script(rules.PROCEDURE_PARAMETERS)) & ~F.col("bare").rlike(any_script(rules.WRITE_WORD))
               & (F.col("_joins") <= 2) & (F.col("_aggs") == 0) & (F.col("_report") == 0) & (F.col("_etl") == 0))
     df = df.withColumn("score", F.col("_report") + F.col("_etl") - F.col("_app") - F.when(screen, 2).otherwise(0))
     routine = F.col("kind").isin("procedure", "function", "view")
     last_name, table = F.regexp_extract("name", r"([^.]*)$", 1), F.col("kind") == "table"
     migrates, stays = F.col("score") >= 2, F.col("score") <= -2
-    writes, deployed, is_setup = F.col("bare").rlike(rules.WRITE_WORD), F.col("path").rlike(rules.DEPLOYMENT_SCRIPTS), F.col("kind").isin("security", "schema")
-    framework, log = table & last_name.rlike(rules.FRAMEWORK_TABLES), table & last_name.rlike(rules.LOG_TABLES)
+    writes, deployed, is_setup = F.col("bare").rlike(any_script(rules.WRITE_WORD)), F.col("path").rlike(rules.DEPLOYMENT_SCRIPTS), F.col("kind").isin("security", "schema")
+    framework, log = table & last_name.rlike(any_script(rules.FRAMEWORK_TABLES)), table & last_name.rlike(any_script(rules.LOG_TABLES))
     script = ~F.col("kind").isin("procedure", "function", "view", "table", "trigger", "type", "security", "schema", "index", "sequence", "synonym")
     # (when, category, purpose, reason): the first that holds; routines have reasons of their own
     kinds = [(deployed, "skip", F.lit("deployment script"), "runs with a deployment; its rows come with the tables"),
@@ -393,7 +401,7 @@ def fit(files: DataFrame, dialect: str | None = None) -> DataFrame:
     reasons = F.when(routine & ~deployed, F.when(F.size(told) == 0, F.array(F.lit("nothing in its name or code tells"))).otherwise(told)).otherwise(F.array(pick(3)))
     versions = rules.VERSIONED_TABLES if dialect in rules.TSQL else rules.SYSTEM_VERSIONING
     narrow = df.select("path", "name", "kind", "short", "score", pick(2).alias("purpose"), pick(1).alias("category"), reasons.alias("reasons"), routine.alias("_routine"),
-                       (F.col("bare").rlike(rules.AUDIT_COLUMNS) & table).alias("audited"), (F.col("bare").rlike(versions) & table).alias("versioned"))
+                       (F.col("bare").rlike(any_script(rules.AUDIT_COLUMNS)) & table).alias("audited"), (F.col("bare").rlike(versions) & table).alias("versioned"))
     placed = cut_lineage(narrow)  # a few short values per file; the texts are not scored twice
     followed = follow_callers(placed, _calls(files, placed))
     joined = placed.join(followed, (placed["short"] == followed["_word"]) & placed["_routine"] & (placed["category"] == "review"), "left")
@@ -411,7 +419,7 @@ def fit_verdict(placed: DataFrame) -> DataFrame:
     table = F.col("kind") == "table"
     counts = placed.agg(
         *[n(c).alias(c) for c in ("migrate", "data", "keep", "skip", "review")], F.count_if(table).alias("tables"), F.count_if("audited").alias("audited"), F.count_if("versioned").alias("versioned"),
-        F.count_if(table & (F.col("category") == "skip")).alias("framework"), F.count_if(table & (F.col("category") == "data") & F.col("short").rlike(rules.WAREHOUSE_TABLES)).alias("warehouse"))
+        F.count_if(table & (F.col("category") == "skip")).alias("framework"), F.count_if(table & (F.col("category") == "data") & F.col("short").rlike(any_script(rules.WAREHOUSE_TABLES))).alias("warehouse"))
     app = (F.col("framework") > 0) | (F.col("versioned") > 0) | ((F.col("tables") > 0) & (F.col("audited") / F.greatest("tables", F.lit(1)) >= 0.3)) | (F.col("keep") >= 3)
     house = (F.col("warehouse") > 0) | ((F.col("migrate") >= 3) & (F.col("keep") == 0))
     verdict = (F.when(app & ~house, "application").when(house & ~app, "warehouse").when(app & house, "mixed")
@@ -431,12 +439,12 @@ def _object_name(raw: Column) -> Column:
 def edges(files: DataFrame) -> DataFrame:
     """What each file reads, writes and calls: distinct (path, object, how), object names in lower case."""
     def uses_of(how: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("code", F.lit(pattern), F.lit(1)),
+        return F.transform(F.regexp_extract_all("code", F.lit(any_script(pattern)), F.lit(1)),
                            lambda x: F.struct(F.lower(_object_name(x)).alias("object"), F.lit(how).alias("how")))
     uses = [uses_of(how, pattern) for how, pattern in rules.USES.items()]
     # each file's list is made distinct in place, so nothing is exchanged
     found = F.array_distinct(F.concat(*uses))
-    return with_masks(files).select("path", F.inline(found)).where(~F.col("object").rlike(rules.NOT_AN_OBJECT) & (F.col("object") != ""))
+    return with_masks(files).select("path", F.inline(found)).where(~F.col("object").rlike(any_script(rules.NOT_AN_OBJECT)) & (F.col("object") != ""))
 
 
 def missing_objects(used: DataFrame, known: DataFrame) -> DataFrame:
@@ -485,8 +493,8 @@ def defined_tables(files: DataFrame) -> DataFrame:
     """Columns of the CREATE TABLE statements: (path, table_name, position, column_name, data_type, nullable, identity,
     primary_key). Bodies and columns are cut at balanced parentheses of any depth."""
     clean = lambda c: F.regexp_replace(c, r"[\[\]`\"]", "")
-    pieces = with_masks(files).select("path", F.explode(F.split("code", r"(?=" + rules.CREATE_TABLE + ")")).alias("piece"))
-    named = pieces.select("path", F.regexp_extract("piece", r"\A" + rules.CREATE_TABLE, 1).alias("name"), F.regexp_replace("piece", r"\A" + rules.CREATE_TABLE, "").alias("rest"))
+    pieces = with_masks(files).select("path", F.explode(F.split("code", any_script(r"(?=" + rules.CREATE_TABLE + ")"))).alias("piece"))
+    named = pieces.select("path", F.regexp_extract("piece", any_script(r"\A" + rules.CREATE_TABLE), 1).alias("name"), F.regexp_replace("piece", any_script(r"\A" + rules.CREATE_TABLE), "").alias("rest"))
     tables = named.where("name <> ''").select(
         "path", clean(F.regexp_replace("name", r"\s*\.\s*", ".")).alias("table_name"), _up_to_closing(F.col("rest")).alias("body")).where("body IS NOT NULL")
     parts = F.filter(F.transform(_at_outer_commas(F.col("body")), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
@@ -498,7 +506,7 @@ def defined_tables(files: DataFrame) -> DataFrame:
     tables = tables.withColumn("parts", parts).withColumn("_keys", key_names)
     rows = tables.select("path", "table_name", "_keys", F.posexplode(F.filter("parts", is_column)).alias("position", "p"))
     name = clean(F.regexp_extract("p", r"^\S+", 0))
-    kind = F.regexp_extract("p", r"^(?:\[[^\]]+\]|`[^`]+`|\"[^\"]+\"|\S+)\s+(\[?[\w.]+\]?(?:\s*\([^)]*\))?|[^\s,]+)", 1)
+    kind = F.regexp_extract("p", r"(?U)^(?:\[[^\]]+\]|`[^`]+`|\"[^\"]+\"|\S+)\s+(\[?[\w.]+\]?(?:\s*\([^)]*\))?|[^\s,]+)", 1)
     return rows.select(
         "path", "table_name", (F.col("position") + 1).alias("position"), name.alias("column_name"), F.regexp_replace(kind, r"^[\[\]]+|[\[\]]+$", "").alias("data_type"),
         (~F.col("p").rlike(r"(?i)\bNOT\s+NULL\b")).alias("nullable"),
@@ -516,8 +524,8 @@ def features(files: DataFrame, schemas: list[str] = ()) -> DataFrame:
     def elsewhere(name: Column) -> Column:
         parts = F.split(F.lower(_strip_quotes(name)), r"\.")
         return (F.size(parts) == 4) | ~parts[0].isin(local)
-    tests = {k: F.col("bare").rlike(p) for k, p in rules.FEATURES.items()}
-    tests["cross-database"] = F.exists(F.regexp_extract_all("code", F.lit(rules.LONG_NAME), F.lit(0)), elsewhere)
+    tests = {k: F.col("bare").rlike(any_script(p)) for k, p in rules.FEATURES.items()}
+    tests["cross-database"] = F.exists(F.regexp_extract_all("code", F.lit(any_script(rules.LONG_NAME)), F.lit(0)), elsewhere)
     df = with_masks(files).agg(*[F.count_if(t).alias(k) for k, t in tests.items()])
     return df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(k).alias("files")) for k in tests])))
 
@@ -543,9 +551,9 @@ def normalised(text: Column) -> Column:
 def code_objects(files: DataFrame) -> DataFrame:
     """Procedures, views, functions and triggers of the files: (name, body), body normalised; the last definition counts."""
     files = spread_over_cores(files, "path")
-    pieces = F.split("text", r"(?=" + rules.CODE_OBJECT.replace("((?:", "(?:(?:", 1) + ")")
+    pieces = F.split("text", any_script(r"(?=" + rules.CODE_OBJECT.replace("((?:", "(?:(?:", 1) + ")"))
     rows = files.select("path", F.posexplode(pieces).alias("position", "piece"))
-    raw = F.lower(F.regexp_replace(F.regexp_extract("piece", r"\A" + rules.CODE_OBJECT, 1), r"[\[\]\"\s]", ""))
+    raw = F.lower(F.regexp_replace(F.regexp_extract("piece", any_script(r"\A" + rules.CODE_OBJECT), 1), r"[\[\]\"\s]", ""))
     rows = rows.withColumn("_raw", raw).where("_raw <> ''")
     name = F.when(F.col("_raw").contains("."), F.col("_raw")).otherwise(F.concat(F.lit("dbo."), F.col("_raw")))
     return rows.groupBy(name.alias("name")).agg(F.max_by(normalised(F.col("piece")), F.struct("path", "position")).alias("body"))
@@ -564,7 +572,7 @@ def _statements(df: DataFrame, name: str, drop_settings: bool = False) -> DataFr
     can be left out; what is hidden is a letter until then, so that a setting with a comment behind it still counts."""
     coded = spread_over_cores(df, "path").select("path", masked(segments(F.col("text")), keep_names=False, blank=_OTHER).alias("_code"))
     if drop_settings:
-        coded = coded.withColumn("_code", F.regexp_replace("_code", rules.SESSION_SETTINGS, ""))
+        coded = coded.withColumn("_code", F.regexp_replace("_code", any_script(rules.SESSION_SETTINGS), ""))
     last = F.when(F.substring_index("_code", ";", -1).rlike(rf"[^\s{_OTHER}]"), 1).otherwise(0)
     return coded.select("path", (F.length("_code") - F.length(F.replace("_code", F.lit(";"), F.lit(""))) + last).alias(name))
 

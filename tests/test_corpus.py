@@ -218,3 +218,35 @@ def test_tables_with_deep_parentheses(spark):
     text = f"CREATE TABLE t (a INT NOT NULL, b AS {deep}, c INT DEFAULT {deep}, CHECK {deep}, PRIMARY KEY (a));\nCREATE TABLE [s].[u] (x DECIMAL(10, 2));\nCREATE TABLE v (y INT"
     rows = {(r.table_name, r.position): (r.column_name, r.primary_key) for r in corpus.defined_tables(files(spark, text)).collect()}
     assert rows == {("t", 1): ("a", True), ("t", 2): ("b", False), ("t", 3): ("c", False), ("s.u", 1): ("x", False)}
+
+
+def test_names_of_any_script(spark):
+    text = "SET @größe = 1;\nSELECT * FROM #körbe;\nSELECT übertop FROM straße;\nDECLARE čas CURSOR FOR SELECT 1;\n"
+    found = scan(spark, text, "mssql")
+    assert found["local-variable"].text == "@größe" and found["temp-table"].text == "#körbe" and found["cursor"].line == 4
+    assert "top-clause" not in scan(spark, "SELECT ÄTOP 5 FROM t", "mssql") and "rownum" not in scan(spark, "SELECT ROWNUMÉRO FROM t", "oracle")
+    one = corpus.main_objects(files(spark, "CREATE VIEW dbo.Straße AS SELECT 1 AS größe")).first()
+    assert (one["kind"], one["name"], one["short"]) == ("view", "dbo.Straße", "straße")
+    columns = corpus.defined_tables(files(spark, "CREATE TABLE dbo.Größen (Länge INT NOT NULL, Maß ÜbergrößeTyp)")).orderBy("position").collect()
+    assert [(r.table_name, r.column_name, r.data_type) for r in columns] == [("dbo.Größen", "Länge", "INT"), ("dbo.Größen", "Maß", "ÜbergrößeTyp")]
+    seen = {r.feature: r.files for r in corpus.features(files(spark, "SELECT * FROM Läger.dbo.Kühlung", "SELECT 1 FROM ##größe", "DECLARE größe CURSOR FOR SELECT 1")).collect()}
+    assert seen["cross-database"] == 1 and seen["temp-table"] == 1 and seen["cursor"] == 1
+    used = corpus.edges(files(spark, "INSERT INTO dbo.Straße SELECT * FROM Läger.Kühlung")).collect()
+    assert {(r.object, r.how) for r in used} == {("dbo.straße", "writes"), ("läger.kühlung", "reads")}
+    assert [r.name for r in corpus.code_objects(files(spark, "CREATE PROC dbo.Wörter AS SELECT 1")).collect()] == ["dbo.wörter"]
+
+
+def test_rewrites_keep_names_of_any_script(spark):
+    rows = corpus.rewrite(files(spark, "SELECT ÜGETDATE() FROM Maß.t WHERE t.Größe = 1 AND x = GETDATE();"), "mssql", {"Maß": "main.dev"}, ["Größe"]).first()
+    assert rows.new_text == "SELECT ÜGETDATE() FROM main.dev.t WHERE t.Größe = true AND x = CURRENT_TIMESTAMP();"
+    assert rows.counts == {"schema-map:Maß": 1, "boolean-compare:true": 1, "getdate": 1}
+    kept = corpus.rewrite(files(spark, "SELECT * FROM Übermaß.t"), "mssql", {"maß": "main.dev"}).first()
+    assert kept.new_text == kept.text
+
+
+@pytest.mark.parametrize(("action", "told"), [("", ""), (" ON DELETE CASCADE", "; ON DELETE CASCADE dropped"), (" ON UPDATE\nSET NULL ;", "; ON UPDATE SET NULL dropped")])
+def test_dropped_action_of_a_foreign_key_is_told(spark, action, told):
+    text = f"ALTER TABLE shop.rolls /* ADD CONSTRAINT fk_oven FOREIGN KEY (oven) REFERENCES shop.ovens (id){action} */;"
+    got = corpus.rewrite(files(spark, text), "mssql").first()
+    assert got.new_text == (f"-- foreign key for information (not enforced{told}):\n"
+                            "-- ALTER TABLE shop.rolls ADD CONSTRAINT fk_oven FOREIGN KEY (oven) REFERENCES shop.ovens (id);")
