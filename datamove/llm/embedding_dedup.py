@@ -136,14 +136,16 @@ def _compare(threshold: float):
 def _with_all(queries: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """Query nodes against all nodes of their labels, exactly -> (label, u, v, links, met): u = v counts links of a query, all and within its component
     (one row of each tile that has any); else a tie."""
-    named = nodes.join(groups, "node", "left").select("label", "node", "n", F.coalesce("component", "node").alias("component"), "vec")
-    asked = named.join(queries.select("node"), "node", "left_semi")
-    xs, ys = (rows.groupBy("label").agg(F.ceil(F.count("*") / TILE).cast("int").alias(c)) for rows, c in ((asked, "xs"), (named, "ys")))
-    sides = xs.join(ys, "label")
+    asked = queries.select("node", F.lit(True).alias("asked"))
+    placed = cut_lineage(nodes.select("label", "node", "n").join(groups, "node", "left").join(asked, "node", "left")
+                         .select("label", "node", "n", F.coalesce("component", "node").alias("component"), F.col("asked").isNotNull().alias("asked")))
+    sides = (placed.groupBy("label").agg(F.ceil(F.count_if("asked") / TILE).cast("int").alias("xs"), F.ceil(F.count("*") / TILE).cast("int").alias("ys"))
+             .where("xs > 0"))
+    named = placed.join(sides, "label").join(nodes.select("node", "vec"), "node")
     part = lambda c: F.pmod(F.xxhash64("node", F.lit(5)), F.col(c)).cast("int")
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    a = asked.join(sides, "label").select("label", part("xs").alias("x"), all_of("ys").alias("y"), F.lit(0).alias("side"), "node", "n", "component", "vec")
-    b = named.join(sides, "label").select("label", all_of("xs").alias("x"), part("ys").alias("y"), F.lit(1).alias("side"), "node", "n", "component", "vec")
+    a = named.where("asked").select("label", part("xs").alias("x"), all_of("ys").alias("y"), F.lit(0).alias("side"), "node", "n", "component", "vec")
+    b = named.select("label", all_of("xs").alias("x"), part("ys").alias("y"), F.lit(1).alias("side"), "node", "n", "component", "vec")
     return cut_lineage(a.unionByName(b).groupBy("label", "x", "y").applyInPandas(_compare(threshold), "label long, u long, v long, links long, met long"))
 
 
@@ -171,7 +173,12 @@ def _nearest(edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _components(ties: list[DataFrame]) -> DataFrame:
-    return components(reduce(DataFrame.unionByName, ties).select(F.col("u").alias("a"), F.col("v").alias("b")))
+    return cut_lineage(components(reduce(DataFrame.unionByName, ties).select(F.col("u").alias("a"), F.col("v").alias("b"))))
+
+
+def _as_ties(groups: DataFrame) -> DataFrame:
+    """What is connected so far: later ties are added to it, and the earlier ones are not read again."""
+    return groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
 
 def _links(groups: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -243,12 +250,13 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "ve
         lists = lists.join(moving.select(F.col("node").alias("u")), "u", "left_semi")
         for _ in range(rounds):
             better, tied = _improve(lists, moving, k, threshold)
-            changed, places = better.join(lists, ["u", "v"], "left_anti").count(), better.count()
+            places, kept = better.join(lists.select("u", "v", F.lit(True).alias("old")), ["u", "v"], "left").agg(F.count("*"), F.count("old")).first()
             lists = better
             ties.append(tied)
-            if changed <= STILL * places:
+            if places - kept <= STILL * places:
                 break
         groups = _components(ties)
+        ties = [_as_ties(groups)]
         saturated = lists.groupBy("u").agg(F.count("*").alias("filled"), F.min("sim").alias("last")).where((F.col("filled") >= k) & (F.col("last") >= threshold)).select(F.col("u").alias("node"))
         for before in settled:
             saturated = saturated.join(before, "node", "left_anti")
@@ -257,6 +265,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, id_col: str = "ve
         if not saturated.isEmpty():
             ties.append(_with_all(saturated, nodes, groups, threshold).where("u <> v").select("u", "v"))
             groups = _components(ties)
+            ties = [_as_ties(groups)]
         short, met = _audit(short, nodes, groups, threshold)
         ties += met
         k, rounds = 2 * k, 2  # longer lists

@@ -26,9 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
                  .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         after = cut_lineage(small)
         # a forest of stars: no node is both a child and a parent, and no child has two parents
-        roots = after.select(F.col("v").alias("u")).distinct()
-        done = (after.join(roots, "u", "left_semi").isEmpty()
-                and after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty())
+        ends = after.select(F.col("u").alias("node"), F.lit(1).alias("parents"), F.lit(False).alias("root")).unionByName(
+            after.select(F.col("v").alias("node"), F.lit(0).alias("parents"), F.lit(True).alias("root")))
+        done = (ends.groupBy("node").agg(F.sum("parents").alias("parents"), F.max("root").alias("root"))
+                .where("parents > 1 OR (parents > 0 AND root)").isEmpty())
         links = after
         if done:
             break

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from datamove.llm import embedding_dedup, language_id, toxicity, url_rules
+from datamove.llm import embedding_dedup, graph, language_id, toxicity, url_rules
 from test_documents import brute_kept
 
 
@@ -52,6 +52,23 @@ def _exact(spark, x):
     assert [got[i].component_id for i in range(len(x))] == label.tolist()
 
 
+def test_components_need_few_jobs(spark):
+    tracker = spark.sparkContext.statusTracker()
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    plans = []
+    cut = graph.cut_lineage
+    spark.sparkContext.setJobGroup("components", "components")
+    try:
+        graph.cut_lineage = lambda df: plans.append(df) or cut(df)
+        found = {r.node: r.component for r in graph.components(edges).collect()}
+    finally:
+        graph.cut_lineage = cut
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    steps = len(plans) - 1
+    assert len(tracker.getJobIdsForGroup("components")) <= 10 * (steps + 1)
+
+
 def _two_groups(rng, size):
     centres = np.zeros((2, 64))
     centres[0, 0], centres[1, :2] = 1, (0.95, (1 - 0.95 ** 2) ** 0.5)
