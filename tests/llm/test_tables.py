@@ -137,6 +137,36 @@ def test_long_shared_paths_are_mined_in_bounded_work(spark):
     assert [r.antecedent for r in url_rules.mine(spark.createDataFrame(same, "items array<string>, verdict string")).orderBy("verdict").collect()] == [["path:d"], ["path:a"]]
 
 
+def test_rules_of_long_urls_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    baskets = [(sorted(str(x) for x in rng.choice(list("abcdefgh"), 2 + i % 6, replace=False)), "block" if rng.random() < 0.5 else "allow") for i in range(60)]
+    labelled = spark.createDataFrame(baskets, "items array<string>, verdict string")
+    want = {}
+    for items in {c for n in (1, 2, 3) for b, _ in baskets for c in combinations(b, n)}:
+        holds = [v for b, v in baskets if set(items) <= set(b)]
+        want.update({(items, v): holds.count(v) / len(holds) for v in set(holds) if holds.count(v) >= 6 and holds.count(v) / len(holds) >= 0.6})
+    best = {(k, v): c for (k, v), c in want.items() if not any(set(o) < set(k) and w == v and d >= c for (o, w), d in want.items())}
+    for most in (0, 3, 5, 12):  # all baskets extended token by token, some, none
+        monkeypatch.setattr(url_rules, "BASKET_ITEMS", most)
+        rules = {(tuple(r.antecedent), r.verdict): r.confidence for r in url_rules.mine(labelled, 0.1, 0.6).collect()}
+        assert best and rules.keys() == best.keys() and all(abs(rules[k] - best[k]) < 1e-9 for k in best)
+
+
+def test_tokens_beyond_twelve_of_a_url_are_mined(spark):
+    # thirteen tokens, each in URLs of both verdicts; only the pair of the two that tell least decides
+    rows = [(sorted([*(f"t{i:02}" for i in range(13) if i != j % 13), "y", "z"]), "block") for j in range(130)]
+    rows += [(sorted([*(f"t{i:02}" for i in range(13) if i != j % 13), "yz"[j % 2]]), "allow") for j in range(260)]
+    rules = {tuple(r.antecedent): r.verdict for r in url_rules.mine(spark.createDataFrame(rows, "items array<string>, verdict string")).collect()}
+    assert rules["y", "z"] == "block"
+
+
+def test_each_of_equivalent_tokens_matches(spark):
+    pages = spark.createDataFrame([(i, "http://a.org/long/b/c/" if i < 20 else "http://a.org/d/") for i in range(40)] + [(50, "http://e.org/long/"), (51, "http://e.org/b/")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0, int(i < 20)) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: (r.verdict, r.matched) for r in url_rules.filter_urls(pages, labels.withColumn("quality", F.lit(1)), default="none").collect()}
+    assert got[50] == ("block", "path:long") and got[51] == ("block", "path:b")
+
+
 def test_judgement_against_all_rules(spark, folder):
     pages, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("pages", "labels"))
     kept = []
