@@ -78,8 +78,11 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     return F.broadcast(df) if size is not None and size <= limit else df
 
 
+SPREAD_BYTES = 8 * 1024 * 1024  # of the planner's size: a row made longer or repeated by the plan before may be many times that
+
+
 def spread_over_cores(df: DataFrame, key: str, partition_bytes: int = 128 * 1024 * 1024) -> DataFrame:
     """Hash-partition CPU-bound work whose input is too small to fill the cores: a scan makes about one task per 128 MiB.
-    Larger inputs have tasks enough and are left where they are."""
+    Partitions grow in number with the planner's size, so that what one task reads does not grow; larger inputs have tasks enough and are left where they are."""
     size, cores = planned_bytes(df), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if size is not None and size < cores * partition_bytes else df
+    return df.repartition(max(cores, -(-size // SPREAD_BYTES)), key) if size is not None and size < cores * partition_bytes else df

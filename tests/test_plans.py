@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from datamove.operators import latest, patterns, reconcile
 from datamove.queries import QUERIES
 from datamove.queries.base import changed_orders, read
+from datamove.session import SPREAD_BYTES, spread_over_cores
 
 
 def plan(df):
@@ -65,3 +66,9 @@ def test_large_sides_are_not_broadcast(spark, folder):
     rows = spark.range(100_000_000).withColumnRenamed("id", "customer_id")
     ref = spark.range(50_000_000).selectExpr("id AS customer_id", "id AS customer_key")
     assert "BroadcastHashJoin" not in plan(patterns.lookup(rows, ref, ["customer_id"], ["customer_key"]))
+
+
+def test_spread_partitions_do_not_grow_with_the_input(spark):
+    for size in (SPREAD_BYTES, 12 * SPREAD_BYTES):  # planned as 8 bytes a row
+        rows = spark.range(size // 8)
+        assert spread_over_cores(rows, "id").rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, size // SPREAD_BYTES)
