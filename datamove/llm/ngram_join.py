@@ -112,11 +112,20 @@ def bitmap(hashes: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def shared_by(sets: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that at least `least` of the sets hold, sorted, and how many do. Empties `sets`: the run is held once, and sorted where it lies."""
+    run = np.concatenate(sets)
+    sets.clear()
+    run.sort()
+    found = run[least - 1 :][run[least - 1 :] == run[: len(run) - least + 1]]
+    found = found[np.diff(found, prepend=~found[:1]) != 0]
+    return found, np.searchsorted(run, found, side="right") - np.searchsorted(run, found)
+
+
 def _sizes(width: int):
     """A row for each text, and rows (key, texts) for shingles that many different texts of a run share."""
     def shared(sets: list[np.ndarray]) -> pa.RecordBatch:
-        found, texts = np.unique(np.concatenate(sets), return_counts=True)
-        found, texts = found[texts >= COMMON_IN_RUN], texts[texts >= COMMON_IN_RUN]
+        found, texts = shared_by(sets, COMMON_IN_RUN)
         nothing = [pa.nulls(len(found), pa.int64())] * 4
         return pa.RecordBatch.from_arrays([*nothing, as_long(found), pa.nulls(len(found), pa.binary()), pa.array(texts, pa.int64())], names)
 

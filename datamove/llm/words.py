@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18  # hashing holds about forty times that
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -25,9 +25,11 @@ _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Arrow batches for columns of whole texts: the default of 10,000 rows holds many copies of tens of megabytes, in the JVM and in each Python worker."""
+    """Batches for columns of whole texts: the defaults of 10,000 rows for Arrow and 4,096 for the Parquet reader hold many copies of tens of megabytes, in the JVM and
+    in each Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -361,3 +361,14 @@ def test_registered_on_whole_tables(spark, folder):
     n = spark.read.parquet(f"{folder}/documents.parquet").count()
     for name in ("op7_language_id", "op8_toxicity"):
         assert QUERIES[name](spark, folder).count() == n
+
+
+def test_shingles_shared_in_a_run_are_counted_in_place():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 40, n).astype(np.uint64)) for n in rng.integers(1, 12, 60)] + [np.array([5, 2**64 - 1], np.uint64)] * 3
+    found, texts = np.unique(np.concatenate(sets), return_counts=True)
+    for least in (2, 3, 9):
+        held = list(sets)
+        got, n = ngram_join.shared_by(held, least)
+        assert got.tolist() == found[texts >= least].tolist() and n.tolist() == texts[texts >= least].tolist() and not held
+    assert [len(x) for x in ngram_join.shared_by([np.array([1], np.uint64)], 3)] == [0, 0]
